@@ -23,6 +23,17 @@ DEPENDENCY_PHASE, LINE_PHASE, WINDOW_PHASE = 0, 1, 2
 UNIT_TYPE = "struct<phase:int,line_no:int,text:string,name:string,version:string>"
 
 
+def computed_once(df: DataFrame, **cols: Column) -> DataFrame:
+    """Adds columns behind a one-row generator.
+
+    A filter on a plain projected column moves below the projection and takes
+    a copy of its expression along, so that every regular expression would run
+    twice; it does not move below a generator.
+    """
+    row = F.struct(*[value.alias(name) for name, value in cols.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def rule_mask(text: Column, folded: Column, rules: Sequence[Rule]) -> Column:
     """Bit set of the rules that match somewhere in the text.
 
@@ -51,27 +62,27 @@ def candidate_units(
     """Lines and windows of the files in which some rule matches at all.
 
     Whole contents are tested once; only files with a hit are split. With
-    ``dependencies``, an array of (name, version) over path and content, its
+    ``dependencies``, an array of (name, version) over path and _text, its
     items come out of the same pass as units of the dependency phase.
     """
     line_rules = [r for r in rules if r in LINE_RULES]
     window_rules = [r for r in rules if r in WINDOW_RULES]
     deps = F.array().cast(ITEM_TYPE) if dependencies is None else dependencies
     # A window joins its lines by a bare newline, so test the same form.
-    folded = files.select(
+    plain = files.select(
         "scan_id",
         "path",
         F.replace(F.col("content"), F.lit("\r\n"), F.lit("\n")).alias("content"),
-    ).withColumn("_folded", F.lower("content"))
-    masked = folded.select(
-        "scan_id",
-        "path",
-        "content",
-        rule_mask(F.col("content"), F.col("_folded"), line_rules).alias("_line_mask"),
-        rule_mask(F.col("content"), F.col("_folded"), window_rules).alias("_window_mask"),
-        deps.alias("_deps"),
+    )
+    folded = computed_once(plain, _text=F.col("content"), _folded=F.lower("content")).drop("content")
+    tested = (F.col("_text"), F.col("_folded"))
+    masked = computed_once(
+        folded,
+        _line_mask=rule_mask(*tested, line_rules),
+        _window_mask=rule_mask(*tested, window_rules),
+        _deps=deps,
     ).filter((F.col("_line_mask") + F.col("_window_mask") > 0) | (F.size("_deps") > 0))
-    split = masked.withColumn("_lines", F.split("content", "\n", -1))
+    split = masked.withColumn("_lines", F.split("_text", "\n", -1))
     none = F.array().cast(f"array<{UNIT_TYPE}>")
     line_units = F.transform(
         F.col("_lines"), lambda x, i: _unit(F.lit(LINE_PHASE), i + 1, text=x)

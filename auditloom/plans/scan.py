@@ -76,7 +76,7 @@ def scan_snapshots(
     cuts = broadcast_if_small(volume.filter("truncated").select("scan_id", "last_walk"))
 
     taken = scanned_files(files, cuts, limits.max_file_bytes)
-    items = manifest_items(F.col("path"), F.col("content"), npm_limit=None)
+    items = manifest_items(F.col("path"), F.col("_text"), npm_limit=None)
     raw = durable(extract(taken, dependencies=items))
 
     rule_findings = hits_to_findings(raw.filter(F.col("rule_ord").isNotNull()))

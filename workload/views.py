@@ -270,6 +270,25 @@ def archive_entries(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def snapshot_list(spark: SparkSession, sf: str) -> DataFrame:
+    """Snapshots of all the views, with what was available when they were scanned."""
+    ids = (
+        table(spark, sf, "documents").select(_doc_scan().alias("scan_id"))
+        .union(
+            table(spark, sf, "orders").select(_text("cust-", F.col("o_custkey").cast("string")))
+        )
+        .union(external_reports(spark, sf).select("scan_id"))
+        .distinct()
+    )
+    is_doc = ~F.col("scan_id").startswith("cust-")
+    number = F.substring_index("scan_id", "-", -1).cast("int")
+    return ids.select(
+        "scan_id",
+        is_doc.alias("history_available"),
+        (is_doc | (number % 3 != 0)).alias("advisories_available"),
+    )
+
+
 def scans(spark: SparkSession, sf: str) -> DataFrame:
     order = F.col("o_orderkey")
     return table(spark, sf, "orders").select(
@@ -467,7 +486,7 @@ def external_reports(spark: SparkSession, sf: str) -> DataFrame:
         F.struct(F.lit("OSV-Scanner").alias("tool"), osv.alias("_full")),
     )
     rows = table(spark, sf, "conversations").select(
-        _text(s(conv), "-", s(turn)).alias("scan_id"), "conv_id", F.inline(per_tool)
+        _text("cust-", s(conv * 16 + turn)).alias("scan_id"), "conv_id", F.inline(per_tool)
     )
     report = (
         F.when((F.col("conv_id") % 7 == 6) & (F.col("tool") == "Gitleaks"), F.lit(None))
