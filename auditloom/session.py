@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,18 +20,18 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "16g")
+        .config("spark.sql.dataFrameQueryContext.enabled", "false")
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Result written once to the shared checkpoint folder, lineage cut.
+def _checkpoint_root(spark: SparkSession) -> str:
+    """The shared folder the session names.
 
-    The folder is the one the session names. Only a local session without one
-    gets a folder of its own; on a cluster a missing setting is an error.
+    Only a local session without one gets a folder of its own; on a cluster a
+    missing setting is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -39,6 +40,17 @@ def durable(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="auditloom-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession, purpose: str) -> str:
+    """A new folder name under the checkpoint folder, for written tables."""
+    return f"{_checkpoint_root(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Result written once to the shared checkpoint folder, lineage cut."""
+    _checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

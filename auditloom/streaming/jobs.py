@@ -1,28 +1,30 @@
-"""Job status tables, in batch and as streams."""
+"""Job status tables, in batch and as a stream."""
 
 from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
 from auditloom.functions.text import clean_error
+from auditloom.streaming.sinks import read_batches, write_batch
 
 JOB_IDLE = "1 hour"
 
 # States of a job; the last two are final.
 QUEUED, RUNNING, COMPLETE, FAILED = "queued", "running", "complete", "failed"
 FINAL_STATES = (COMPLETE, FAILED)
+JOB_FIELDS = ("status", "progress", "phase", "updated_at", "event_id")
 
 
 def latest_jobs(job_events: DataFrame) -> DataFrame:
-    """Newest status, progress and phase of each job; works on streams in update mode."""
+    """Newest status, progress and phase of each job."""
     newest = F.struct("updated_at", "event_id")
-    state = F.struct("status", "progress", "phase", "updated_at")
     return (
         job_events.groupBy("job_id")
-        .agg(F.max_by(state, newest).alias("_now"))
+        .agg(F.max_by(F.struct(*JOB_FIELDS), newest).alias("_now"))
         .select("job_id", "_now.*")
         .withColumn("phase", clean_error(F.col("phase")))
     )
@@ -43,17 +45,24 @@ def live_jobs(job_events: DataFrame, now: datetime, idle: str = JOB_IDLE) -> Dat
     return latest_jobs(job_events).filter(~expired)
 
 
-def job_status_stream(job_events: DataFrame, out: str, checkpoint: str):
-    """Streaming job table: every batch writes the jobs that changed in it."""
+def job_stream(job_events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Writes the newest event per job of every batch.
+
+    The newest of the newest is the newest, so readers merge the batches with
+    the same functions and no streaming state can grow with the jobs.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        write_batch(latest_jobs(batch), out, batch_id)
 
     return (
-        latest_jobs(job_events)
-        .writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
+        job_events.writeStream.option("checkpointLocation", checkpoint)
         .foreachBatch(write)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def streamed_jobs(spark: SparkSession, out: str) -> DataFrame:
+    """Job events to give to ``latest_jobs``, ``job_stats`` and ``live_jobs``."""
+    return read_batches(spark, out).drop("batch_id")

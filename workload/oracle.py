@@ -9,6 +9,8 @@ from workload.queries import (
     ARCHIVE_BYTES,
     ARCHIVE_ENTRIES,
     BRANCH_PREFIX,
+    RATE_LIMITS,
+    RATE_WINDOW_MS,
     TOOL_NAME,
     TOP_K,
 )
@@ -367,6 +369,31 @@ def oracles() -> dict[str, str]:
         """SELECT job_id, status FROM job_now WHERE NOT (status IN ('complete', 'failed')
           AND updated_at < TIMESTAMP '2024-01-31' - INTERVAL 6 HOUR)""",
     )
+    rates = f"""SELECT event_id, client, category, ts_ms, start AS window_start, c AS position,
+          c <= CASE category WHEN 'scan' THEN {RATE_LIMITS["scan"]} ELSE {RATE_LIMITS["api"]} END AS allowed FROM walk"""
+    rate_tables = {
+        "req": """SELECT event_id, user_id::VARCHAR AS client, CASE WHEN event_type = 'signup' THEN 'scan' ELSE 'api' END AS category,
+            epoch_us(ts) // 1000 AS ts_ms FROM events""",
+        "req_no": "SELECT *, row_number() OVER (PARTITION BY client, category ORDER BY ts_ms, event_id) AS no FROM req",
+        "walk": f"""SELECT event_id, client, category, ts_ms, no, ts_ms AS start, 1::BIGINT AS c FROM req_no WHERE no = 1
+          UNION ALL SELECT r.event_id, r.client, r.category, r.ts_ms, r.no,
+            CASE WHEN r.ts_ms - w.start > {RATE_WINDOW_MS} THEN r.ts_ms ELSE w.start END,
+            CASE WHEN r.ts_ms - w.start > {RATE_WINDOW_MS} THEN 1 ELSE w.c + 1 END
+          FROM walk w JOIN req_no r ON r.client = w.client AND r.category = w.category AND r.no = w.no + 1""",
+    }
+    add("rate_verdicts", rates, rate_tables)
+    add("rate_stream", rates, rate_tables)
+    for stream, batch in (("job_stream", "job_table"), ("decision_stream", "apply_decisions")):
+        q[stream] = q[batch]
+    add(
+        "scan_stream",
+        f"""SELECT s.scan_id, greatest(0, 100 - coalesce(weight, 0))::INT AS score, coalesce(total, 0)::INT AS open,
+          coalesce(crit, 0)::INT AS critical, coalesce(t.high, 0)::INT AS high, coalesce(f.n, 0)::BIGINT AS files_scanned,
+          coalesce(total, 0)::INT AS total_findings
+        FROM doc_scans s LEFT JOIN totals t USING (scan_id)
+        LEFT JOIN (SELECT scan_id, count(*) AS n FROM eligible GROUP BY scan_id) f USING (scan_id)""",
+        {"totals": _SUMMARY_TOTALS.replace("final_findings", "deduped")},
+    )
     return {name: with_ctes(final, extra) for name, (final, extra) in q.items()}
 
 

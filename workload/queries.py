@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime
+from datetime import datetime, timezone
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,9 +13,9 @@ from auditloom.operators import compare, dependencies, files, findings, history,
 from auditloom.operators import match, review
 from auditloom.plans.scan import ScanResult, scan_snapshots
 from auditloom.rules import LINE_RULES, RULES
-from auditloom.session import durable
+from auditloom.session import durable, shared_folder
 from auditloom.sources import archives, exports, history_log, reports, repositories, store
-from auditloom.streaming import jobs
+from auditloom.streaming import decisions, jobs, rates, scans, sinks
 from workload import views as v
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,8 +23,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 # Parameters of the limit operators, small enough to bite at every scale.
 MAX_FILES, MAX_BYTES, MAX_FILE_BYTES = 6, 20_000, 8_000
 TOP_K = 3
-NOW = datetime(2002, 1, 1)
-JOB_NOW = datetime(2024, 1, 31)
+NOW = datetime(2002, 1, 1, tzinfo=timezone.utc)
+JOB_NOW = datetime(2024, 1, 31, tzinfo=timezone.utc)
 TOOL_NAME = "Auditloom"
 BRANCH_PREFIX, PLAN_FOLDER = "audit fix/plan", ".audit"
 
@@ -522,6 +522,77 @@ def live_jobs(spark, sf):
     return jobs.live_jobs(v.job_events(spark, sf), JOB_NOW, "6 hours").select("job_id", "status")
 
 
+# --- rates and streams -------------------------------------------------------------------------------------
+
+RATE_WINDOW_MS = 6 * 3600 * 1000
+RATE_LIMITS = {"scan": 1, "api": 2}
+
+
+def _stream(spark, sf, name):
+    """One of the given tables as a stream."""
+    return (
+        spark.readStream.schema(v.table(spark, sf, name).schema)
+        .option("pathGlobFilter", f"{name}.parquet")
+        .parquet(sf)
+    )
+
+
+def rate_verdicts(spark, sf):
+    return rates.rate_verdicts(v.request_events(spark, sf), RATE_WINDOW_MS, RATE_LIMITS)
+
+
+def rate_stream(spark, sf):
+    out = shared_folder(spark, "rates")
+    arriving = v.to_requests(_stream(spark, sf, "events"))
+    rates.rate_stream(
+        arriving, f"{out}/rows", f"{out}/progress", RATE_WINDOW_MS, RATE_LIMITS
+    ).awaitTermination()
+    return sinks.read_batches(spark, f"{out}/rows").drop("batch_id")
+
+
+def job_stream(spark, sf):
+    out = shared_folder(spark, "jobs")
+    arriving = v.to_jobs(_stream(spark, sf, "events"))
+    jobs.job_stream(arriving, f"{out}/rows", f"{out}/progress").awaitTermination()
+    return jobs.latest_jobs(jobs.streamed_jobs(spark, f"{out}/rows")).select(
+        "job_id", "status", "progress", "phase"
+    )
+
+
+def decision_stream(spark, sf):
+    out = shared_folder(spark, "decisions")
+    arriving = v.to_reviews(_stream(spark, sf, "events"))
+    decisions.decision_stream(arriving, f"{out}/rows", f"{out}/progress").awaitTermination()
+    decided = decisions.decided_findings(spark, v.review_findings(spark, sf), f"{out}/rows")
+    return decided.select(
+        "scan_id", "finding_key", "status", "decision",
+        F.unix_micros("decided_at").alias("decided_us"),
+    )
+
+
+def scan_stream(spark, sf):
+    """Document snapshots announced in four files, two per batch."""
+    out = shared_folder(spark, "scans")
+    notices = v.snapshot_list(spark, sf).filter("history_available")
+    notices.repartition(4, "scan_id").write.parquet(f"{out}/notices")
+    arriving = (
+        spark.readStream.schema(notices.schema)
+        .option("maxFilesPerTrigger", 2)
+        .parquet(f"{out}/notices")
+    )
+    tables = scans.SnapshotTables(
+        v.code_files(spark, sf),
+        v.git_log(spark, sf),
+        v.external_reports(spark, sf),
+        v.advisories(spark, sf),
+        v.baselines(spark, sf),
+    )
+    scans.scan_stream(arriving, tables, f"{out}/store", f"{out}/progress").awaitTermination()
+    return scans.current_scans(spark, f"{out}/store").select(
+        "scan_id", "score", "open", "critical", "high", "files_scanned", "total_findings"
+    )
+
+
 def registered() -> dict[str, Query]:
     plain: tuple[Query, ...] = (
         eligible_files, pruned_directories, file_limit, byte_budget, scan_volume, scanned_files,
@@ -536,7 +607,7 @@ def registered() -> dict[str, Query]:
         scan_retention, recent_scans, scan_lookup, scan_list, store_metrics, valid_decisions,
         review_log, apply_decisions, open_recount, remediation_targets, attach_explanations,
         explanation_prompts, sarif_reports, json_reports, remediation_plans, job_table,
-        job_stats, live_jobs,
+        job_stats, live_jobs, rate_verdicts, rate_stream, job_stream, decision_stream, scan_stream,
     )
     out: dict[str, Query] = {q.__name__: q for q in plain}
     out["new_findings"] = partial(_side, compare.new_findings)

@@ -301,4 +301,5 @@ def with_ctes(final: str, extra: dict[str, str] | None = None) -> str:
     open_names: set[str] = set()
     need(final)
     parts = [f"{n} AS (\n{table[n]}\n)" for n in ordered]
-    return ("WITH " + ",\n".join(parts) + "\n" + final) if parts else final
+    head = "WITH RECURSIVE " if "walk" in ordered else "WITH "
+    return (head + ",\n".join(parts) + "\n" + final) if parts else final

@@ -40,6 +40,11 @@ def _text(*parts) -> Column:
     return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
+def _utc(col: str) -> Column:
+    """The zone-less times of the given tables as instants, whatever the session zone."""
+    return F.to_timestamp(F.concat(F.col(col).cast("string"), F.lit("Z")))
+
+
 def _doc_scan(prefix: str = "") -> Column:
     """Snapshot of a document; a new one begins every 20 000 documents."""
     chunk = F.floor(F.col("doc_id") / 20_000)
@@ -294,7 +299,7 @@ def scans(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select(
         order.cast("string").alias("scan_id"),
         F.col("o_custkey").cast("string").alias("url"),
-        F.col("o_orderdate").alias("created_at"),
+        _utc("o_orderdate").alias("created_at"),
         (F.col("o_totalprice").cast("long") % 101).cast("int").alias("score"),
         (order - 1 - F.col("o_custkey") % 5).cast("string").alias("previous_scan_id"),
     )
@@ -321,6 +326,10 @@ def order_findings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def review_events(spark: SparkSession, sf: str) -> DataFrame:
+    return to_reviews(table(spark, sf, "events"))
+
+
+def to_reviews(events: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     action = (
         F.when(kind.isin("click", "purchase"), "approve")
@@ -328,12 +337,12 @@ def review_events(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise("ignore")
     )
     user = F.col("user_id")
-    return table(spark, sf, "events").select(
+    return events.select(
         "event_id",
         _text("scan-", (user % 7).cast("string")).alias("scan_id"),
         _text("F-", user.cast("string")).alias("finding_id"),
         action.alias("action"),
-        F.col("ts").alias("created_at"),
+        _utc("ts").alias("created_at"),
     )
 
 
@@ -390,26 +399,34 @@ def replies(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def job_events(spark: SparkSession, sf: str) -> DataFrame:
+    return to_jobs(table(spark, sf, "events"))
+
+
+def to_jobs(events: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     status = None
     for event, name in JOB_STATUS.items():
         status = F.when(kind == event, name) if status is None else status.when(kind == event, name)
-    return table(spark, sf, "events").select(
+    return events.select(
         "event_id",
         F.col("user_id").cast("string").alias("job_id"),
         status.alias("status"),
         F.floor(F.abs(F.col("value")) % 101).cast("int").alias("progress"),
         _text("phase\n", kind).alias("phase"),
-        F.col("ts").alias("updated_at"),
+        _utc("ts").alias("updated_at"),
     )
 
 
 def request_events(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select(
+    return to_requests(table(spark, sf, "events"))
+
+
+def to_requests(events: DataFrame) -> DataFrame:
+    return events.select(
         "event_id",
         F.col("user_id").cast("string").alias("client"),
         F.when(F.col("event_type") == "signup", "scan").otherwise("api").alias("category"),
-        "ts",
+        _utc("ts").alias("ts"),
     )
 
 
