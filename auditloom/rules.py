@@ -8,6 +8,7 @@ a line. ``needs`` names literals of which at least one occurs in every match
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -199,21 +200,24 @@ WINDOW_RULES = tuple(r for r in RULES if r.scope == WINDOW)
 SECRET_RULES = tuple(r for r in RULES if r.tool == SECRET_TOOL)
 
 
+TEXTS = (
+    "rule:string,tool:string,severity:string,title:string,explanation:string,patch:array<string>"
+)
+
+
 def rule_texts(ord_col: Column) -> Column:
-    """Struct of the catalogue texts of a rule, looked up in a constant array."""
-    table = F.array(
-        *[
-            F.struct(
-                F.lit(r.id).alias("rule"),
-                F.lit(r.tool).alias("tool"),
-                F.lit(r.severity).alias("severity"),
-                F.lit(r.title).alias("title"),
-                F.lit(r.explanation).alias("explanation"),
-                F.array(*[F.lit(p) for p in r.patch]).alias("patch"),
-            )
-            for r in RULES
-        ]
-    )
+    """Struct of the catalogue texts of a rule, looked up in a constant array.
+
+    The array is one JSON literal, which the optimizer folds into a constant.
+    """
+    texts = [
+        {
+            "rule": r.id, "tool": r.tool, "severity": r.severity, "title": r.title,
+            "explanation": r.explanation, "patch": r.patch,
+        }
+        for r in RULES
+    ]
+    table = F.from_json(F.lit(json.dumps(texts)), f"array<struct<{TEXTS}>>")
     return F.get(table, ord_col)
 
 

@@ -25,8 +25,9 @@ def split_logs(logs: DataFrame, commits: int = HISTORY_COMMITS) -> DataFrame:
 
 def history_lines(spark: SparkSession, path: str, commits: int = HISTORY_COMMITS) -> DataFrame:
     """Lines of the logs in a folder of ``<scan_id>.log`` files."""
-    raw = spark.read.option("wholetext", True).text(path)
-    name = F.url_decode(base_name(F.col("_metadata.file_path")))
+    raw = spark.read.text(path, wholetext=True)
+    # The path is percent-encoded, but a plus sign in it stands for itself.
+    name = F.url_decode(F.replace(base_name(F.col("_metadata.file_path")), F.lit("+"), F.lit("%2B")))
     logs = raw.select(
         F.regexp_replace(name, r"\.log\z", "").alias("scan_id"), F.col("value").alias("log")
     )

@@ -24,6 +24,7 @@ BLOCK_WINDOWS = 20
 LIMITS = {"scan": 6, "api": 120}
 
 KEY = ["client", "category"]
+BLOCK_KEY = [*KEY, "block"]
 VERDICT = (
     "event_id bigint, client string, category string, ts_ms bigint, window_start bigint, "
     "position bigint"
@@ -42,35 +43,69 @@ def _judged(windows: DataFrame, limits: dict[str, int]) -> DataFrame:
     return windows.withColumn("allowed", F.col("position") <= _limit(limits))
 
 
-def _first_after(times: np.ndarray, starts: np.ndarray | int, window: int):
-    """Index of the first time more than one window after each start."""
-    return np.searchsorted(times, np.asarray(starts) + window, side="right")
+def _whole_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sorted batches cut so that no (client, category, block) is split."""
+    held: list[pd.DataFrame] = []
+    for pdf in batches:
+        last = pdf.iloc[-1]
+        same = (pdf[BLOCK_KEY] == last[BLOCK_KEY]).all(axis=1).to_numpy()
+        if same.all():
+            begins = 0
+            if held and (held[-1].iloc[-1][BLOCK_KEY] != last[BLOCK_KEY]).any():
+                yield pd.concat(held, ignore_index=True)
+                held = []
+        else:
+            begins = len(same) - int(np.argmin(same[::-1]))
+            yield pd.concat([*held, pdf.iloc[:begins]], ignore_index=True)
+            held = []
+        held.append(pdf.iloc[begins:])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+class _Blocks:
+    """Row arithmetic over many whole blocks at once.
+
+    Every block gets its own stretch of a number line, wide enough that looking
+    one window ahead of a row never reaches the stretch of the next block.
+    """
+
+    def __init__(self, pdf: pd.DataFrame, window: int, block_ms: int) -> None:
+        changed = (pdf[BLOCK_KEY] != pdf[BLOCK_KEY].shift()).any(axis=1).to_numpy()
+        self.group = np.cumsum(changed) - 1
+        self.first = np.flatnonzero(changed)
+        self.end = np.append(self.first[1:], len(pdf))
+        self.begin_ms = pdf["block"].to_numpy()[self.first] * block_ms
+        self.times = pdf["ts_ms"].to_numpy()
+        self.window = window
+        self.stretch = 4 * (block_ms + window)
+        self.line = self._place(self.times, self.group)
+
+    def _place(self, times: np.ndarray, group: np.ndarray) -> np.ndarray:
+        return group * self.stretch + times - self.begin_ms[group] + 2 * self.window
+
+    def after(self, starts: np.ndarray, group: np.ndarray) -> np.ndarray:
+        """First row of the group more than one window after each start, or its end."""
+        at = np.searchsorted(self.line, self._place(starts, group) + self.window, side="right")
+        return np.minimum(at, self.end[group])
 
 
 def _block_exits(window: int, block_ms: int):
-    """Per block: for every time at which a window may begin first, the last window start."""
-
-    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(pdf["ts_ms"].to_numpy())
-        n = len(times)
-        following = _first_after(times, times, window)
-        reach = np.where(following < n, following, np.arange(n))
-        while True:
-            further = reach[reach]
-            if np.array_equal(further, reach):
-                break
-            reach = further
-        begin = int(pdf["block"].iloc[0]) * block_ms
-        entries = min(n, int(_first_after(times, begin, window)) + 1)
-        return pd.DataFrame(
-            {
-                "client": pdf["client"].iloc[0],
-                "category": pdf["category"].iloc[0],
-                "block": pdf["block"].iloc[0],
-                "entry_ms": times[:entries],
-                "exit_ms": times[reach[:entries]],
-            }
-        )
+    """For every time at which the first window of a block may begin, where its last one does."""
+
+    def exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _whole_blocks(batches):
+            b = _Blocks(pdf, window, block_ms)
+            rows = np.arange(len(pdf))
+            following = b.after(b.times, b.group)
+            reach = np.where(following < b.end[b.group], following, rows)
+            while not np.array_equal(reach[reach], reach):
+                reach = reach[reach]
+            groups = np.arange(len(b.first))
+            entry = rows <= b.after(b.begin_ms, groups)[b.group]
+            out = pdf.loc[entry, BLOCK_KEY].copy()
+            out["entry_ms"], out["exit_ms"] = b.times[entry], b.times[reach[entry]]
+            yield out
 
     return exits
 
@@ -82,7 +117,7 @@ def _chain_blocks(window: int):
         key, block, start, entered = None, None, None, False
         for pdf in batches:
             rows = []
-            columns = (pdf[c] for c in ("client", "category", "block", "entry_ms", "exit_ms"))
+            columns = (pdf[c] for c in (*BLOCK_KEY, "entry_ms", "exit_ms"))
             for client, category, at, entry, leave in zip(*columns):
                 if (client, category) != key:
                     key, block, start = (client, category), None, None
@@ -91,42 +126,42 @@ def _chain_blocks(window: int):
                     rows.append((client, category, at, start))
                 if not entered and (start is None or entry > start + window):
                     start, entered = leave, True
-            out = pd.DataFrame(rows, columns=["client", "category", "block", "start_ms"])
+            out = pd.DataFrame(rows, columns=[*BLOCK_KEY, "start_ms"])
             yield out.astype({"start_ms": "Int64"})
 
     return chain
 
 
-def _number_requests(window: int):
-    """Window start and position of the requests of one block, from the window in force."""
-
-    def number(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_ms", "event_id"], kind="stable")
-        times, own = pdf["ts_ms"].to_numpy(), pdf["own"].to_numpy()
-        first = pdf["start_ms"].iloc[0]
-        known = not pd.isna(first)
-        starts = [int(first)] if known else []
-        own_times = times[own]
-        at = int(_first_after(own_times, starts[0], window)) if known else 0
-        while at < len(own_times):
-            starts.append(int(own_times[at]))
-            at = int(_first_after(own_times, starts[-1], window))
-        held = times >= starts[0]
-        times, own, ids = times[held], own[held], pdf["event_id"].to_numpy()[held]
-        begun = np.asarray(starts)
-        which = np.searchsorted(begun, times, side="right") - 1
-        position = np.arange(len(times)) - np.searchsorted(times, begun, side="left")[which] + 1
-        out = pd.DataFrame(
-            {
-                "event_id": ids,
-                "client": pdf["client"].iloc[0],
-                "category": pdf["category"].iloc[0],
-                "ts_ms": times,
-                "window_start": begun[which],
-                "position": position,
-            }
-        )
-        return out[own]
+def _number_requests(window: int, block_ms: int):
+    """Window start and position of the requests of each block, from the window in force."""
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _whole_blocks(batches):
+            b = _Blocks(pdf, window, block_ms)
+            rows, groups = np.arange(len(pdf)), np.arange(len(b.first))
+            own = pdf["own"].to_numpy(dtype=bool)
+            given = pd.array(pdf["start_ms"], dtype="Int64")[b.first]
+            known = ~np.asarray(given.isna())
+            # Without a window in force the first own request opens one.
+            start = np.where(known, given.fillna(0).to_numpy(dtype="int64"), b.begin_ms)
+            own_first = np.minimum.reduceat(np.where(own, rows, len(pdf)), b.first)
+            at = np.where(known, np.maximum(b.after(start, groups), own_first), own_first)
+            opens = np.zeros(len(pdf), dtype=bool)
+            live = groups
+            while len(live):
+                live = live[at[live] < b.end[live]]
+                opens[at[live]] = True
+                at[live] = b.after(b.times[at[live]], live)
+            # Rows before the first opening count from the start of the carried window.
+            carried = np.searchsorted(b.line, b._place(start, groups), side="left")
+            opened = np.maximum.accumulate(np.where(opens, rows, -1))
+            inside = opened >= b.first[b.group]
+            origin = np.where(inside, opened, carried[b.group])
+            begun = np.where(inside, b.times[np.maximum(opened, 0)], start[b.group])
+            out = pdf[["event_id", *KEY, "ts_ms"]].assign(
+                window_start=begun, position=rows - origin + 1
+            )
+            yield out[own]
 
     return number
 
@@ -153,13 +188,19 @@ def rate_verdicts(
         "event_id", *KEY, F.unix_millis("ts").alias("ts_ms")
     ).withColumn("block", block)
 
-    entries = timed.select(*KEY, "block", "ts_ms").distinct().groupBy(*KEY, "block").applyInPandas(
-        _block_exits(window_ms, block_ms),
-        "client string, category string, block bigint, entry_ms bigint, exit_ms bigint",
+    entries = (
+        timed.select(*BLOCK_KEY, "ts_ms")
+        .distinct()
+        .repartition(*BLOCK_KEY)
+        .sortWithinPartitions(*BLOCK_KEY, "ts_ms")
+        .mapInPandas(
+            _block_exits(window_ms, block_ms),
+            "client string, category string, block bigint, entry_ms bigint, exit_ms bigint",
+        )
     )
     in_force = (
         entries.repartition(*KEY)
-        .sortWithinPartitions(*KEY, "block", "entry_ms")
+        .sortWithinPartitions(*BLOCK_KEY, "entry_ms")
         .mapInPandas(
             _chain_blocks(window_ms),
             "client string, category string, block bigint, start_ms bigint",
@@ -175,9 +216,10 @@ def rate_verdicts(
     spread = timed.select("event_id", *KEY, "ts_ms", F.inline(copies))
     # A block without requests of its own has no row in in_force and drops out.
     numbered = (
-        spread.join(in_force, [*KEY, "block"])
-        .groupBy(*KEY, "block")
-        .applyInPandas(_number_requests(window_ms), VERDICT)
+        spread.join(in_force, BLOCK_KEY)
+        .repartition(*BLOCK_KEY)
+        .sortWithinPartitions(*BLOCK_KEY, "ts_ms", "event_id")
+        .mapInPandas(_number_requests(window_ms, block_ms), VERDICT)
     )
     return _judged(numbered, limits)
 
