@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditloom.functions import text as tx
-from auditloom.operators.match import _hits, ordinal
+from auditloom.operators.match import ordinal, rule_hit_array
 from auditloom.rules import HISTORY_TOOL, SECRET_RULES, rule_texts
+from auditloom.session import durable
 
 BLOCK_LINES = 100_000
 NO_COMMIT, NO_FILE = "unknown", "git-history"
@@ -30,6 +31,16 @@ def _is_marker():
     return F.col("line").startswith(COMMIT_MARK) | F.col("line").startswith(FILE_MARK)
 
 
+def _is_added():
+    return F.col("line").startswith("+") & ~F.col("line").startswith("+++")
+
+
+def _secret_hits():
+    """Positions of the secret rules that match the line."""
+    all_rules = F.lit(sum(1 << r.ord for r in SECRET_RULES))
+    return rule_hit_array(F.col("line"), F.lower("line"), all_rules, SECRET_RULES)
+
+
 def fill_history_context(git_log: DataFrame, block_lines: int = BLOCK_LINES) -> DataFrame:
     """Adds the commit and file in force at each line of a log.
 
@@ -71,26 +82,23 @@ def fill_history_context(git_log: DataFrame, block_lines: int = BLOCK_LINES) ->
     )
 
 
+def candidate_lines(git_log: DataFrame) -> DataFrame:
+    """The marks, and the added lines that hit a secret rule, of all log lines."""
+    hits = F.when(_is_added(), _secret_hits())
+    return git_log.filter(_is_marker() | (F.size(hits) > 0)).select("scan_id", "seq", "line")
+
+
 def history_findings(git_log: DataFrame) -> DataFrame:
-    """Secret rules over added lines; all else but the marks is dropped up front."""
-    added = F.col("line").startswith("+") & ~F.col("line").startswith("+++")
-    all_rules = F.lit(sum(1 << r.ord for r in SECRET_RULES))
-    tested = git_log.select(
-        "scan_id",
-        "seq",
-        "line",
-        F.when(
-            added, _hits(F.col("line"), F.lower("line"), all_rules, SECRET_RULES)
-        ).alias("_hits"),
-    ).filter(_is_marker() | (F.size("_hits") > 0))
-    kept = fill_history_context(tested.select("scan_id", "seq", "line"))
-    hit_rules = _hits(F.col("line"), F.lower("line"), all_rules, SECRET_RULES)
-    rows = (
-        kept.filter(added)
-        .withColumn("_rule", F.explode(F.transform(hit_rules, rule_texts)))
-        .withColumn("_evidence", F.col("line"))
+    """Secret rules over the added lines of the logs.
+
+    The log is read once: what the fill needs of it is written out first, as
+    the fill goes over its input several times.
+    """
+    kept = fill_history_context(durable(candidate_lines(git_log)))
+    rows = kept.filter(_is_added()).withColumn(
+        "_rule", F.explode(F.transform(_secret_hits(), rule_texts))
     )
-    rule, file = F.col("_rule.rule"), F.col("file")
+    rule, file, line = F.col("_rule.rule"), F.col("file"), F.col("line")
     return rows.select(
         "scan_id",
         ordinal(1, F.lit(""), F.lit(0), F.col("seq"), F.lit(0), rule),
@@ -102,8 +110,8 @@ def history_findings(git_log: DataFrame) -> DataFrame:
         tx.norm_path(file).alias("file"),
         F.lit(1).alias("line"),
         "_rule.explanation",
-        tx.evidence(F.lit(True), F.col("_evidence")).alias("evidence"),
+        tx.evidence(F.lit(True), line).alias("evidence"),
         "_rule.patch",
         "commit",
-        tx.fingerprint(rule, file, F.col("_evidence")).alias("fingerprint"),
+        tx.fingerprint(rule, file, line).alias("fingerprint"),
     )

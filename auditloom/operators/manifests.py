@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.functions.text import WS, trim_space
+from auditloom.functions.text import WS
 from auditloom.operators.files import base_name, text_lines, walk_key
 
 NPM_ENTRIES = 500
@@ -70,27 +70,27 @@ def composer_items(content: Column) -> Column:
     )
 
 
-def _matched_lines(lines: Column, pattern: str) -> Column:
+def _matched_lines(lines: Column, pattern: str, literal: str) -> Column:
+    """Both groups of each line that matches; ``literal`` is part of every match."""
     return F.transform(
-        F.filter(lines, lambda x: x.rlike(pattern)),
+        F.filter(lines, lambda x: x.contains(literal) & x.rlike(pattern)),
         lambda x: _pair(F.regexp_extract(x, pattern, 1), F.regexp_extract(x, pattern, 2)),
     )
 
 
 def requirements_items(content: Column) -> Column:
-    lines = F.transform(text_lines(content), trim_space)
-    return _matched_lines(lines, rf"^([A-Za-z0-9_.-]+)==([^{WS};]+)")
+    pattern = rf"^[{WS}]*([A-Za-z0-9_.-]+)==([^{WS};]+)"
+    return _matched_lines(text_lines(content), pattern, "==")
 
 
 def go_sum_items(content: Column) -> Column:
     pattern = rf"^({_NOT_WS}+)[{WS}]+v([^{WS}/]+)(?:/go\.mod)?[{WS}]+h1:"
-    return F.array_distinct(_matched_lines(text_lines(content), pattern))
+    return F.array_distinct(_matched_lines(text_lines(content), pattern, "h1:"))
 
 
 def gemfile_items(content: Column) -> Column:
-    return _matched_lines(
-        text_lines(content), rf"^[{WS}]{{4}}([A-Za-z0-9_.-]+) \(([^ )]+)\)"
-    )
+    pattern = rf"^[{WS}]{{4}}([A-Za-z0-9_.-]+) \(([^ )]+)\)"
+    return _matched_lines(text_lines(content), pattern, " (")
 
 
 def cargo_items(content: Column) -> Column:

@@ -46,7 +46,10 @@ def rule_mask(text: Column, folded: Column, rules: Sequence[Rule]) -> Column:
     return mask
 
 
-def _hits(text: Column, folded: Column, mask: Column, rules: Sequence[Rule]) -> Column:
+def rule_hit_array(
+    text: Column, folded: Column, mask: Column, rules: Sequence[Rule]
+) -> Column:
+    """Positions of the rules in the mask that match the text."""
     if not rules:
         return F.array().cast("array<int>")
     tests = [
@@ -125,8 +128,8 @@ def extract(
     units = candidate_units(files, rules, dependencies).withColumn("_folded", F.lower("text"))
     args = (F.col("text"), F.col("_folded"), F.col("_mask"))
     found = {
-        LINE_PHASE: _hits(*args, [r for r in rules if r in LINE_RULES]),
-        WINDOW_PHASE: _hits(*args, [r for r in rules if r in WINDOW_RULES]),
+        LINE_PHASE: rule_hit_array(*args, [r for r in rules if r in LINE_RULES]),
+        WINDOW_PHASE: rule_hit_array(*args, [r for r in rules if r in WINDOW_RULES]),
     }
     hits = (
         F.when(F.col("phase") == LINE_PHASE, found[LINE_PHASE])

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditloom.operators.compare import compare_scans
 from auditloom.operators.dependencies import dependency_findings
 from auditloom.operators.files import (
     MAX_BYTES,
@@ -121,3 +122,29 @@ def _every_scan(listed: DataFrame, volume: DataFrame) -> DataFrame:
         F.coalesce("truncated", F.lit(False)).alias("truncated"),
         "truncation_reason",
     )
+
+
+def compare_with_stored(
+    result: ScanResult,
+    previous_of: DataFrame,
+    stored_scans: DataFrame,
+    stored_findings: DataFrame,
+) -> DataFrame:
+    """Comparison of new scans with the stored earlier ones they name.
+
+    ``previous_of`` has scan_id and previous_scan_id. Both sides are the cut
+    lists; a scan whose predecessor is gone has no row.
+    """
+    key_columns = ["scan_id", "rule", "file", "line", "fingerprint"]
+    new = result.summary.select("scan_id", "score").join(
+        previous_of.select("scan_id", "previous_scan_id"), "scan_id", "left"
+    )
+    old = stored_scans.join(new.select("scan_id"), "scan_id", "left_anti").select(
+        "scan_id", "score", F.lit(None).cast("string").alias("previous_scan_id")
+    )
+    wanted = new.select(F.col("previous_scan_id").alias("scan_id")).distinct()
+    before = stored_findings.join(wanted, "scan_id", "left_semi")
+    return compare_scans(
+        new.unionByName(old),
+        result.stored.select(key_columns).unionByName(before.select(key_columns)),
+    )

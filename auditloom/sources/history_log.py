@@ -15,10 +15,9 @@ HISTORY_CHARS = 5_000_000
 def split_logs(logs: DataFrame, commits: int = HISTORY_COMMITS) -> DataFrame:
     """Numbered lines of (scan_id, log) rows: the first commits, cut to the text limit."""
     n = max(1, min(MAX_HISTORY_COMMITS, commits))
-    by_commit = F.split("log", r"(?m)^commit:", -1)
+    by_commit = F.split(F.substring("log", 1, HISTORY_CHARS), r"(?m)^commit:", -1)
     head = F.array_join(F.slice(by_commit, 1, n + 1), "commit:")
-    text = F.substring(head, 1, HISTORY_CHARS)
-    return logs.select("scan_id", F.posexplode(text_lines(text))).select(
+    return logs.select("scan_id", F.posexplode(text_lines(head))).select(
         "scan_id", F.col("pos").cast("long").alias("seq"), F.col("col").alias("line")
     )
 

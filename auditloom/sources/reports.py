@@ -56,81 +56,60 @@ def _word(col: Column) -> Column:
     return F.coalesce(col, F.lit("undefined"))
 
 
-def _as_findings(rows: DataFrame, tool: str) -> DataFrame:
-    line = F.when(F.coalesce("line", F.lit(0)) == 0, 1).otherwise(F.col("line"))
-    phase = F.lit(TOOLS.index(tool))
-    return rows.select(
-        "scan_id",
-        ordinal(2, F.lit(""), phase, F.col("index"), F.lit(0), F.col("rule")),
-        "id",
-        norm_severity(F.col("level")).alias("severity"),
-        "title",
-        F.lit(tool).alias("tool"),
-        "rule",
-        tx.norm_path(_or(F.col("file"), F.lit(DEFAULT_FILE))).alias("file"),
-        line.cast("int").alias("line"),
-        "explanation",
-        F.substring(_or(F.col("evidence"), F.lit(DEFAULT_EVIDENCE)), 1, 500).alias("evidence"),
-        "patch",
-        F.lit(None).cast("string").alias("commit"),
-        F.lit(None).cast("string").alias("fingerprint"),
-    )
-
-
-def _of(reports: DataFrame, tool: str) -> DataFrame:
-    return reports.filter(F.col("tool") == tool)
+ITEM = (
+    "struct<id:string,level:string,title:string,rule:string,file:string,line:int,"
+    "explanation:string,evidence:string,patch:array<string>>"
+)
 
 
-def semgrep_findings(reports: DataFrame) -> DataFrame:
-    items = F.from_json("report", SEMGREP_REPORT)["results"]
-    x = _of(reports, SEMGREP).select("scan_id", F.posexplode(items).alias("index", "r"))
-    check, message = F.col("r.check_id"), F.col("r.extra.message")
-    rows = x.select(
-        "scan_id",
-        "index",
-        F.concat(F.lit("SEMGREP-"), F.col("index"), F.lit("-"), _word(check)).alias("id"),
-        F.col("r.extra.severity").alias("level"),
-        _or(message, check).alias("title"),
-        check.alias("rule"),
-        F.col("r.path").alias("file"),
-        F.col("r.start.line").alias("line"),
-        _or(
-            F.col("r.extra.metadata.shortDescription"),
-            tx.blank_to_null(message),
-            F.lit(SEMGREP_EXPLANATION),
-        ).alias("explanation"),
-        F.col("r.extra.lines").alias("evidence"),
-        F.when(
-            tx.blank_to_null(F.col("r.extra.fix")).isNotNull(), F.array(F.col("r.extra.fix"))
+def _item(**fields: Column) -> Column:
+    return F.struct(*[value.alias(name) for name, value in fields.items()])
+
+
+def _semgrep_items() -> Column:
+    def item(r: Column, i: Column) -> Column:
+        check, message, fix = r["check_id"], r["extra"]["message"], r["extra"]["fix"]
+        return _item(
+            id=F.concat(F.lit("SEMGREP-"), i.cast("string"), F.lit("-"), _word(check)),
+            level=r["extra"]["severity"],
+            title=_or(message, check),
+            rule=check,
+            file=r["path"],
+            line=r["start"]["line"],
+            explanation=_or(
+                r["extra"]["metadata"]["shortDescription"],
+                tx.blank_to_null(message),
+                F.lit(SEMGREP_EXPLANATION),
+            ),
+            evidence=r["extra"]["lines"],
+            patch=F.when(F.coalesce(fix, F.lit("")) != "", F.array(fix)).otherwise(
+                _strings(DEFAULT_PATCH)
+            ),
         )
-        .otherwise(_strings(DEFAULT_PATCH))
-        .alias("patch"),
-    )
-    return _as_findings(rows, SEMGREP)
 
+    return F.transform(F.from_json("report", SEMGREP_REPORT)["results"], item)
+
+
+def _gitleaks_items() -> Column:
+    def item(r: Column, i: Column) -> Column:
+        rule = r["RuleID"]
+        return _item(
+            id=F.concat(F.lit("GITLEAKS-"), i.cast("string"), F.lit("-"), _word(rule)),
+            level=F.lit("critical"),
+            title=_or(r["Description"], F.lit(GITLEAKS_TITLE)),
+            rule=rule,
+            file=r["File"],
+            line=r["StartLine"],
+            explanation=F.lit(GITLEAKS_EXPLANATION),
+            evidence=F.concat(
+                F.lit("Fingerprint: "), _or(r["Fingerprint"], F.lit("redacted"))
+            ),
+            patch=_strings(GITLEAKS_PATCH),
+        )
 
-def gitleaks_findings(reports: DataFrame) -> DataFrame:
     # A report that is not an array holds no findings.
     is_array = F.col("report").rlike(rf"\A[{tx.WS}]*\[")
-    items = F.when(is_array, F.from_json("report", GITLEAKS_REPORT))
-    x = _of(reports, GITLEAKS).select("scan_id", F.posexplode(items).alias("index", "r"))
-    rule = F.col("r.RuleID")
-    rows = x.select(
-        "scan_id",
-        "index",
-        F.concat(F.lit("GITLEAKS-"), F.col("index"), F.lit("-"), _word(rule)).alias("id"),
-        F.lit("critical").alias("level"),
-        _or(F.col("r.Description"), F.lit(GITLEAKS_TITLE)).alias("title"),
-        rule.alias("rule"),
-        F.col("r.File").alias("file"),
-        F.col("r.StartLine").alias("line"),
-        F.lit(GITLEAKS_EXPLANATION).alias("explanation"),
-        F.concat(
-            F.lit("Fingerprint: "), _or(F.col("r.Fingerprint"), F.lit("redacted"))
-        ).alias("evidence"),
-        _strings(GITLEAKS_PATCH).alias("patch"),
-    )
-    return _as_findings(rows, GITLEAKS)
+    return F.transform(F.when(is_array, F.from_json("report", GITLEAKS_REPORT)), item)
 
 
 def _flat(levels: Column, inner) -> Column:
@@ -138,53 +117,95 @@ def _flat(levels: Column, inner) -> Column:
     return F.flatten(F.filter(F.transform(levels, inner), lambda a: a.isNotNull()))
 
 
-def osv_report_findings(reports: DataFrame) -> DataFrame:
-    """The nest is flattened inside the row, so its position is the running index."""
-    items = _flat(
+def _osv_items() -> Column:
+    """The nest is flattened inside the row, so the position is the running index."""
+    flat = _flat(
         F.from_json("report", OSV_REPORT)["results"],
         lambda res: _flat(
             res["packages"],
             lambda pkg: F.transform(
                 pkg["vulnerabilities"],
-                lambda v: F.struct(
-                    res["source"]["path"].alias("path"),
-                    pkg["package"]["name"].alias("name"),
-                    pkg["package"]["version"].alias("version"),
-                    v["id"].alias("id"),
-                    v["summary"].alias("summary"),
-                    v["database_specific"]["severity"].alias("severity"),
+                lambda v: _item(
+                    path=res["source"]["path"],
+                    name=pkg["package"]["name"],
+                    version=pkg["package"]["version"],
+                    id=v["id"],
+                    summary=v["summary"],
+                    severity=v["database_specific"]["severity"],
                 ),
             ),
         ),
     )
-    x = _of(reports, OSV_SCANNER).select("scan_id", F.posexplode(items).alias("index", "r"))
-    rule, name = F.col("r.id"), F.col("r.name")
-    rows = x.select(
+
+    def item(r: Column, i: Column) -> Column:
+        rule, name = r["id"], r["name"]
+        return _item(
+            id=F.concat(F.lit("OSV-"), _word(rule), F.lit("-"), i.cast("string")),
+            level=_or(r["severity"], F.lit("high")),
+            title=F.concat(_word(rule), F.lit(" affects "), _or(name, F.lit("a dependency"))),
+            rule=rule,
+            file=_or(r["path"], F.lit("dependency manifest")),
+            line=F.lit(1),
+            explanation=_or(r["summary"], F.lit(OSV_EXPLANATION)),
+            evidence=F.concat(
+                _or(name, F.lit("package")),
+                F.lit(" "),
+                _or(r["version"], F.lit("unknown version")),
+            ),
+            patch=_strings(OSV_PATCH),
+        )
+
+    return F.transform(flat, item)
+
+
+_ITEMS = {SEMGREP: _semgrep_items, GITLEAKS: _gitleaks_items, OSV_SCANNER: _osv_items}
+
+
+def _findings(reports: DataFrame, tools: tuple[str, ...]) -> DataFrame:
+    """Findings of the given tools in one pass over the reports."""
+    items, phase = None, None
+    for t in tools:
+        mine, n = F.col("tool") == t, TOOLS.index(t)
+        value = _ITEMS[t]().cast(f"array<{ITEM}>")
+        items = F.when(mine, value) if items is None else items.when(mine, value)
+        phase = F.when(mine, n) if phase is None else phase.when(mine, n)
+    rows = reports.filter(F.col("tool").isin(*tools)).select(
+        "scan_id", "tool", phase.alias("_phase"), F.posexplode(items).alias("_index", "r")
+    )
+    line = F.when(F.coalesce("r.line", F.lit(0)) == 0, 1).otherwise(F.col("r.line"))
+    return rows.select(
         "scan_id",
-        "index",
-        F.concat(F.lit("OSV-"), _word(rule), F.lit("-"), F.col("index")).alias("id"),
-        _or(F.col("r.severity"), F.lit("high")).alias("level"),
-        F.concat(_word(rule), F.lit(" affects "), _or(name, F.lit("a dependency"))).alias("title"),
-        rule.alias("rule"),
-        _or(F.col("r.path"), F.lit("dependency manifest")).alias("file"),
-        F.lit(1).alias("line"),
-        _or(F.col("r.summary"), F.lit(OSV_EXPLANATION)).alias("explanation"),
-        F.concat(
-            _or(name, F.lit("package")),
-            F.lit(" "),
-            _or(F.col("r.version"), F.lit("unknown version")),
-        ).alias("evidence"),
-        _strings(OSV_PATCH).alias("patch"),
+        ordinal(2, F.lit(""), F.col("_phase"), F.col("_index"), F.lit(0), F.col("r.rule")),
+        "r.id",
+        norm_severity(F.col("r.level")).alias("severity"),
+        "r.title",
+        "tool",
+        "r.rule",
+        tx.norm_path(_or(F.col("r.file"), F.lit(DEFAULT_FILE))).alias("file"),
+        line.cast("int").alias("line"),
+        "r.explanation",
+        F.substring(_or(F.col("r.evidence"), F.lit(DEFAULT_EVIDENCE)), 1, tx.EVIDENCE_CHARS)
+        .alias("evidence"),
+        "r.patch",
+        F.lit(None).cast("string").alias("commit"),
+        F.lit(None).cast("string").alias("fingerprint"),
     )
-    return _as_findings(rows, OSV_SCANNER)
+
+
+def semgrep_findings(reports: DataFrame) -> DataFrame:
+    return _findings(reports, (SEMGREP,))
+
+
+def gitleaks_findings(reports: DataFrame) -> DataFrame:
+    return _findings(reports, (GITLEAKS,))
+
+
+def osv_report_findings(reports: DataFrame) -> DataFrame:
+    return _findings(reports, (OSV_SCANNER,))
 
 
 def external_findings(reports: DataFrame) -> DataFrame:
-    return (
-        semgrep_findings(reports)
-        .unionByName(gitleaks_findings(reports))
-        .unionByName(osv_report_findings(reports))
-    )
+    return _findings(reports, TOOLS)
 
 
 def external_tool_status(reports: DataFrame, findings: DataFrame) -> DataFrame:

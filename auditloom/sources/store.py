@@ -53,8 +53,14 @@ def store_metrics(scans: DataFrame, findings: DataFrame, limit: int = RECENT_SCA
     """
     recent = recent_scans(scans, limit).select("scan_id")
     held = findings.select("scan_id").join(F.broadcast(recent), "scan_id", "left_semi")
-    stored = recent.agg(F.count(F.lit(1)).alias("scans_stored"))
-    return stored.join(held.agg(F.count(F.lit(1)).alias("findings_stored")))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    rows = recent.select(one.alias("scan"), none.alias("finding")).unionByName(
+        held.select(none.alias("scan"), one.alias("finding"))
+    )
+    return rows.agg(
+        F.coalesce(F.sum("scan"), none).alias("scans_stored"),
+        F.coalesce(F.sum("finding"), none).alias("findings_stored"),
+    )
 
 
 def write_version(df: DataFrame, path: str, version: int, sort_by: str = "created_at") -> None:
