@@ -12,6 +12,12 @@ WS = (
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 )
 
+# The same set as characters.
+WS_CHARS = (
+    "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
+
 # ASCII word boundaries; Java's own \b is Unicode-aware.
 WORD_START = r"(?<![A-Za-z0-9_])"
 WORD_END = r"(?![A-Za-z0-9_])"
@@ -24,7 +30,7 @@ ERROR_CHARS = 500
 
 
 def trim_space(col: Column) -> Column:
-    return F.regexp_replace(col, rf"^[{WS}]+|[{WS}]+\z", "")
+    return F.btrim(col, F.lit(WS_CHARS))
 
 
 def norm_path(col: Column) -> Column:

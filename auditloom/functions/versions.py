@@ -1,4 +1,4 @@
-"""Dotted version comparison."""
+"""Dotted version comparison by sort keys."""
 
 from __future__ import annotations
 
@@ -6,25 +6,34 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def version_parts(col: Column) -> Column:
+def _parts(col: Column) -> Column:
     """Numeric parts; a part that is not all digits counts as zero."""
+    digits = lambda p: (p != "") & (F.translate(p, "0123456789", "") == "")
     return F.transform(
         F.split(col, r"\."),
-        lambda p: F.when(p.rlike(r"^[0-9]+\z"), p.cast("double")).otherwise(F.lit(0.0)),
+        lambda p: F.when(digits(p), p.cast("double")).otherwise(F.lit(0.0)),
     )
 
 
-def strip_prefix(col: Column) -> Column:
-    return F.regexp_replace(col, r"\A[^0-9]*", "")
+def bound_key(col: Column) -> Column:
+    """Sort key of a version bound.
 
+    A missing part counts as zero, so zeros at the end are dropped; the arrays
+    then compare part by part, and a shorter one is lower than its extensions.
+    """
 
-def _padded(parts: Column, width: Column) -> Column:
-    return F.concat(parts, F.array_repeat(F.lit(0.0), (width - F.size(parts)).cast("int")))
+    def trimmed(parts: Column) -> Column:
+        places = F.transform(parts, lambda x, i: F.when(x != 0, i + 1).otherwise(0))
+        return F.slice(parts, 1, F.array_max(places))
+
+    # One-element array: the parts are computed once for both uses.
+    return F.get(F.transform(F.array(_parts(col)), trimmed), F.lit(0))
+
+
+def version_key(col: Column) -> Column:
+    """Sort key of a listed version; what precedes its first digit is ignored."""
+    return bound_key(F.regexp_replace(col, r"\A[^0-9]+", ""))
 
 
 def version_below(version: Column, bound: Column) -> Column:
-    """True when ``version`` is strictly lower; missing parts count as zero."""
-    left = version_parts(strip_prefix(version))
-    right = version_parts(bound)
-    width = F.greatest(F.size(left), F.size(right))
-    return _padded(left, width) < _padded(right, width)
+    return version_key(version) < bound_key(bound)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from auditloom.functions import text as tx
 from auditloom.functions.severity import norm_advisory_severity
-from auditloom.functions.versions import version_below
+from auditloom.functions.versions import bound_key, version_key
 from auditloom.operators.manifests import NPM_ENTRIES
 from auditloom.operators.match import DEPENDENCY_PHASE, ordinal
 from auditloom.rules import ADVISORY_TOOL, BASELINE_TOOL
@@ -65,8 +65,9 @@ def _finding_columns(rows: DataFrame, tool: str) -> DataFrame:
 
 def baseline_findings(inventory: DataFrame, baselines: DataFrame) -> DataFrame:
     """Dependencies whose version is below the first safe version of the name."""
-    i, b = inventory.alias("i"), baselines.alias("b")
-    below = version_below(F.col("i.version"), F.col("b.below"))
+    keyed = baselines.withColumn("below_key", bound_key(F.col("below")))
+    i, b = inventory.alias("i"), keyed.alias("b")
+    below = version_key(F.col("i.version")) < F.col("b.below_key")
     hit = i.join(b, (F.col("i.name") == F.col("b.name")) & below)
     name, version = F.col("i.name"), F.col("i.version")
     rows = hit.select(

@@ -9,6 +9,7 @@ from auditloom.functions.text import WS
 from auditloom.operators.files import base_name, text_lines, walk_key
 
 NPM_ENTRIES = 500
+MAX_TEXT = 2**31 - 1
 ITEM_TYPE = "array<struct<name:string,version:string>>"
 
 # Ecosystem per lock file name.
@@ -50,7 +51,7 @@ def npm_items(content: Column, limit: int | None = NPM_ENTRIES) -> Column:
         F.transform(
             entries,
             lambda e: _pair(
-                F.regexp_replace(e["key"], r"\Anode_modules/", ""),
+                _without(e["key"], "node_modules/"),
                 F.get_json_object(e["value"], "$.version"),
             ),
         )
@@ -66,15 +67,27 @@ def composer_items(content: Column) -> Column:
         F.coalesce(lock["packages"], none), F.coalesce(lock["packages-dev"], none)
     )
     return F.transform(
-        _items(both), lambda d: _pair(d["name"], F.regexp_replace(d["version"], r"\Av", ""))
+        _items(both), lambda d: _pair(d["name"], _without(d["version"], "v"))
     )
 
 
+def _without(text: Column, prefix: str) -> Column:
+    rest = F.substring(text, len(prefix) + 1, MAX_TEXT)
+    return F.when(text.startswith(prefix), rest).otherwise(text)
+
+
 def _matched_lines(lines: Column, pattern: str, literal: str) -> Column:
-    """Both groups of each line that matches; ``literal`` is part of every match."""
+    """Both groups of each line that matches; ``literal`` is part of every match.
+
+    A line holds no newline, so one replacement per line puts the groups apart
+    with it, and lines that do not match stay in one piece.
+    """
+    groups = F.transform(
+        F.filter(lines, lambda x: x.contains(literal)),
+        lambda x: F.split(F.regexp_replace(x, pattern + r"[\s\S]*\z", "$1\n$2"), "\n"),
+    )
     return F.transform(
-        F.filter(lines, lambda x: x.contains(literal) & x.rlike(pattern)),
-        lambda x: _pair(F.regexp_extract(x, pattern, 1), F.regexp_extract(x, pattern, 2)),
+        F.filter(groups, lambda g: F.size(g) == 2), lambda g: _pair(g[0], g[1])
     )
 
 
@@ -84,7 +97,7 @@ def requirements_items(content: Column) -> Column:
 
 
 def go_sum_items(content: Column) -> Column:
-    pattern = rf"^({_NOT_WS}+)[{WS}]+v([^{WS}/]+)(?:/go\.mod)?[{WS}]+h1:"
+    pattern = rf"^({_NOT_WS}++)[{WS}]++v([^{WS}/]++)(?:/go\.mod)?[{WS}]++h1:"
     return F.array_distinct(_matched_lines(text_lines(content), pattern, "h1:"))
 
 
