@@ -30,30 +30,27 @@ def rescan_pairs(scans: DataFrame) -> DataFrame:
 
 
 def _keyed_counts(pairs: DataFrame, findings: DataFrame) -> DataFrame:
-    """Rows of the current and of the previous scan per comparison key."""
+    """Rows of the current and of the previous scan per comparison key.
+
+    A scan's keys are counted once, whether it is the current scan of a pair or
+    the previous one of others.
+    """
     per_key = (
         findings.select("scan_id", comparison_key().alias("key"))
         .groupBy("scan_id", "key")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    now = per_key.join(pairs.select("scan_id"), "scan_id", "left_semi").select(
-        "scan_id", "key", F.col("n").alias("now"), F.lit(0).cast("long").alias("before")
-    )
-    before = (
-        pairs.select(F.col("scan_id").alias("pair"), F.col("previous_scan_id").alias("scan_id"))
-        .join(per_key, "scan_id")
-        .select(
-            F.col("pair").alias("scan_id"),
-            "key",
-            F.lit(0).cast("long").alias("now"),
-            F.col("n").alias("before"),
-        )
-    )
-    return (
-        now.unionByName(before)
-        .groupBy("scan_id", "key")
-        .agg(F.sum("now").alias("now"), F.sum("before").alias("before"))
+    sides = F.array(
+        F.struct(F.col("scan_id").alias("side_id"), F.lit(True).alias("is_now")),
+        F.struct(F.col("previous_scan_id").alias("side_id"), F.lit(False).alias("is_now")),
     )
+    links = pairs.select(F.col("scan_id").alias("pair"), F.inline(sides))
+    counted = links.join(per_key, F.col("side_id") == F.col("scan_id")).groupBy("pair", "key")
+    zero = F.lit(0).cast("long")
+    return counted.agg(
+        F.sum(F.when(F.col("is_now"), F.col("n")).otherwise(zero)).alias("now"),
+        F.sum(F.when(F.col("is_now"), zero).otherwise(F.col("n"))).alias("before"),
+    ).withColumnRenamed("pair", "scan_id")
 
 
 def compare_scans(scans: DataFrame, findings: DataFrame) -> DataFrame:

@@ -95,6 +95,10 @@ def oracles() -> dict[str, str]:
             f"SELECT scan_id, path, line_no, text FROM {source} WHERE regexp_matches(text, {lit(rule.re2_pattern())})",
         )
     add("dependency_inventory", "SELECT scan_id, file, ecosystem, name, version, pos FROM inventory")
+    add(
+        "advisory_replies",
+        "SELECT ecosystem, name, version, id, summary, word AS severity FROM adv WHERE word <> 'low'",
+    )
     add("baseline_join", f"SELECT {FLAT} FROM baseline_findings")
     add("advisory_join", f"SELECT {FLAT} FROM advisory_findings")
     add("source_fallback", f"SELECT {FLAT} FROM fallback_findings")

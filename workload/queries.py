@@ -14,6 +14,7 @@ from auditloom.operators import match, review
 from auditloom.plans.scan import ScanResult, scan_snapshots
 from auditloom.rules import LINE_RULES, RULES
 from auditloom.session import durable, shared_folder
+from auditloom.sources.advisories import advisories_from_replies
 from auditloom.sources import archives, exports, history_log, reports, repositories, store
 from auditloom.streaming import decisions, jobs, rates, scans, sinks
 from workload import views as v
@@ -123,6 +124,10 @@ def dependency_inventory(spark, sf):
     )
 
 
+def advisory_replies(spark, sf):
+    return advisories_from_replies(v.advisory_replies(spark, sf))
+
+
 def baseline_join(spark, sf):
     inventory = manifests.dependency_inventory(v.lock_files(spark, sf))
     return flat(dependencies.baseline_findings(inventory, v.baselines(spark, sf)))
@@ -597,7 +602,7 @@ def registered() -> dict[str, Query]:
     plain: tuple[Query, ...] = (
         eligible_files, pruned_directories, file_limit, byte_budget, scan_volume, scanned_files,
         line_explode, line_windows, line_findings, window_findings, html_findings,
-        secret_findings, dependency_inventory, baseline_join, advisory_join, source_fallback,
+        secret_findings, dependency_inventory, advisory_replies, baseline_join, advisory_join, source_fallback,
         history_context, history_findings, history_lines, finding_union, finding_dedup,
         security_scores, severity_counts, top_findings, report_rules, severity_breakdown,
         scanner_breakdown, scan_summary, full_scan_findings, semgrep_findings, gitleaks_findings,

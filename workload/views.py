@@ -239,6 +239,23 @@ def advisories(spark: SparkSession, sf: str) -> DataFrame:
     return rows.unionByName(core)
 
 
+def advisory_replies(spark: SparkSession, sf: str) -> DataFrame:
+    """The advisories as staged look-up replies; some dependencies have none."""
+    found = F.struct(
+        F.array(
+            F.struct(
+                "id", "summary", F.struct(F.col("severity")).alias("database_specific")
+            )
+        ).alias("vulns")
+    )
+    return advisories(spark, sf).select(
+        "ecosystem",
+        "name",
+        "version",
+        F.when(F.col("severity") == "low", "{}").otherwise(F.to_json(found)).alias("reply"),
+    )
+
+
 def repositories(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("c_custkey")
     path = _text(F.col("c_mktsegment"), "/r", key.cast("string"))
