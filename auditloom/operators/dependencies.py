@@ -116,19 +116,25 @@ def advisory_findings(inventory: DataFrame, advisories: DataFrame) -> DataFrame:
 
 
 def dependency_findings(
-    inventory: DataFrame, advisories: DataFrame, baselines: DataFrame
+    inventory: DataFrame, advisories: DataFrame, baselines: DataFrame, scans: DataFrame
 ) -> DataFrame:
     """Advisory findings, or baselines where the advisory source was not available.
 
-    ``inventory`` is the unlimited one and carries ``advisories_available`` per
-    row. Only the advisory look-up is held to the npm entry limit; the fallback
-    covers npm lock files only.
+    ``inventory`` is the unlimited one; ``scans`` has scan_id and
+    advisories_available. Only the advisory look-up is held to the npm entry
+    limit; the fallback covers npm lock files only. Availability is tested on
+    the hits, so that the inventory itself is not shuffled by snapshot.
     """
     is_npm = F.col("ecosystem") == "npm"
-    online = inventory.filter(
-        F.col("advisories_available") & (~is_npm | (F.col("pos") < NPM_ENTRIES))
-    )
-    fallback = inventory.filter(~F.col("advisories_available") & is_npm)
-    return advisory_findings(online, advisories).unionByName(
-        baseline_findings(fallback, baselines)
+    looked_up = inventory.filter(~is_npm | (F.col("pos") < NPM_ENTRIES))
+    online = scans.filter("advisories_available").select("scan_id")
+    offline = scans.filter("not advisories_available").select("scan_id")
+    return (
+        advisory_findings(looked_up, advisories)
+        .join(online, "scan_id", "left_semi")
+        .unionByName(
+            baseline_findings(inventory.filter(is_npm), baselines).join(
+                offline, "scan_id", "left_semi"
+            )
+        )
     )

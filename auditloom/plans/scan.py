@@ -91,13 +91,12 @@ def scan_snapshots(
         "version",
         F.col("line_no").alias("pos"),
     )
-    flagged = inventory.join(listed.select("scan_id", "advisories_available"), "scan_id")
     with_history = git_log.join(
         listed.filter("history_available").select("scan_id"), "scan_id", "left_semi"
     )
     own = dedup_findings(
         all_findings(
-            dependency_findings(flagged, advisories, baselines),
+            dependency_findings(inventory, advisories, baselines, listed),
             rule_findings,
             history_findings(with_history),
         )

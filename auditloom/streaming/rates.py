@@ -91,7 +91,7 @@ class _Blocks:
 
 
 def _block_exits(window: int, block_ms: int):
-    """For every time at which the first window of a block may begin, where its last one does."""
+    """For the times at which the first window of a block may begin, where its last one does."""
 
     def exits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in _whole_blocks(batches):
@@ -103,6 +103,11 @@ def _block_exits(window: int, block_ms: int):
                 reach = reach[reach]
             groups = np.arange(len(b.first))
             entry = rows <= b.after(b.begin_ms, groups)[b.group]
+            # Exits never decrease: the last entry of each run of equal exits is enough.
+            last = np.append(
+                (reach[1:] != reach[:-1]) | (b.group[1:] != b.group[:-1]) | ~entry[1:], True
+            )
+            entry &= last
             out = pdf.loc[entry, BLOCK_KEY].copy()
             out["entry_ms"], out["exit_ms"] = b.times[entry], b.times[reach[entry]]
             yield out

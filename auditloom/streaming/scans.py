@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, fields, replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from auditloom.plans.scan import Limits, scan_snapshots
 from auditloom.session import broadcast_if_small, durable
 from auditloom.streaming.sinks import newest_by, read_batches, write_batch
 
+LITERAL_IDS = 1_000
+PER_SCAN = ("files", "git_log", "reports")
+
 
 @dataclass(frozen=True)
 class SnapshotTables:
@@ -22,13 +26,20 @@ class SnapshotTables:
     advisories: DataFrame
     baselines: DataFrame
 
-    def of(self, scan_ids: DataFrame) -> SnapshotTables:
-        """Only the rows of the given snapshots."""
-        own = {
-            f.name: getattr(self, f.name).join(scan_ids, "scan_id", "left_semi")
-            for f in fields(self)
-            if f.name in ("files", "git_log", "reports")
-        }
+    def of(self, announced: DataFrame) -> SnapshotTables:
+        """Only the rows of the announced snapshots.
+
+        A usual batch is small: its ids become a literal filter, which prunes
+        partitions and row groups of tables laid out by scan_id. A larger batch
+        is a semi join.
+        """
+        ids = announced.select("scan_id")
+        some = [r.scan_id for r in ids.limit(LITERAL_IDS + 1).collect()]
+        if len(some) <= LITERAL_IDS:
+            own = {n: getattr(self, n).filter(F.col("scan_id").isin(some)) for n in PER_SCAN}
+        else:
+            held = broadcast_if_small(ids)
+            own = {n: getattr(self, n).join(held, "scan_id", "left_semi") for n in PER_SCAN}
         return replace(self, **own)
 
 
@@ -51,8 +62,7 @@ def scan_stream(
         announced = durable(batch.dropDuplicates(["scan_id"]))
         if announced.isEmpty():
             return
-        ids = broadcast_if_small(announced.select("scan_id"))
-        own = tables.of(ids)
+        own = tables.of(announced)
         result = scan_snapshots(
             announced, own.files, own.git_log, own.reports, own.advisories, own.baselines, limits
         )

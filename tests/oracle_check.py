@@ -53,6 +53,8 @@ def main(sf: str, names: list[str]) -> int:
 
     spark = local_session("8")
     spark.sparkContext.setLogLevel("ERROR")
+    if zone := os.environ.get("AUDITLOOM_TEST_ZONE"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
     con = duck(sf)
     queries, sql = entry.queries(), entry.oracle_sql()
     bad = 0

@@ -139,12 +139,11 @@ def advisory_join(spark, sf):
 
 
 def _fallback(spark, sf):
-    number = F.substring_index("scan_id", "-", -1).cast("int")
-    inventory = manifests.dependency_inventory(v.lock_files(spark, sf), npm_limit=None)
     return dependencies.dependency_findings(
-        inventory.withColumn("advisories_available", number % 3 != 0),
+        manifests.dependency_inventory(v.lock_files(spark, sf), npm_limit=None),
         v.advisories(spark, sf),
         v.baselines(spark, sf),
+        v.snapshot_list(spark, sf),
     )
 
 
