@@ -106,3 +106,12 @@ def indent_block(col: Column) -> Column:
 
 def blank_to_null(col: Column) -> Column:
     return F.nullif(col, F.lit(""))
+
+
+def whole_json(col: Column, closing: str) -> Column:
+    """The text if it ends like a whole document, else NULL.
+
+    The JSON parser stops behind the first value and would take a text with
+    anything after it.
+    """
+    return F.when(F.rtrim(col, F.lit(" \t\r\n")).endswith(closing), col)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.functions.text import WS
+from auditloom.functions.text import WS, whole_json
 from auditloom.operators.files import base_name, text_lines, walk_key
 
 NPM_ENTRIES = 500
@@ -38,15 +38,27 @@ def _pair(name: Column, version: Column) -> Column:
     return F.struct(name.alias("name"), version.alias("version"))
 
 
+def _last_entries(packages: Column) -> Column:
+    """Entries of a parsed object; of a repeated key the last value at the first place."""
+    keys, entries = F.map_keys(packages), F.map_entries(packages)
+    unique = F.array_distinct(keys)
+    last = F.transform(
+        unique, lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)
+    )
+    return F.when(F.size(unique) == F.size(keys), entries).otherwise(last)
+
+
 def npm_items(content: Column, limit: int | None = NPM_ENTRIES) -> Column:
     """Entries of ``packages``, or of ``dependencies`` where that is missing.
 
     Entry values stay raw JSON text, so one odd entry does not spoil the rest.
     """
     lock = F.from_json(
-        content, "packages map<string,string>, dependencies map<string,string>"
+        whole_json(content, "}"), "packages map<string,string>, dependencies map<string,string>"
     )
-    entries = F.map_entries(F.coalesce(lock["packages"], lock["dependencies"]))
+    entries = F.transform(
+        F.array(F.coalesce(lock["packages"], lock["dependencies"])), _last_entries
+    )[0]
     items = _items(
         F.transform(
             entries,
@@ -61,7 +73,7 @@ def npm_items(content: Column, limit: int | None = NPM_ENTRIES) -> Column:
 
 def composer_items(content: Column) -> Column:
     package = "array<struct<name:string,version:string>>"
-    lock = F.from_json(content, f"packages {package}, `packages-dev` {package}")
+    lock = F.from_json(whole_json(content, "}"), f"packages {package}, `packages-dev` {package}")
     none = F.array().cast(package)
     both = F.concat(
         F.coalesce(lock["packages"], none), F.coalesce(lock["packages-dev"], none)

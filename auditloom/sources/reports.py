@@ -28,12 +28,12 @@ OSV_PATCH = (
 )
 
 SEMGREP_REPORT = (
-    "results array<struct<check_id:string,path:string,start:struct<line:int>,"
+    "results array<struct<check_id:string,path:string,start:struct<line:string>,"
     "extra:struct<severity:string,message:string,lines:string,fix:string,"
     "metadata:struct<shortDescription:string>>>>"
 )
 GITLEAKS_REPORT = (
-    "array<struct<RuleID:string,Description:string,File:string,StartLine:int,Fingerprint:string>>"
+    "array<struct<RuleID:string,Description:string,File:string,StartLine:string,Fingerprint:string>>"
 )
 OSV_REPORT = (
     "results array<struct<source:struct<path:string>,packages:array<struct<"
@@ -57,7 +57,7 @@ def _word(col: Column) -> Column:
 
 
 ITEM = (
-    "struct<id:string,level:string,title:string,rule:string,file:string,line:int,"
+    "struct<id:string,level:string,title:string,rule:string,file:string,line:string,"
     "explanation:string,evidence:string,patch:array<string>>"
 )
 
@@ -87,7 +87,7 @@ def _semgrep_items() -> Column:
             ),
         )
 
-    return F.transform(F.from_json("report", SEMGREP_REPORT)["results"], item)
+    return F.transform(F.from_json(tx.whole_json(F.col("report"), "}"), SEMGREP_REPORT)["results"], item)
 
 
 def _gitleaks_items() -> Column:
@@ -109,7 +109,7 @@ def _gitleaks_items() -> Column:
 
     # A report that is not an array holds no findings.
     is_array = F.col("report").rlike(rf"\A[{tx.WS}]*\[")
-    return F.transform(F.when(is_array, F.from_json("report", GITLEAKS_REPORT)), item)
+    return F.transform(F.when(is_array, F.from_json(tx.whole_json(F.col("report"), "]"), GITLEAKS_REPORT)), item)
 
 
 def _flat(levels: Column, inner) -> Column:
@@ -120,7 +120,7 @@ def _flat(levels: Column, inner) -> Column:
 def _osv_items() -> Column:
     """The nest is flattened inside the row, so the position is the running index."""
     flat = _flat(
-        F.from_json("report", OSV_REPORT)["results"],
+        F.from_json(tx.whole_json(F.col("report"), "}"), OSV_REPORT)["results"],
         lambda res: _flat(
             res["packages"],
             lambda pkg: F.transform(
@@ -145,7 +145,7 @@ def _osv_items() -> Column:
             title=F.concat(_word(rule), F.lit(" affects "), _or(name, F.lit("a dependency"))),
             rule=rule,
             file=_or(r["path"], F.lit("dependency manifest")),
-            line=F.lit(1),
+            line=F.lit("1"),
             explanation=_or(r["summary"], F.lit(OSV_EXPLANATION)),
             evidence=F.concat(
                 _or(name, F.lit("package")),
@@ -172,7 +172,9 @@ def _findings(reports: DataFrame, tools: tuple[str, ...]) -> DataFrame:
     rows = reports.filter(F.col("tool").isin(*tools)).select(
         "scan_id", "tool", phase.alias("_phase"), F.posexplode(items).alias("_index", "r")
     )
-    line = F.when(F.coalesce("r.line", F.lit(0)) == 0, 1).otherwise(F.col("r.line"))
+    # Numbers may come quoted; nothing and zero mean the first line.
+    number = F.col("r.line").try_cast("double").cast("int")
+    line = F.when(F.coalesce(number, F.lit(0)) == 0, 1).otherwise(number)
     return rows.select(
         "scan_id",
         ordinal(2, F.lit(""), F.col("_phase"), F.col("_index"), F.lit(0), F.col("r.rule")),
@@ -182,7 +184,7 @@ def _findings(reports: DataFrame, tools: tuple[str, ...]) -> DataFrame:
         "tool",
         "r.rule",
         tx.norm_path(_or(F.col("r.file"), F.lit(DEFAULT_FILE))).alias("file"),
-        line.cast("int").alias("line"),
+        line.alias("line"),
         "r.explanation",
         F.substring(_or(F.col("r.evidence"), F.lit(DEFAULT_EVIDENCE)), 1, tx.EVIDENCE_CHARS)
         .alias("evidence"),

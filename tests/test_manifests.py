@@ -57,6 +57,23 @@ def test_npm_entries(spark):
     assert inventory(spark, "package-lock.json", json.dumps(old)) == [("npm", "d", "1")]
 
 
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ('{"packages": {"a": {"version": "1"}, "b": {"version": "3"}, "a": {"version": "2"}}}',
+         [("npm", "a", "2"), ("npm", "b", "3")]),
+        ('{"packages": {"a": {"version": "1"}}} trailing', []),
+        ('{"packages": {"a": {"version": "1"}}}\n', [("npm", "a", "1")]),
+        ('{"packages": {}, "dependencies": {"a": {"version": "1"}}}', []),
+        ('{"packages": null, "dependencies": {"a": {"version": "1"}}}', [("npm", "a", "1")]),
+        ("[]", []),
+        ("5", []),
+    ],
+)
+def test_npm_odd_documents(spark, text, want):
+    assert inventory(spark, "package-lock.json", text) == want
+
+
 def test_npm_limit_counts_usable_entries(spark):
     packages = {"": {}} | {f"p{i}": {"version": str(i)} for i in range(501)}
     text = json.dumps({"packages": packages})

@@ -86,12 +86,13 @@ def test_history_logs(spark, tmp_path):
 
 
 def test_reports(spark):
-    semgrep = {"results": [{"check_id": "c", "path": "a\\b.js", "extra": {}}, {"extra": {"fix": "f"}}]}
+    semgrep = {"results": [{"check_id": "c", "path": "a\\b.js", "extra": {}}, {"start": {"line": "12"}, "extra": {"fix": "f"}}]}
     osv = {"results": [{"packages": [{"vulnerabilities": [{"id": "X"}, {"id": "Y"}]}, {}]},
                        {"source": {"path": "p"}, "packages": [{"vulnerabilities": [{"id": "Z"}]}]}]}
     rows = [
         ("s", "Semgrep", json.dumps(semgrep)), ("s", "OSV-Scanner", json.dumps(osv)),
         ("s", "Gitleaks", json.dumps({"RuleID": "not an array"})), ("t", "Semgrep", "{"),
+        ("t", "OSV-Scanner", json.dumps(osv) + " x"),
     ]
     given = spark.createDataFrame(rows, schemas.EXTERNAL_REPORTS)
     found = reports.external_findings(given)
@@ -101,6 +102,7 @@ def test_reports(spark):
     assert (first.file, first.line, first.severity, first.title) == ("a/b.js", 1, "medium", "c")
     assert first.evidence == reports.DEFAULT_EVIDENCE and first.fingerprint is None
     assert got["SEMGREP-1-undefined"].patch == ["f"]
+    assert got["SEMGREP-1-undefined"].line == 12
     assert got["OSV-Z-2"].file == "p" and got["OSV-X-0"].evidence == "package unknown version"
     status = {
         (r.scan_id, r.tool): (r.available, r.finding_count)
