@@ -66,12 +66,12 @@ LEVEL = (
 )
 
 
-def _code(name: str, prefix: str, seed: str, where: str) -> str:
-    return f"""SELECT {lit(prefix)} || scan_id AS scan_id, path,
+def _code(prefix: str, seed: str, folder: str) -> str:
+    return f"""SELECT {lit(prefix)} || scan_id AS scan_id, {folder} || path AS path,
       CASE WHEN doc_id % 29 = 7 THEN 'symlink' ELSE 'file' END AS entry_type,
       strlen(body) AS length, body AS content
     FROM (SELECT *, text || coalesce({strings(chr(10) + s for s in SEEDS)}[{seed} + 1], '') AS body
-          FROM docs {where}) b"""
+          FROM docs) b"""
 
 
 def _norm(x: str) -> str:
@@ -89,12 +89,11 @@ CTES: dict[str, str] = {
       (CASE WHEN doc_id % 13 = 0 THEN 'vendor/' WHEN doc_id % 17 = 5 THEN '.github/' ELSE '' END)
         || source || '/' || doc_id || {strings(EXTENSIONS)}[(doc_id // 16) % 4 + 1] AS path
       FROM documents""",
-    "code_files": _code("code_files", "", "(doc_id % 16)", ""),
+    "code_files": _code("", "(doc_id % 16)", "''"),
     "code_files_prev": _code(
-        "code_files_prev",
         "prev-",
         "((doc_id + CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END) % 16)",
-        "WHERE doc_id % 5 <> 0",
+        "CASE WHEN doc_id % 5 = 0 THEN 'old/' ELSE '' END",
     ),
     "html_files": """SELECT 'pages-' || (page_id // 500) AS scan_id, page_id || '.html' AS path,
       'file' AS entry_type, strlen(html) AS length, html AS content FROM pages""",

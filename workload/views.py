@@ -58,12 +58,12 @@ def _doc_path() -> Column:
     return _text(folder, F.col("source"), "/", doc.cast("string"), ext)
 
 
-def _code_files(docs: DataFrame, prefix: str, seed: Column) -> DataFrame:
+def _code_files(docs: DataFrame, prefix: str, seed: Column, folder: Column) -> DataFrame:
     blocks = F.array(*[F.lit("\n" + s) for s in SEEDS])
     content = _text(F.col("text"), F.coalesce(F.get(blocks, seed.cast("int")), F.lit("")))
     return docs.select(
         _doc_scan(prefix).alias("scan_id"),
-        _doc_path().alias("path"),
+        F.concat(folder, _doc_path()).alias("path"),
         F.when(F.col("doc_id") % 29 == 7, "symlink").otherwise("file").alias("entry_type"),
         F.octet_length(content).cast("long").alias("length"),
         content.alias("content"),
@@ -71,15 +71,15 @@ def _code_files(docs: DataFrame, prefix: str, seed: Column) -> DataFrame:
 
 
 def code_files(spark: SparkSession, sf: str) -> DataFrame:
-    return _code_files(table(spark, sf, "documents"), "", F.col("doc_id") % 16)
+    return _code_files(table(spark, sf, "documents"), "", F.col("doc_id") % 16, F.lit(""))
 
 
 def code_files_prev(spark: SparkSession, sf: str) -> DataFrame:
-    """The earlier state: some files missing, some with another finding."""
-    docs = table(spark, sf, "documents").filter(F.col("doc_id") % 5 != 0)
+    """The earlier state: some files in another folder, some with another finding."""
     doc = F.col("doc_id")
     shifted = (doc + F.when(doc % 7 == 0, 1).otherwise(0)) % 16
-    return _code_files(docs, "prev-", shifted)
+    folder = F.when(doc % 5 == 0, "old/").otherwise("")
+    return _code_files(table(spark, sf, "documents"), "prev-", shifted, folder)
 
 
 def html_files(spark: SparkSession, sf: str) -> DataFrame:
