@@ -7,14 +7,19 @@ are ordinary source files here, so the folders are walked by a Python source.
 from __future__ import annotations
 
 import os
+import sys
 from collections.abc import Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from auditloom.operators.files import IGNORED_DIRECTORIES, MAX_FILE_BYTES
 from auditloom.schemas import FILES
 
+# Executors get this module's functions by value; they need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SCANS_PER_PARTITION = 16
 ROWS_PER_BATCH = 512
 BYTES_PER_BATCH = 32_000_000

@@ -6,10 +6,12 @@ after that start begins the next one. Refused requests count as well.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -17,6 +19,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from auditloom.streaming.sinks import write_batch
 
+# Executors get this module's functions by value; they need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 WINDOW_MS = 60_000
 BLOCK_WINDOWS = 20
 
