@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import language, mixing, sharding
+from auditloom.llm import jaccard, language, mixing, sharding
 from auditloom.llm.common import folds, table
 
 SHARDS = 40
@@ -31,6 +31,11 @@ def op3_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", folds().alias("held_out"), "lang_pred", "score")
 
 
+def op9_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf, "documents")).select(
+        "doc_id", "n_shingles", "component_id")
+
+
 def op10_source_mix(spark: SparkSession, sf: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf, "documents"), MIX_WEIGHTS, MIX_MOST)
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -38,7 +43,7 @@ def op10_source_mix(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     q.__name__: q for q in (
-        op2_sharding, op3_language_id, op10_source_mix,
+        op2_sharding, op3_language_id, op9_jaccard_join, op10_source_mix,
     )
 }
 
