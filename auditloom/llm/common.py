@@ -29,26 +29,33 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def with_keys(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose 64-bit ``key`` is in ``keys`` (one column of that name), joined
-    exactly. A bit filter of fixed size goes ahead of the join and spares the shuffle of most
-    other rows; with many more keys than bits it lets everything pass and only the join decides.
-    """
-    keys = keys.select(key).where(F.col(key).isNotNull()).distinct()
+def key_filter(keys: DataFrame, key: str):
+    """Function of a 64-bit column: false only where its value is not among ``keys``. It looks
+    hashes up in a broadcast bit table of fixed size."""
     at = F.pmod(F.col(key), F.lit(1 << KEY_BITS))
-    words = keys.groupBy(F.shiftright(at, 6).cast("int").alias("word")).agg(
+    words = keys.where(F.col(key).isNotNull()).groupBy(F.shiftright(at, 6).cast("int").alias("word")).agg(
         F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({key}, 64) as int))")).alias("bits")
     ).toPandas()  # at most 2^18 rows
-    table_ = np.zeros(1 << (KEY_BITS - 6), np.int64)
-    table_[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    held = df.sparkSession.sparkContext.broadcast(table_)
+    bits = np.zeros(1 << (KEY_BITS - 6), np.int64)
+    bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    held = keys.sparkSession.sparkContext.broadcast(bits)
 
     @F.pandas_udf("boolean")
     def maybe(k: pd.Series) -> pd.Series:
         v = np.mod(k.to_numpy(np.int64), 1 << KEY_BITS)
         return pd.Series((held.value[v >> 6] >> (v & 63)) & 1 == 1)
 
-    return df.where(F.col(key).isNotNull()).where(maybe(key)).join(keys, key, "left_semi")
+    return maybe
+
+
+def with_keys(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose 64-bit ``key`` (never null) is in ``keys``, joined exactly.
+
+    The bit table goes ahead of the join and spares the shuffle of most other rows; with many
+    more keys than bits it lets everything pass and only the join decides.
+    """
+    keys = keys.select(key).distinct()
+    return df.where(key_filter(keys, key)(F.col(key))).join(keys, key, "left_semi")
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import jaccard, language, mixing, sharding
+from auditloom.llm import jaccard, language, mixing, sharding, suffixes
 from auditloom.llm.common import folds, table
 
 SHARDS = 40
@@ -31,6 +31,19 @@ def op3_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", folds().alias("held_out"), "lang_pred", "score")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    removed = F.aggregate(
+        "spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return suffixes.remove_repeats(docs, 400).select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op9_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf, "documents")).select(
         "doc_id", "n_shingles", "component_id")
@@ -43,7 +56,7 @@ def op10_source_mix(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     q.__name__: q for q in (
-        op2_sharding, op3_language_id, op9_jaccard_join, op10_source_mix,
+        op2_sharding, op3_language_id, op4_suffix_dedup, op9_jaccard_join, op10_source_mix,
     )
 }
 
