@@ -42,7 +42,7 @@ def key_filter(keys: DataFrame, key: str):
 
     @F.pandas_udf("boolean")
     def maybe(k: pd.Series) -> pd.Series:
-        v = np.mod(k.to_numpy(np.int64), 1 << KEY_BITS)
+        v = np.mod(k.fillna(0).to_numpy(np.int64), 1 << KEY_BITS)
         return pd.Series((held.value[v >> 6] >> (v & 63)) & 1 == 1)
 
     return maybe

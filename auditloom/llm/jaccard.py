@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import components, mix, powers, rolling, slices, staged, utf8, with_keys
+from auditloom.llm.common import components, key_filter, mix, powers, rolling, slices
+from auditloom.llm.common import staged, utf8, with_keys
 
 SKETCH_BITS, SKETCH_PARTS = 22, 64
 LEADERS = 8  # leaders of one meeting place that followers are compared with
@@ -478,3 +479,19 @@ def jaccard_components(docs: DataFrame, percent: int = 75, key: str = "doc_id",
         "doc_id", F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"),
         F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
+
+
+def one_of_each(docs: DataFrame, percent: int = 75, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents without those that are linked to a smaller key, columns as they were.
+
+    Of rows that share a key one stays. Rows without a key stay: nothing can name them. Only
+    rows whose key may have to go are shuffled with their texts.
+    """
+    found = staged(jaccard_components(docs, percent, key, text), "found")
+    gone = staged(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    twice = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1")
+    asked = staged(gone.union(twice.select("doc_id")).distinct(), "asked")
+    maybe = key_filter(asked, "doc_id")(F.col(key).cast("long")) & F.col(key).isNotNull()
+    clear, touched = docs.where(~maybe), docs.where(maybe)
+    left = touched.join(gone, touched[key].cast("long") == gone["doc_id"], "left_anti")
+    return clear.union(left.dropDuplicates([key]))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import jaccard, language, mixing, sharding, suffixes
+from auditloom.llm import jaccard, language, mixing, pieces, sharding, suffixes
 from auditloom.llm.common import folds, table
 
 SHARDS = 40
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MIX_WEIGHTS, MIX_MOST = [5.0, 2.0, 1.0], 3
 
 
@@ -44,6 +45,14 @@ def op4_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op7_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    model = pieces.load(PIECE_MODEL)
+    tokens = pieces.encoded(table(spark, sf, "documents").select("doc_id", "text"), model)
+    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))
+    return pieces.decoded(tokens, model).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf, "documents")).select(
         "doc_id", "n_shingles", "component_id")
@@ -56,7 +65,8 @@ def op10_source_mix(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     q.__name__: q for q in (
-        op2_sharding, op3_language_id, op4_suffix_dedup, op9_jaccard_join, op10_source_mix,
+        op2_sharding, op3_language_id, op4_suffix_dedup, op7_sentencepiece,
+        op9_jaccard_join, op10_source_mix,
     )
 }
 

@@ -116,8 +116,9 @@ def _words(data: np.ndarray, beyond: int) -> np.ndarray:
     return out
 
 
-def suffix_array(data: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Positions in the order of their suffixes; the end sorts before every byte.
+def suffix_array(data: np.ndarray, words: np.ndarray, enough: int | None = None) -> np.ndarray:
+    """Positions in the order of their suffixes, or of their first ``enough`` bytes; the end
+    sorts before every byte.
 
     Starts from eight bytes and doubles the depth; only groups that still hold several suffixes
     are sorted again, by the rank of what follows.
@@ -134,7 +135,7 @@ def suffix_array(data: np.ndarray, words: np.ndarray) -> np.ndarray:
         first = rank[order] == np.arange(n)
         alone = first & np.r_[first[1:], True]
         slots = np.flatnonzero(~alone)
-        if not len(slots) or depth > 2 * n:
+        if not len(slots) or depth >= (enough or 2 * n + 1):
             return order
         held = order[slots]
         key = rank[held] * (n + 2) + rank[np.minimum(held + depth, n)] + 1
