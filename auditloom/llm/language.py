@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from auditloom.llm.common import staged
 
 SAMPLE_ROWS = 6_000  # expected labelled rows per language that the counts come from
+MOST_LANGUAGES = 500  # languages of a model
 KEPT_WORDS = 60_000  # known words: the most frequent ones
 KEPT_GRAMS = 60_000  # known n-grams of each length
 LONGEST = 5
@@ -39,12 +40,16 @@ def grams_of(word: str, n: int) -> list[str]:
 
 
 def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """About ``rows`` texts (text, lang) of each language, chosen by hash of the text."""
+    """About ``rows`` texts (text, lang) of each of the MOST_LANGUAGES languages with most rows,
+    chosen by hash of the text. Only chosen texts leave their place."""
     labelled = labelled.where("text is not null and lang is not null").select("text", "lang")
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("_n"))
-    share = F.least(F.lit(1.0), F.lit(float(rows)) / F.col("_n"))
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang")
+    kept = sizes.limit(MOST_LANGUAGES).collect()
+    if not kept:
+        return labelled.limit(0)
+    share = F.create_map(*[F.lit(x) for r in kept for x in (r.lang, min(1.0, rows / r.n))])
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
-    return labelled.join(sizes, "lang").where(draw < share).select("text", "lang")
+    return labelled.where(draw < F.element_at(share, F.col("lang")))
 
 
 def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, words: int = KEPT_WORDS,
@@ -84,7 +89,7 @@ def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, words: int = KEPT_WORDS,
         yield flush()
 
     counts = staged(
-        sample(labelled, rows).mapInArrow(counted, "lang string, k int, gram string, n long")
+        sample(labelled, rows).repartition(F.xxhash64("text")).mapInArrow(counted, "lang string, k int, gram string, n long")
         .groupBy("k", "gram", "lang").agg(F.sum("n").alias("n")),
         "grams",
     )
