@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import jaccard, language, mixing, pieces, sharding, suffixes
+from auditloom.llm import covertree, jaccard, language, mixing, pieces, quality, rpforest, sharding
+from auditloom.llm import suffixes
 from auditloom.llm.common import folds, table
 
 SHARDS = 40
@@ -13,6 +14,10 @@ PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MIX_WEIGHTS, MIX_MOST = [5.0, 2.0, 1.0], 3
 
 
+def op1_embedding_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return covertree.near_duplicates(table(spark, sf, "embeddings"), 0.98)
+
+
 def op2_sharding(spark: SparkSession, sf: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     docs = table(spark, sf, "documents").select(
@@ -45,6 +50,18 @@ def op4_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    return rpforest.neighbours(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
+def op6_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf, "labels").where(~folds()))
+    return quality.scored(docs, model).select(
+        "doc_id", folds().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     model = pieces.load(PIECE_MODEL)
     tokens = pieces.encoded(table(spark, sf, "documents").select("doc_id", "text"), model)
@@ -65,7 +82,8 @@ def op10_source_mix(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     q.__name__: q for q in (
-        op2_sharding, op3_language_id, op4_suffix_dedup, op7_sentencepiece,
+        op1_embedding_dedup, op2_sharding, op3_language_id, op4_suffix_dedup,
+        op5_nearest_neighbours, op6_quality, op7_sentencepiece,
         op9_jaccard_join, op10_source_mix,
     )
 }
