@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import covertree, jaccard, language, mixing, pieces, quality, rpforest, sharding
-from auditloom.llm import suffixes
+from auditloom.llm import covertree, jaccard, language, licences, mixing, pieces, quality, rpforest
+from auditloom.llm import sharding, suffixes
 from auditloom.llm.common import folds, table
 
 SHARDS = 40
@@ -70,6 +70,10 @@ def op7_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
 
 
+def op8_licence_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return licences.scan(table(spark, sf, "documents"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf, "documents")).select(
         "doc_id", "n_shingles", "component_id")
@@ -84,8 +88,9 @@ QUERIES = {
     q.__name__: q for q in (
         op1_embedding_dedup, op2_sharding, op3_language_id, op4_suffix_dedup,
         op5_nearest_neighbours, op6_quality, op7_sentencepiece,
+        op8_licence_scan,
         op9_jaccard_join, op10_source_mix,
     )
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_licence_scan": licences.scan_sql()}

@@ -22,7 +22,7 @@ from auditloom.llm.common import staged
 from auditloom.llm.vectors import dimension, matrix, stack, usable
 
 SAMPLE_ROWS = 20_000  # expected vectors the planes are made of
-TREES, DEPTH = 6, 8
+TREES, DEPTH = 4, 8
 OPENED = 0.3  # part of all leaves of all trees that a query opens
 BLOCK_ROWS = 4_096  # vectors of a leaf compared in one task
 
