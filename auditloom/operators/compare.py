@@ -8,11 +8,16 @@ from pyspark.sql import functions as F
 from auditloom.functions import text as tx
 
 
+NO_RULE = "undefined"  # fixed value: stands for the rule of a finding that names none
+
+
 def comparison_key() -> Column:
-    """Fingerprint, or rule, file and line where there is none."""
+    """Fingerprint, or rule, file and line where there is none; never null."""
     return F.coalesce(
         tx.blank_to_null(F.col("fingerprint")),
-        tx.finding_key(F.col("rule"), F.col("file"), F.col("line")),
+        tx.finding_key(
+            F.coalesce("rule", F.lit(NO_RULE)), F.coalesce("file", F.lit("")), F.coalesce("line", F.lit(0))
+        ),
     )
 
 

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from auditloom.functions import text as tx
 from auditloom.functions.severity import norm_advisory_severity
 from auditloom.functions.versions import bound_key, version_key
-from auditloom.operators.manifests import NPM_ENTRIES
 from auditloom.operators.match import DEPENDENCY_PHASE, ordinal
 from auditloom.rules import ADVISORY_TOOL, BASELINE_TOOL
 
@@ -116,17 +115,23 @@ def advisory_findings(inventory: DataFrame, advisories: DataFrame) -> DataFrame:
 
 
 def dependency_findings(
-    inventory: DataFrame, advisories: DataFrame, baselines: DataFrame, scans: DataFrame
+    inventory: DataFrame,
+    advisories: DataFrame,
+    baselines: DataFrame,
+    scans: DataFrame,
+    npm_limit: int | None = None,
 ) -> DataFrame:
     """Advisory findings, or baselines where the advisory source was not available.
 
     ``inventory`` is the unlimited one; ``scans`` has scan_id and
-    advisories_available. Only the advisory look-up is held to the npm entry
-    limit; the fallback covers npm lock files only. Availability is tested on
+    advisories_available. Only the advisory look-up is held to
+    ``npm_limit`` entries of a lock file, if given; the fallback covers npm lock files only. Availability is tested on
     the hits, so that the inventory itself is not shuffled by snapshot.
     """
     is_npm = F.col("ecosystem") == "npm"
-    looked_up = inventory.filter(~is_npm | (F.col("pos") < NPM_ENTRIES))
+    looked_up = inventory
+    if npm_limit is not None:
+        looked_up = inventory.filter(~is_npm | (F.col("pos") < npm_limit))
     online = scans.filter("advisories_available").select("scan_id")
     offline = scans.filter("not advisories_available").select("scan_id")
     return (

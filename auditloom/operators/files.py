@@ -54,12 +54,14 @@ def eligible_files(files: DataFrame) -> DataFrame:
     return prune_directories(files.filter((F.col("entry_type") == "file") & wanted))
 
 
-def limit_files(files: DataFrame, n: int = MAX_FILES) -> DataFrame:
-    """First ``n`` eligible files of each snapshot in walk order.
+def limit_files(files: DataFrame, n: int | None = None) -> DataFrame:
+    """First ``n`` eligible files of each snapshot in walk order, or all, then not numbered.
 
     Works on metadata; bring file contents back by joining on the path.
     """
     keyed = files.withColumn("walk", walk_key(F.col("path")))
+    if n is None:
+        return keyed.withColumn("file_ord", F.lit(None).cast("int"))
     return first_per_group(
         keyed, ["scan_id"], [F.col("walk")], n, salt_on=["path"], rank_col="file_ord"
     )
@@ -67,19 +69,29 @@ def limit_files(files: DataFrame, n: int = MAX_FILES) -> DataFrame:
 
 def apply_byte_budget(
     limited: DataFrame,
-    max_bytes: int = MAX_BYTES,
-    max_file_bytes: int = MAX_FILE_BYTES,
+    max_bytes: int | None = None,
+    max_file_bytes: int | None = None,
 ) -> DataFrame:
     """Marks each limited file as taken, large or beyond the budget stop.
 
     Sizes are never negative, so the running total of the small files passes
     the budget exactly at the file where a sequential reader would stop. The
-    window holds at most the file limit's number of rows per snapshot.
+    window holds at most the file limit's number of rows per snapshot. Without
+    limits every file is taken and nothing is summed.
     """
+    small = F.lit(True) if max_file_bytes is None else F.col("length") <= max_file_bytes
+    if max_bytes is None:
+        return limited.withColumns(
+            {
+                "running_bytes": F.lit(None).cast("long"),
+                "within_budget": F.lit(True),
+                "is_large": ~small,
+                "taken": small,
+            }
+        )
     walk = Window.partitionBy("scan_id").orderBy("file_ord").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    small = F.col("length") <= max_file_bytes
     total = F.coalesce(F.sum(F.when(small, F.col("length"))).over(walk), F.lit(0))
     return (
         limited.withColumn("running_bytes", total)
@@ -91,16 +103,18 @@ def apply_byte_budget(
 
 def select_files(
     files: DataFrame,
-    max_files: int = MAX_FILES,
-    max_bytes: int = MAX_BYTES,
-    max_file_bytes: int = MAX_FILE_BYTES,
+    max_files: int | None = None,
+    max_bytes: int | None = None,
+    max_file_bytes: int | None = None,
 ) -> DataFrame:
     """Per-file verdicts over metadata columns only; content is not read."""
+    if max_bytes is not None and max_files is None:
+        raise ValueError("a byte budget needs a file limit: it sums the files of a snapshot in order")
     metadata = eligible_files(files).select("scan_id", "path", "length")
     return apply_byte_budget(limit_files(metadata, max_files), max_bytes, max_file_bytes)
 
 
-def scan_volume(selected: DataFrame, max_files: int = MAX_FILES) -> DataFrame:
+def scan_volume(selected: DataFrame, max_files: int | None = None) -> DataFrame:
     """One row per snapshot: files, bytes, skipped files and truncation.
 
     ``last_walk`` is the last walk key a sequential reader would reach, or NULL
@@ -116,7 +130,7 @@ def scan_volume(selected: DataFrame, max_files: int = MAX_FILES) -> DataFrame:
         F.max(~F.col("within_budget")).alias("_over"),
         F.max(F.when(F.col("within_budget"), F.col("walk"))).alias("_last"),
     )
-    full = F.col("_listed") >= max_files
+    full = F.lit(False) if max_files is None else F.col("_listed") >= max_files
     reason = F.when(F.col("_over"), "byte-limit").when(full, "file-limit")
     return counted.select(
         "scan_id",
@@ -130,7 +144,7 @@ def scan_volume(selected: DataFrame, max_files: int = MAX_FILES) -> DataFrame:
 
 
 def scanned_files(
-    files: DataFrame, cuts: DataFrame, max_file_bytes: int = MAX_FILE_BYTES
+    files: DataFrame, cuts: DataFrame, max_file_bytes: int | None = None
 ) -> DataFrame:
     """Eligible small files up to the cut of their snapshot, with content.
 
@@ -138,7 +152,9 @@ def scanned_files(
     equals the ``taken`` rows of ``select_files`` without shuffling contents
     when the cuts are broadcast.
     """
-    small = eligible_files(files).filter(F.col("length") <= max_file_bytes)
+    small = eligible_files(files)
+    if max_file_bytes is not None:
+        small = small.filter(F.col("length") <= max_file_bytes)
     keyed = small.withColumn("walk", walk_key(F.col("path")))
     return (
         keyed.join(cuts.select("scan_id", "last_walk"), "scan_id", "left")

@@ -48,7 +48,7 @@ def _last_entries(packages: Column) -> Column:
     return F.when(F.size(unique) == F.size(keys), entries).otherwise(last)
 
 
-def npm_items(content: Column, limit: int | None = NPM_ENTRIES) -> Column:
+def npm_items(content: Column, limit: int | None = None) -> Column:
     """Entries of ``packages``, or of ``dependencies`` where that is missing.
 
     Entry values stay raw JSON text, so one odd entry does not spoil the rest.
@@ -136,7 +136,7 @@ def is_manifest(path: Column) -> Column:
     return base_name(path).isin(*ECOSYSTEMS)
 
 
-def manifest_items(path: Column, content: Column, npm_limit: int | None = NPM_ENTRIES) -> Column:
+def manifest_items(path: Column, content: Column, npm_limit: int | None = None) -> Column:
     """Items of the manifest by its exact base name; malformed JSON gives none."""
     name = base_name(path)
     return F.coalesce(
@@ -158,7 +158,7 @@ def ecosystem(path: Column) -> Column:
     return expr
 
 
-def dependency_inventory(files: DataFrame, npm_limit: int | None = NPM_ENTRIES) -> DataFrame:
+def dependency_inventory(files: DataFrame, npm_limit: int | None = None) -> DataFrame:
     """One row per dependency of each manifest, numbered from 0 in file order."""
     path = F.col("path")
     return (

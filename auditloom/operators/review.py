@@ -124,12 +124,15 @@ def explanation_prompts(findings: DataFrame) -> DataFrame:
 
 
 def attach_explanations(findings: DataFrame, replies: DataFrame) -> DataFrame:
-    """Adds cleaned model replies (scan_id, finding_id, reply) to the first finding of the id."""
-    cleaned = replies.select("scan_id", "finding_id", clean_reply(F.col("reply")).alias("_text"))
+    """Adds cleaned model replies (scan_id, finding_id, created_at, reply) to the first finding
+    of the id. Of several usable replies the newest wins, the greater text in a tie."""
+    cleaned = replies.select(
+        "scan_id", "finding_id", "created_at", clean_reply(F.col("reply")).alias("_text")
+    )
     usable = (
         cleaned.filter(F.col("_text").isNotNull())
         .groupBy("scan_id", "finding_id")
-        .agg(F.max("_text").alias("_text"))
+        .agg(F.max(F.struct("created_at", "_text"))["_text"].alias("_text"))
         .join(first_bearers(findings), ["scan_id", "finding_id"])
         .select("scan_id", "ord", "_text")
     )

@@ -40,12 +40,18 @@ from auditloom.sources.reports import (
 
 @dataclass(frozen=True)
 class Limits:
-    max_files: int = MAX_FILES
-    max_bytes: int = MAX_BYTES
-    max_file_bytes: int = MAX_FILE_BYTES
+    """Cuts of one scan; None means none. ``max_bytes`` needs ``max_files``."""
+
+    max_files: int | None = None
+    max_bytes: int | None = None
+    max_file_bytes: int | None = None
     max_findings: int = MAX_FINDINGS
 
 
+# The usual cuts of a single scan.
+USUAL_LIMITS = Limits(MAX_FILES, MAX_BYTES, MAX_FILE_BYTES, MAX_FINDINGS)
+
+
 @dataclass(frozen=True)
 class ScanResult:
     """``findings`` are all, before the cut; ``stored`` the ones kept per scan."""
@@ -141,7 +147,9 @@ def compare_with_stored(
     old = stored_scans.join(new.select("scan_id"), "scan_id", "left_anti").select(
         "scan_id", "score", F.lit(None).cast("string").alias("previous_scan_id")
     )
-    wanted = new.select(F.col("previous_scan_id").alias("scan_id")).distinct()
+    wanted = new.select(F.col("previous_scan_id").alias("scan_id")).distinct().join(
+        new.select("scan_id"), "scan_id", "left_anti"
+    )  # an earlier scan that comes again is compared as it is now
     before = stored_findings.join(wanted, "scan_id", "left_semi")
     return compare_scans(
         new.unionByName(old),

@@ -7,22 +7,27 @@ from pyspark.sql import functions as F
 
 from auditloom.operators.files import base_name, text_lines
 
-HISTORY_COMMITS = 50
-MAX_HISTORY_COMMITS = 200
-HISTORY_CHARS = 5_000_000
-
-
-def split_logs(logs: DataFrame, commits: int = HISTORY_COMMITS) -> DataFrame:
-    """Numbered lines of (scan_id, log) rows: the first commits, cut to the text limit."""
-    n = max(1, min(MAX_HISTORY_COMMITS, commits))
-    by_commit = F.split(F.substring("log", 1, HISTORY_CHARS), r"(?m)^commit:", -1)
-    head = F.array_join(F.slice(by_commit, 1, n + 1), "commit:")
+# Usual limits of one log, for callers that want them.
+HISTORY_COMMITS, HISTORY_CHARS = 50, 5_000_000
+
+
+def split_logs(
+    logs: DataFrame, commits: int | None = None, chars: int | None = None
+) -> DataFrame:
+    """Numbered lines of (scan_id, log) rows, whole or up to ``commits`` commits and ``chars``
+    characters."""
+    head = F.col("log") if chars is None else F.substring("log", 1, chars)
+    if commits is not None:
+        by_commit = F.split(head, r"(?m)^commit:", -1)
+        head = F.array_join(F.slice(by_commit, 1, max(1, commits) + 1), "commit:")
     return logs.select("scan_id", F.posexplode(text_lines(head))).select(
         "scan_id", F.col("pos").cast("long").alias("seq"), F.col("col").alias("line")
     )
 
 
-def history_lines(spark: SparkSession, path: str, commits: int = HISTORY_COMMITS) -> DataFrame:
+def history_lines(
+    spark: SparkSession, path: str, commits: int | None = None, chars: int | None = None
+) -> DataFrame:
     """Lines of the logs in a folder of ``<scan_id>.log`` files."""
     raw = spark.read.text(path, wholetext=True)
     # The path is percent-encoded, but a plus sign in it stands for itself.
@@ -30,4 +35,4 @@ def history_lines(spark: SparkSession, path: str, commits: int = HISTORY_COMMITS
     logs = raw.select(
         F.regexp_replace(name, r"\.log\z", "").alias("scan_id"), F.col("value").alias("log")
     )
-    return split_logs(logs, commits)
+    return split_logs(logs, commits, chars)

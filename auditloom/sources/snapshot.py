@@ -69,12 +69,13 @@ class SnapshotReader(DataSourceReader):
 
     def _walk(self, scan: str, folder: str, prefix: str) -> Iterator[dict]:
         for entry in sorted(os.scandir(folder), key=lambda e: e.name):
-            path = prefix + entry.name
+            # names are bytes; odd ones keep a replacement character, as contents do
+            path = prefix + os.fsencode(entry.name).decode("utf-8", errors="replace")
             if entry.is_symlink():
                 yield self._row(scan, path, "symlink", 0, None)
             elif entry.is_dir():
                 if entry.name not in IGNORED_DIRECTORIES:
-                    yield from self._walk(scan, entry.path, path + "/")
+                    yield from self._walk(scan, entry.path, f"{path}/")
             elif entry.is_file():
                 size = entry.stat().st_size
                 text = None

@@ -13,23 +13,30 @@ RECENT_SCANS = 50
 
 
 def upsert_scans(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """Existing scans without those that come again, plus the new ones."""
-    return existing.join(new.select("scan_id"), "scan_id", "left_anti").unionByName(new)
+    """Existing scans without those that come again, plus the new ones; of new ones with one
+    id the one created last."""
+    rest = [c for c in new.columns if c != "scan_id"]
+    newest = F.col("created_at") if "created_at" in rest else F.struct(*rest)
+    one = new.groupBy("scan_id").agg(F.max_by(F.struct(*rest), newest).alias("_row")).select(
+        "scan_id", "_row.*"
+    )
+    return existing.join(one.select("scan_id"), "scan_id", "left_anti").unionByName(one)
 
 
 def retain_scans(
     scans: DataFrame,
     now: datetime,
     days: int = RETENTION_DAYS,
-    limit: int = RETAINED_SCANS,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Scans of the last ``days`` (at least one), newest first, at most ``limit``."""
+    """Scans of the last ``days`` (at least one), newest first, at most ``limit`` if given."""
     cutoff = F.lit(now) - F.expr(f"INTERVAL {max(1, days)} DAYS")
     return recent_scans(scans.filter(F.col("created_at") >= cutoff), limit)
 
 
-def recent_scans(scans: DataFrame, limit: int = RECENT_SCANS) -> DataFrame:
-    return scans.orderBy(F.col("created_at").desc(), F.col("scan_id").desc()).limit(limit)
+def recent_scans(scans: DataFrame, limit: int | None = None) -> DataFrame:
+    ordered = scans.orderBy(F.col("created_at").desc(), F.col("scan_id").desc())
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def get_scan(scans: DataFrame, scan_id: str) -> DataFrame:
@@ -46,13 +53,12 @@ def scan_list(scans: DataFrame, findings: DataFrame) -> DataFrame:
     )
 
 
-def store_metrics(scans: DataFrame, findings: DataFrame, limit: int = RECENT_SCANS) -> DataFrame:
-    """Stored scans and findings over the recent list.
-
-    The recent list has at most ``limit`` rows, so it is the broadcast side.
-    """
-    recent = recent_scans(scans, limit).select("scan_id")
-    held = findings.select("scan_id").join(F.broadcast(recent), "scan_id", "left_semi")
+def store_metrics(
+    scans: DataFrame, findings: DataFrame, limit: int | None = None
+) -> DataFrame:
+    """Stored scans and findings, of all scans or of the ``limit`` most recent ones."""
+    recent = (scans if limit is None else recent_scans(scans, limit)).select("scan_id")
+    held = findings.select("scan_id").join(recent, "scan_id", "left_semi")
     one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
     rows = recent.select(one.alias("scan"), none.alias("finding")).unionByName(
         held.select(none.alias("scan"), one.alias("finding"))

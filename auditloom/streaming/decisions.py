@@ -6,29 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.query import StreamingQuery
 
 from auditloom.operators.review import apply_decisions, valid_decisions
-from auditloom.streaming.sinks import read_batches, write_batch
-
-LATENESS = "10 minutes"
-
+from auditloom.streaming.sinks import ONCE, read_batches, write_batch
 
 def decision_stream(
-    events: DataFrame, out: str, checkpoint: str, lateness: str = LATENESS
+    events: DataFrame, out: str, checkpoint: str, trigger: dict = ONCE
 ) -> StreamingQuery:
     """Appends the valid decisions of each batch to the event log.
 
-    An event delivered twice is dropped by its id. Decisions are never applied
-    in place: the log is reduced on reading, so concurrent ones all survive and
-    their order of arrival does not matter.
+    Decisions are never applied in place: the log is reduced on reading, so
+    concurrent, late and repeated ones do no harm, none is dropped and no state
+    is kept.
     """
-    distinct = (
-        valid_decisions(events)
-        .withWatermark("created_at", lateness)
-        .dropDuplicatesWithinWatermark(["event_id"])
-    )
     return (
-        distinct.writeStream.option("checkpointLocation", checkpoint)
+        valid_decisions(events)
+        .writeStream.option("checkpointLocation", checkpoint)
         .foreachBatch(lambda batch, batch_id: write_batch(batch, out, batch_id))
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 

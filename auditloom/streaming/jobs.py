@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from auditloom.functions.text import clean_error
-from auditloom.streaming.sinks import read_batches, write_batch
+from auditloom.streaming.sinks import ONCE, read_batches, write_batch
 
 JOB_IDLE = "1 hour"
 
@@ -20,13 +19,12 @@ JOB_FIELDS = ("status", "progress", "phase", "updated_at", "event_id")
 
 
 def latest_jobs(job_events: DataFrame) -> DataFrame:
-    """Newest status, progress and phase of each job."""
+    """Newest status, progress and phase of each job, the phase as it was sent."""
     newest = F.struct("updated_at", "event_id")
     return (
         job_events.groupBy("job_id")
         .agg(F.max_by(F.struct(*JOB_FIELDS), newest).alias("_now"))
         .select("job_id", "_now.*")
-        .withColumn("phase", clean_error(F.col("phase")))
     )
 
 
@@ -45,7 +43,9 @@ def live_jobs(job_events: DataFrame, now: datetime, idle: str = JOB_IDLE) -> Dat
     return latest_jobs(job_events).filter(~expired)
 
 
-def job_stream(job_events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+def job_stream(
+    job_events: DataFrame, out: str, checkpoint: str, trigger: dict = ONCE
+) -> StreamingQuery:
     """Writes the newest event per job of every batch.
 
     The newest of the newest is the newest, so readers merge the batches with
@@ -58,7 +58,7 @@ def job_stream(job_events: DataFrame, out: str, checkpoint: str) -> StreamingQue
     return (
         job_events.writeStream.option("checkpointLocation", checkpoint)
         .foreachBatch(write)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from auditloom.streaming.sinks import write_batch
+from auditloom.streaming.sinks import ONCE, write_batch
 
 # Executors get this module's functions by value; they need not have the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -240,9 +240,6 @@ def _count_stream(window: int):
     def count(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         pdf = pd.concat(list(batches)).sort_values(["ts_ms", "event_id"], kind="stable")
         start, n = state.get if state.exists else (None, 0)
         starts, positions = [], []
@@ -253,8 +250,6 @@ def _count_stream(window: int):
             starts.append(start)
             positions.append(n)
         state.update((start, n))
-        expiry = max(start + 2 * window, state.getCurrentWatermarkMs() + 1)
-        state.setTimeoutTimestamp(expiry)
         yield pdf.assign(
             client=key[0], category=key[1], window_start=starts, position=positions
         )[["event_id", "client", "category", "ts_ms", "window_start", "position"]]
@@ -268,14 +263,15 @@ def rate_stream(
     checkpoint: str,
     window_ms: int = WINDOW_MS,
     limits: dict[str, int] = LIMITS,
-    lateness: str = "0 seconds",
+    trigger: dict = ONCE,
 ) -> StreamingQuery:
-    """Verdicts of arriving requests; a window is forgotten two lengths after its start.
+    """Verdicts of arriving requests, late ones included.
 
     Within a batch requests are taken in time order; one that is older than the
-    start of the window in force belongs to that window.
+    start of the window in force belongs to that window. The state of a key is
+    two numbers and is kept, so no watermark drops a row.
     """
-    keyed = requests.withWatermark("ts", lateness).select(
+    keyed = requests.select(
         "event_id", *KEY, "ts", F.unix_millis("ts").alias("ts_ms")
     )
     counted = keyed.groupBy(*KEY).applyInPandasWithState(
@@ -283,12 +279,12 @@ def rate_stream(
         VERDICT,
         "start bigint, n bigint",
         "append",
-        GroupStateTimeout.EventTimeTimeout,
+        GroupStateTimeout.NoTimeout,
     )
     return (
         _judged(counted, limits)
         .writeStream.option("checkpointLocation", checkpoint)
         .foreachBatch(lambda batch, batch_id: write_batch(batch, out, batch_id))
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )

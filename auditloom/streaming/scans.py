@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from auditloom.plans.scan import Limits, scan_snapshots
 from auditloom.session import broadcast_if_small, durable
-from auditloom.streaming.sinks import newest_by, read_batches, write_batch
+from auditloom.streaming.sinks import ONCE, newest_by, read_batches, write_batch
 
-LITERAL_IDS = 1_000
 PER_SCAN = ("files", "git_log", "reports")
 
 
 @dataclass(frozen=True)
 class SnapshotTables:
-    """Static tables a batch of snapshots is scanned from, by scan_id."""
+    """Tables a batch of snapshots is scanned from, by scan_id."""
 
     files: DataFrame
     git_log: DataFrame
@@ -29,31 +28,26 @@ class SnapshotTables:
     def of(self, announced: DataFrame) -> SnapshotTables:
         """Only the rows of the announced snapshots.
 
-        A usual batch is small: its ids become a literal filter, which prunes
-        partitions and row groups of tables laid out by scan_id. A larger batch
-        is a semi join.
+        A semi join; Spark prunes partitions of tables laid out by scan_id with it.
         """
-        ids = announced.select("scan_id")
-        some = [r.scan_id for r in ids.limit(LITERAL_IDS + 1).collect()]
-        if len(some) <= LITERAL_IDS:
-            own = {n: getattr(self, n).filter(F.col("scan_id").isin(some)) for n in PER_SCAN}
-        else:
-            held = broadcast_if_small(ids)
-            own = {n: getattr(self, n).join(held, "scan_id", "left_semi") for n in PER_SCAN}
+        held = broadcast_if_small(announced.select("scan_id"))
+        own = {n: getattr(self, n).join(held, "scan_id", "left_semi") for n in PER_SCAN}
         return replace(self, **own)
 
 
 def scan_stream(
     notices: DataFrame,
-    tables: SnapshotTables,
+    tables: Callable[[], SnapshotTables],
     out: str,
     checkpoint: str,
     limits: Limits = Limits(),
+    trigger: dict = ONCE,
 ) -> StreamingQuery:
     """Scans the snapshots announced by each micro-batch, each one whole.
 
     A notice (scan_id, history_available, advisories_available) is written once
-    its snapshot is staged. The source's ``maxFilesPerTrigger`` bounds a batch.
+    its snapshot is staged. ``tables`` is called for every batch and must read anew,
+    so that rows staged since the last one are seen. The source's ``maxFilesPerTrigger`` bounds a batch.
     Scans are keyed by id: a repeated batch or a rescan replaces the earlier one
     for readers.
     """
@@ -62,7 +56,7 @@ def scan_stream(
         announced = durable(batch.dropDuplicates(["scan_id"]))
         if announced.isEmpty():
             return
-        own = tables.of(announced)
+        own = tables().of(announced)
         result = scan_snapshots(
             announced, own.files, own.git_log, own.reports, own.advisories, own.baselines, limits
         )
@@ -72,7 +66,7 @@ def scan_stream(
     return (
         notices.writeStream.option("checkpointLocation", checkpoint)
         .foreachBatch(scan)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 

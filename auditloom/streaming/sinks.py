@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ONCE = {"availableNow": True}  # trigger: everything that is there, then stop
+
+
 def write_batch(df: DataFrame, folder: str, batch_id: int) -> None:
     """One micro-batch; a repeated batch replaces only its own folder."""
     df.write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")

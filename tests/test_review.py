@@ -80,7 +80,9 @@ def test_remediation_candidates(spark):
 def test_explanations_go_to_the_first_bearer(spark):
     found = finding(spark, {"id": "a", "ai_explanation": "old"}, {"id": "b"}, {"id": "b"})
     replies = spark.createDataFrame(
-        [("s", "a", "<i></i>"), ("s", "b", " new ")], "scan_id string, finding_id string, reply string"
+        [("s", "a", "2024-01-01", "<i></i>"), ("s", "b", "2024-01-01", "zz older"),
+         ("s", "b", "2024-01-02", " new "), ("s", "b", "2024-01-03", None)],
+        "scan_id string, finding_id string, created_at string, reply string",
     )
     rows = sorted(review.attach_explanations(found, replies).collect(), key=lambda r: r.ord.n)
     assert [r.ai_explanation for r in rows] == ["old", "new", None]

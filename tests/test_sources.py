@@ -12,6 +12,15 @@ from auditloom.sources.advisories import advisories, advisories_from_replies
 from auditloom.sources.snapshot import snapshot_files
 
 
+def test_snapshot_names_that_are_not_utf8(spark, tmp_path):
+    folder = os.fsencode(str(tmp_path / "snapshots" / "one" / "d"))
+    os.makedirs(folder)
+    with open(folder + b"/caf\xe9.js", "wb") as f:
+        f.write(b"x")
+    rows = snapshot_files(spark, str(tmp_path / "snapshots")).collect()
+    assert [(r.path, r.content) for r in rows] == [("d/caf\ufffd.js", "x")]
+
+
 def test_snapshot_source(spark, tmp_path):
     root = tmp_path / "snapshots"
     for path, data in {

@@ -8,6 +8,7 @@ import pytest
 
 from auditloom import schemas
 from auditloom.operators.dependencies import default_baselines
+from auditloom.operators.review import latest_decisions
 from auditloom.plans.scan import scan_snapshots
 from auditloom.streaming import decisions, jobs, rates, scans, sinks
 from tests.helpers import files_table
@@ -83,12 +84,24 @@ def test_rate_stream(spark, tmp_path):
         .parquet(source)
     )
     rates.rate_stream(
-        arriving, str(tmp_path / "out"), str(tmp_path / "cp"), 60, lateness="1 hour"
+        arriving, str(tmp_path / "out"), str(tmp_path / "cp"), 60
     ).awaitTermination()
     got = verdicts(sinks.read_batches(spark, str(tmp_path / "out")))
     assert got == sequential(rows, 60, rates.LIMITS)
 
 
+def test_late_requests_get_verdicts(spark, tmp_path):
+    source = str(tmp_path / "in")
+    for part in ([(1, "a", "scan", 900_000)], [(2, "b", "scan", 0)], [(3, "a", "scan", 5), (4, "d", "scan", 1)]):
+        requests(spark, part).coalesce(1).write.mode("append").parquet(source)
+    arriving = (
+        spark.readStream.schema(schemas.REQUEST_EVENTS).option("maxFilesPerTrigger", 1).parquet(source)
+    )
+    rates.rate_stream(arriving, str(tmp_path / "out"), str(tmp_path / "cp"), 60).awaitTermination()
+    got = sinks.read_batches(spark, str(tmp_path / "out")).select("event_id").collect()
+    assert sorted(r.event_id for r in got) == [1, 2, 3, 4]
+
+
 def test_job_stream_and_expiry(spark, tmp_path):
     at = lambda m: START + timedelta(minutes=m)
     rows = [
@@ -103,6 +116,7 @@ def test_job_stream_and_expiry(spark, tmp_path):
     )
     jobs.job_stream(arriving, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     held = jobs.streamed_jobs(spark, str(tmp_path / "out"))
+    assert {r.phase for r in jobs.latest_jobs(held).collect()} == {"done\nnow", "r", "f"}
     stats = jobs.job_stats(held).first()
     assert (stats.active, stats.queued, stats.completed, stats.failed) == (1, 0, 1, 1)
     # An hour after job a ended it is still there; a moment later it is not.
@@ -111,19 +125,23 @@ def test_job_stream_and_expiry(spark, tmp_path):
     assert {r.job_id for r in jobs.live_jobs(held, later).collect()} == {"b", "c"}
 
 
-def test_decision_stream_drops_repeated_events(spark, tmp_path):
+def test_decision_stream_keeps_late_decisions(spark, tmp_path):
     rows = [
         (1, "s", "a", "approve", START), (2, "s", "b", "reject", START), (3, "s", "a", "odd", START),
+        (4, "s", "c", "approve", START - timedelta(days=2)),
     ]
     source = str(tmp_path / "in")
-    for part in (rows, rows[:1]):
+    for part in (rows[:3], rows[:1], rows[3:]):
         spark.createDataFrame(part, schemas.REVIEW_EVENTS).coalesce(1).write.mode("append").parquet(source)
     arriving = (
         spark.readStream.schema(schemas.REVIEW_EVENTS).option("maxFilesPerTrigger", 1).parquet(source)
     )
     decisions.decision_stream(arriving, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     logged = sinks.read_batches(spark, str(tmp_path / "out"))
-    assert sorted(r.event_id for r in logged.collect()) == [1, 2]
+    assert {r.event_id for r in logged.collect()} == {1, 2, 4}
+    latest = latest_decisions(logged).collect()
+    assert sorted((r.finding_id, r.action) for r in latest) == [
+        ("a", "approve"), ("b", "reject"), ("c", "approve")]
 
 
 NOTICE = "scan_id string, history_available boolean, advisories_available boolean"
@@ -149,7 +167,7 @@ def test_scan_stream_equals_the_batch_scan_and_replaces_rescans(spark, tmp_path)
         ).parquet(source)
     arriving = spark.readStream.schema(NOTICE).option("maxFilesPerTrigger", 1).parquet(source)
     out = str(tmp_path / "out")
-    scans.scan_stream(arriving, tables, out, str(tmp_path / "cp")).awaitTermination()
+    scans.scan_stream(arriving, lambda: tables, out, str(tmp_path / "cp")).awaitTermination()
     listed = spark.createDataFrame([(i, False, False) for i in "abc"], NOTICE)
     batch = scan_snapshots(
         listed, tables.files, tables.git_log, tables.reports, tables.advisories, tables.baselines

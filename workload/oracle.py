@@ -108,9 +108,8 @@ def oracles() -> dict[str, str]:
         "history_lines",
         """SELECT doc_id::VARCHAR AS scan_id, (i - 1)::BIGINT AS seq, line FROM (
           SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (
-            SELECT doc_id, CASE WHEN len(t) > 2 THEN ['commit:a', t[1], 'commit:x', '+' || t[2], '']
-                                WHEN len(t) = 2 THEN ['commit:a', t[1], 'commit:x', '+' || t[2]]
-                                ELSE ['commit:a', t[1]] END AS ls
+            SELECT doc_id, ['commit:a', t[1]] ||
+              flatten(list_transform(t[2:], lambda x: ['commit:x', '+' || x])) AS ls
             FROM (SELECT doc_id, string_split(text, chr(10)) AS t FROM documents) a) b) c""",
     )
     add("finding_union", f"SELECT {FLAT}, commit FROM own")
@@ -283,9 +282,8 @@ def oracles() -> dict[str, str]:
     )
     add(
         "store_metrics",
-        """SELECT (SELECT count(*) FROM latest) AS scans_stored,
-          (SELECT count(*) FROM stored WHERE scan_id IN (SELECT scan_id FROM latest)) AS findings_stored""",
-        {"latest": "SELECT scan_id FROM scans_v ORDER BY created_at DESC, scan_id DESC LIMIT 50"},
+        """SELECT (SELECT count(*) FROM scans_v) AS scans_stored,
+          (SELECT count(*) FROM stored WHERE scan_id IN (SELECT scan_id FROM scans_v)) AS findings_stored""",
     )
     add(
         "valid_decisions",

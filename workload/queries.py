@@ -24,6 +24,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 # Parameters of the limit operators, small enough to bite at every scale.
 MAX_FILES, MAX_BYTES, MAX_FILE_BYTES = 6, 20_000, 8_000
 TOP_K = 3
+LISTED = 50
 NOW = datetime(2002, 1, 1, tzinfo=timezone.utc)
 JOB_NOW = datetime(2024, 1, 31, tzinfo=timezone.utc)
 TOOL_NAME = "Auditloom"
@@ -163,14 +164,14 @@ def history_findings(spark, sf):
 
 
 def history_lines(spark, sf):
-    """Documents as logs of several commits each, cut to two commits."""
+    """Documents as logs of several commits each, whole."""
     text = F.concat(
         F.lit("commit:a\n"), F.replace(F.col("text"), F.lit("\n"), F.lit("\ncommit:x\n+"))
     )
     logs = v.table(spark, sf, "documents").select(
         F.col("doc_id").cast("string").alias("scan_id"), text.alias("log")
     )
-    return history_log.split_logs(logs, commits=2)
+    return history_log.split_logs(logs)
 
 
 # --- union, dedup, scores, summaries ---------------------------------------------------
@@ -389,11 +390,11 @@ def scan_upsert(spark, sf):
 
 
 def scan_retention(spark, sf):
-    return store.retain_scans(v.scans(spark, sf), NOW, days=400).select("scan_id", "url", "score")
+    return store.retain_scans(v.scans(spark, sf), NOW, days=400, limit=LISTED).select("scan_id", "url", "score")
 
 
 def recent_scans(spark, sf):
-    return store.recent_scans(v.scans(spark, sf)).select("scan_id", "url", "score")
+    return store.recent_scans(v.scans(spark, sf), LISTED).select("scan_id", "url", "score")
 
 
 def scan_lookup(spark, sf):
@@ -584,13 +585,16 @@ def scan_stream(spark, sf):
         .option("maxFilesPerTrigger", 2)
         .parquet(f"{out}/notices")
     )
-    tables = scans.SnapshotTables(
-        v.code_files(spark, sf),
-        v.git_log(spark, sf),
-        v.external_reports(spark, sf),
-        v.advisories(spark, sf),
-        v.baselines(spark, sf),
-    )
+
+    def tables():
+        return scans.SnapshotTables(
+            v.code_files(spark, sf),
+            v.git_log(spark, sf),
+            v.external_reports(spark, sf),
+            v.advisories(spark, sf),
+            v.baselines(spark, sf),
+        )
+
     scans.scan_stream(arriving, tables, f"{out}/store", f"{out}/progress").awaitTermination()
     return scans.current_scans(spark, f"{out}/store").select(
         "scan_id", "score", "open", "critical", "high", "files_scanned", "total_findings"

@@ -268,7 +268,7 @@ CTES: dict[str, str] = {
       FROM under_review u LEFT JOIN decided d ON d.scan_id = u.scan_id AND d.finding_id = u.id AND u.n = 0""",
     "jobs": "SELECT event_id, user_id::VARCHAR AS job_id, CASE event_type "
     + " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in JOB_STATUS.items())
-    + " END AS status, floor(abs(value) % 101)::INT AS progress, 'phase ' || event_type AS phase, ts FROM events",
+    + " END AS status, floor(abs(value) % 101)::INT AS progress, 'phase' || chr(10) || event_type AS phase, ts FROM events",
     "job_now": """SELECT job_id, arg_max(status, {'t': ts, 'e': event_id}) AS status, arg_max(progress, {'t': ts, 'e': event_id}) AS progress,
         arg_max(phase, {'t': ts, 'e': event_id}) AS phase, max(ts) AS updated_at FROM jobs GROUP BY job_id""",
 }

@@ -410,18 +410,24 @@ def review_findings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def replies(spark: SparkSession, sf: str) -> DataFrame:
-    """Model replies: the text of conversations, with some markup, for the user's finding."""
+    """Model replies with some markup for the user's finding, and older ones, now outdated."""
     users = table(spark, sf, "events").select("user_id").distinct()
     user = F.col("user_id")
     reply = (
         F.when(user % 3 == 0, _text("  <b>Fix</b> it\tnow ", user.cast("string"), "\x01 "))
         .when(user % 3 == 1, "<p></p>")
     )
-    return users.select(
+    named = users.select(
         _text("scan-", (user % 7).cast("string")).alias("scan_id"),
         _text("F-", user.cast("string")).alias("finding_id"),
+        F.lit("2024-02-02").cast("timestamp").alias("created_at"),
         reply.alias("reply"),
+        user,
     )
+    older = named.filter(user % 3 == 0).withColumns(
+        {"created_at": F.lit("2024-02-01").cast("timestamp"), "reply": F.lit("outdated")}
+    )
+    return named.unionByName(older).drop("user_id")
 
 
 def job_events(spark: SparkSession, sf: str) -> DataFrame:
