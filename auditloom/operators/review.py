@@ -56,18 +56,25 @@ def latest_decisions(events: DataFrame) -> DataFrame:
     )
 
 
-def first_bearers(findings: DataFrame) -> DataFrame:
-    """Finding ids collide; an id stands for the first finding that carries it."""
-    return findings.groupBy("scan_id", F.col("id").alias("finding_id")).agg(
-        F.min("ord").alias("ord")
+def first_bearers(findings: DataFrame, asked: DataFrame) -> DataFrame:
+    """Finding ids collide; an id stands for the first finding that carries it.
+
+    Only findings with an id in ``asked`` (scan_id, finding_id) are grouped.
+    """
+    keys = ["scan_id", "finding_id"]
+    return (
+        findings.select("scan_id", F.col("id").alias("finding_id"), "ord")
+        .join(asked.select(*keys), keys, "left_semi")
+        .groupBy(*keys)
+        .agg(F.min("ord").alias("ord"))
     )
 
 
 def apply_decisions(findings: DataFrame, events: DataFrame) -> DataFrame:
     """Findings with status, decision and decision time after all events."""
+    latest = latest_decisions(events)
     decided = (
-        latest_decisions(events)
-        .join(first_bearers(findings), ["scan_id", "finding_id"])
+        latest.join(first_bearers(findings, latest), ["scan_id", "finding_id"])
         .select(
             "scan_id",
             "ord",
@@ -87,6 +94,23 @@ def apply_decisions(findings: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
+def apply_pull_requests(findings: DataFrame, log: DataFrame) -> DataFrame:
+    """Findings with the newest pull request that the event log holds for their id."""
+    opened = (
+        log.filter((F.col("type") == PULL_REQUEST_EVENT) & F.col("pull_request").isNotNull())
+        .groupBy("scan_id", "finding_id")
+        .agg(F.max_by("pull_request", F.struct("created_at", "event_id")).alias("_opened"))
+    )
+    placed = opened.join(first_bearers(findings, opened), ["scan_id", "finding_id"]).select(
+        "scan_id", "ord", "_opened"
+    )
+    return (
+        findings.join(placed, ["scan_id", "ord"], "left")
+        .withColumn("remediation_pull_request", F.coalesce("_opened", "remediation_pull_request"))
+        .drop("_opened")
+    )
+
+
 def open_counts(findings: DataFrame) -> DataFrame:
     return findings.groupBy("scan_id").agg(
         F.count_if(F.col("status") == "open").cast("int").alias("open")
@@ -133,8 +157,9 @@ def attach_explanations(findings: DataFrame, replies: DataFrame) -> DataFrame:
         cleaned.filter(F.col("_text").isNotNull())
         .groupBy("scan_id", "finding_id")
         .agg(F.max(F.struct("created_at", "_text"))["_text"].alias("_text"))
-        .join(first_bearers(findings), ["scan_id", "finding_id"])
-        .select("scan_id", "ord", "_text")
+    )
+    usable = usable.join(first_bearers(findings, usable), ["scan_id", "finding_id"]).select(
+        "scan_id", "ord", "_text"
     )
     return (
         findings.join(usable, ["scan_id", "ord"], "left")

@@ -164,3 +164,16 @@ def test_review_log_keeps_both_kinds_of_events(spark):
     opened = events.filter("event_id = 2").withColumn("pull_request", F.lit("pr"))
     kinds = {r.type for r in review.review_log(events, opened).collect()}
     assert kinds == {"finding_decision", "remediation_pull_request"}
+
+
+def test_newest_pull_request_goes_to_the_first_bearer(spark):
+    found = finding(spark, {"id": "a"}, {"id": "b"}, {"id": "b"})
+    opened = spark.createDataFrame(
+        [(1, "s", "b", "pr1", "2024-01-01"), (2, "s", "b", "pr2", "2024-01-02"), (3, "s", "x", "pr3", "2024-01-03")],
+        "event_id long, scan_id string, finding_id string, pull_request string, created_at string",
+    )
+    log = opened.selectExpr("*", "'remediation_pull_request' as type", "cast(null as string) as action")
+    other = log.withColumn("type", F.lit("finding_decision"))
+    rows = review.apply_pull_requests(found, log.unionByName(other)).collect()
+    kept = [r.remediation_pull_request for r in sorted(rows, key=lambda r: r.ord.n)]
+    assert kept == [None, "pr2", None]

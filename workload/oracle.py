@@ -299,6 +299,15 @@ def oracles() -> dict[str, str]:
         "apply_decisions",
         "SELECT scan_id, finding_key, status, decision, epoch_us(decided_at) AS decided_us FROM after_review",
     )
+    add(
+        "pull_request_findings",
+        """SELECT u.scan_id, u.finding_key,
+          coalesce(p.pr, CASE WHEN u.user_id % 5 = 0 THEN 'pr' END) AS remediation_pull_request
+        FROM under_review u LEFT JOIN (
+          SELECT user_id, 'pr-' || arg_max(event_id, {'t': ts, 'e': event_id}) AS pr
+          FROM events WHERE event_type = 'purchase' GROUP BY user_id) p
+        ON p.user_id = u.user_id AND u.n = 0""",
+    )
     add("open_recount", "SELECT scan_id, count(*) FILTER (status = 'open')::INT AS open FROM after_review GROUP BY scan_id")
     add(
         "remediation_targets",

@@ -450,6 +450,20 @@ def open_recount(spark, sf):
     return review.open_counts(_reviewed(spark, sf))
 
 
+def pull_request_findings(spark, sf):
+    """Findings after a log in which every purchase opened a pull request for the user's id."""
+    events = v.review_events(spark, sf)
+    bought = v.table(spark, sf, "events").filter("event_type = 'purchase'").select("event_id")
+    opened = events.join(bought, "event_id", "left_semi").select(
+        "event_id", "scan_id", "finding_id", "created_at",
+        F.concat(F.lit("pr-"), F.col("event_id").cast("string")).alias("pull_request"),
+    )
+    log = review.review_log(events, opened)
+    return review.apply_pull_requests(v.review_findings(spark, sf), log).select(
+        "scan_id", "finding_key", "remediation_pull_request"
+    )
+
+
 def remediation_targets(spark, sf):
     candidates = review.remediation_candidates(_reviewed(spark, sf))
     targets = review.remediation_targets(candidates, "decided_at", BRANCH_PREFIX, PLAN_FOLDER)
@@ -613,7 +627,8 @@ def registered() -> dict[str, Query]:
         compare_snapshots, score_history, repository_urls, repository_admission,
         admitted_repositories, archive_guard, archive_verdicts, snapshot_sizes, scan_upsert,
         scan_retention, recent_scans, scan_lookup, scan_list, store_metrics, valid_decisions,
-        review_log, apply_decisions, open_recount, remediation_targets, attach_explanations,
+        review_log, apply_decisions, open_recount, pull_request_findings,
+        remediation_targets, attach_explanations,
         explanation_prompts, sarif_reports, json_reports, remediation_plans, job_table,
         job_stats, live_jobs, rate_verdicts, rate_stream, job_stream, decision_stream, scan_stream,
     )
