@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from auditloom.session import shared_folder
 
-SLICE_BYTES = 2_000_000  # texts are taken together up to so many bytes
+SLICE_BYTES = 1_000_000  # texts are taken together up to so many bytes
 KEY_BITS = 24  # a key filter has 2^24 bits: 2 MB, whatever the number of keys
 
 
@@ -54,8 +54,15 @@ def with_keys(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     The bit table goes ahead of the join and spares the shuffle of most other rows; with many
     more keys than bits it lets everything pass and only the join decides.
     """
-    keys = keys.select(key).distinct()
-    return df.where(key_filter(keys, key)(F.col(key))).join(keys, key, "left_semi")
+    return df.where(key_filter(keys, key)(F.col(key))).join(keys.select(key), key, "left_semi")
+
+
+def _stars(pairs: DataFrame) -> bool:
+    """Whether every u has one v and no v is a u: then each v is the least of its component."""
+    ends = F.explode(F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("low"), F.lit(0).alias("top")),
+                             F.struct(F.col("v").alias("id"), F.lit(0).alias("low"), F.lit(1).alias("top"))))
+    told = pairs.select(ends.alias("e")).groupBy("e.id").agg(F.sum("e.low").alias("low"), F.sum("e.top").alias("top"))
+    return told.where("low > 1 or (low = 1 and top > 0)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -69,8 +76,7 @@ def components(edges: DataFrame) -> DataFrame:
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
         "edges",
     )
-    before = None
-    while True:
+    while not _stars(pairs):
         both = pairs.union(pairs.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (
@@ -79,10 +85,6 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         pairs = staged(small.union(down).distinct(), "edges")
-        now = pairs.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
-        if now == before:
-            break
-        before = now
     tops = pairs.select(F.col("v").alias("id")).distinct()
     return pairs.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
         tops.select("id", F.col("id").alias("component"))

@@ -24,13 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.llm.common import components, key_filter, mix, powers, rolling, slices
-from auditloom.llm.common import staged, utf8, with_keys
+from auditloom.llm.common import staged, utf8
 
 SKETCH_BITS, SKETCH_PARTS = 22, 64
 LEADERS = 8  # leaders of one meeting place that followers are compared with
 PLACE_ROWS = 2_000  # a fuller meeting place is dealt over several, see _places
 BUCKET_TOKENS = 300_000
 BLOCK_ROWS = 500  # members held at once when a group is opened
+# order of opening: (only the closest pair of each group, members drawn from a group; None: all)
+ROUNDS = ((True, 24), (False, None))
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -158,9 +160,10 @@ def _sum_parts(pdf: pd.DataFrame) -> pd.DataFrame:
 _PLACED = pa.schema([("place", pa.int64()), ("salt", pa.int32()), ("cls", pa.int64()),
                      ("text", pa.string())])
 _MATRIX = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("a", pa.int64()),
-                     ("b", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()),
-                     ("groups", pa.binary())])
-_PAIRS = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+                     ("b", pa.int64()), ("n", pa.int64()), ("far", pa.float64()),
+                     ("tokens", pa.binary()), ("groups", pa.binary())])
+_PAIRS = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()),
+                    ("far", pa.float64())])
 
 
 def _placed(salts: dict[int, int]):
@@ -214,13 +217,13 @@ def _grouped(ranks, bucket_bits: int, percent: int):
             ids = bucket[cuts[:-1]].tolist()
             spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
             none = [None] * len(ids)
-            return _rows(_MATRIX, [1] * len(ids), ids, none, none, none,
+            return _rows(_MATRIX, [1] * len(ids), ids, none, none, none, none,
                          [short[i:j].tobytes() for i, j in spans],
                          [g[i:j].tobytes() for i, j in spans])
 
         for batch in batches:
             places, salts, classes = (batch.column(i).to_pylist() for i in range(3))
-            members: tuple[list, ...] = ([], [], [])
+            members: tuple[list, ...] = ([], [], [], [])
             for i, u in enumerate(shingle_sets(utf8(batch.column(3)))):
                 if (places[i], salts[i]) != here:
                     here, leaders, last = (places[i], salts[i]), [], None
@@ -228,8 +231,14 @@ def _grouped(ranks, bucket_bits: int, percent: int):
                     continue
                 last = classes[i]
                 prefix = prefix_of(u)
-                leader = next((x for x in leaders if linked(u, x.u, percent)[0]), None)
+                leader, near = None, 1.0
+                for x in leaders:
+                    link, near = linked(u, x.u, percent)
+                    if link:
+                        leader = x
+                        break
                 if leader is None:
+                    near = 1.0
                     leader = _Leader(last, u, prefix)
                     if len(leaders) < LEADERS:
                         leaders.append(leader)
@@ -239,7 +248,7 @@ def _grouped(ranks, bucket_bits: int, percent: int):
                     leader.union = np.union1d(leader.union, new)
                     if len(leader.union) > 1_000_000:
                         leader.union = prefix
-                for column, value in zip(members, (last, leader.cls, len(u))):
+                for column, value in zip(members, (last, leader.cls, len(u), 1 - near)):
                     column.append(value)
                 if len(new):
                     tokens.append(new)
@@ -274,7 +283,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
         def counted():
             pairs, n = np.unique(np.concatenate(found), axis=0, return_counts=True)
-            return _rows(_PAIRS, [1] * len(n), pairs[:, 0], pairs[:, 1], n)
+            return _rows(_PAIRS, [1] * len(n), pairs[:, 0], pairs[:, 1], n, [None] * len(n))
 
         at = np.arange(len(t))
         while len(at):
@@ -296,7 +305,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group_rows = [i for i, k in enumerate(kinds) if k == 0]
         if group_rows:
             part = batch.take(pa.array(group_rows, pa.int64()))
-            yield _rows(_PAIRS, part.column(0), part.column(2), part.column(3), part.column(4))
+            yield _rows(_PAIRS, part.column(0), *part.columns[2:6])
         for i, kind in enumerate(kinds):
             if kind == 0:
                 continue
@@ -304,8 +313,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if tokens:
                     yield from paired(tokens, groups)
                 here, tokens, groups = buckets[i], [], []
-            tokens.append(batch.column(5)[i].as_py())
-            groups.append(batch.column(6)[i].as_py())
+            tokens.append(batch.column(6)[i].as_py())
+            groups.append(batch.column(7)[i].as_py())
     if tokens:
         yield from paired(tokens, groups)
 
@@ -394,17 +403,18 @@ def jaccard_components(docs: DataFrame, percent: int = 75, key: str = "doc_id",
     )
     members = staged(
         met.where("kind = 0").groupBy(F.col("a").alias("cls")).agg(
-            F.min("b").alias("grp"), F.first("n").alias("n"), F.max("b").alias("other")),
+            F.min(F.struct("b", "far")).alias("own"), F.first("n").alias("n"), F.max("b").alias("other"))
+        .select("cls", F.col("own.b").alias("grp"), F.col("own.far").alias("far"), "n", "other"),
         "members",
     )
-    size = members.groupBy("grp").agg(F.count("*").alias("members"))
+    size = members.groupBy("grp").agg(F.count("*").alias("members"), F.max("far").alias("radius"))
     groups = staged(
         members.where("cls = grp").select("grp", "n").join(size, "grp"), "groups")
 
     # bounds on groups: shared prefix shingles, and sizes within three steps of the threshold
     def described(side: str) -> DataFrame:
         return groups.select(F.col("grp").alias(side), F.col("n").alias(f"n{side}"),
-                             F.col("members").alias(f"m{side}"))
+                             F.col("members").alias(f"m{side}"), F.col("radius").alias(f"r{side}"))
 
     share = percent / 100
     fewest = F.least(*(F.greatest(F.lit(1), F.floor(F.floor(F.col(c) * share) / 20)) for c in ("na", "nb")))
@@ -413,7 +423,7 @@ def jaccard_components(docs: DataFrame, percent: int = 75, key: str = "doc_id",
         counted.join(described("a"), "a").join(described("b"), "b")
         .where((F.col("c") >= fewest)
                & (F.least("na", "nb") >= F.floor(F.greatest("na", "nb") * share**3)))
-        .select("a", "b", "ma", "mb"),
+        .select("a", "b", "ma", "mb", "ra", "rb"),
         "bound",
     )
 
@@ -421,8 +431,8 @@ def jaccard_components(docs: DataFrame, percent: int = 75, key: str = "doc_id",
 
     def texts_of(needed: DataFrame) -> DataFrame:
         wanted = staged(needed.select("cls").distinct().join(of_class, "cls"), "wanted")
-        found = with_keys(docs.select("tk", "text"), "tk", wanted).groupBy("tk").agg(
-            F.first("text").alias("text"))
+        maybe = key_filter(wanted, "tk")(F.col("tk"))
+        found = docs.select("tk", "text").where(maybe).groupBy("tk").agg(F.first("text").alias("text"))
         return staged(found.join(wanted, "tk").select("cls", "text"), "wanted-texts")
 
     held = texts_of(bound.select(F.col("a").alias("cls")).union(bound.select("b")))
@@ -440,28 +450,56 @@ def jaccard_components(docs: DataFrame, percent: int = 75, key: str = "doc_id",
     def component(side: str) -> DataFrame:
         return so_far.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
 
-    # distance is a metric: followers are within 1 - share of their leaders
-    open_ = staged(
+    # distance is a metric: two groups, or two members, that their distances to the leaders keep
+    # apart are not compared. The closest pair of every group goes first, with few members, then
+    # all pairs with all members: groups that have come together by then need no more opening.
+    reach = 1 - share + 1e-9
+    far_apart = staged(
         leaders.where("not link").join(bound, ["a", "b"])
         .where((F.col("ma") > 1) | (F.col("mb") > 1))
-        .where(1 - F.col("j") <= (1 - share) * (1 + F.when(F.col("ma") > 1, 1).otherwise(0)
-                                                + F.when(F.col("mb") > 1, 1).otherwise(0)) + 1e-9)
-        .join(component("a"), "a", "left").join(component("b"), "b", "left")
-        .where("not coalesce(ca, a) <=> coalesce(cb, b)")
-        .select("a", "b", F.ceil(F.col("mb") / BLOCK_ROWS).cast("int").alias("blocks")),
-        "open",
+        .withColumn("d", 1 - F.col("j")).where(F.col("d") <= reach + F.col("ra") + F.col("rb"))
+        .select("a", "b", "d", "ma", "mb", "ra", "rb"),
+        "far",
     )
-    if not open_.isEmpty():
-        of_group = members.select("cls", "grp")
-        left = open_.join(of_group.withColumnRenamed("grp", "a"), "a").select(
+    rounds = ROUNDS if not far_apart.isEmpty() else ()
+    if rounds:
+        need = far_apart.select(F.explode(F.array(
+            F.struct(F.col("a").alias("grp"), (F.col("d") - reach - F.col("rb")).alias("least")),
+            F.struct(F.col("b").alias("grp"), (F.col("d") - reach - F.col("ra")).alias("least")),
+        )).alias("x")).groupBy("x.grp").agg(F.min("x.least").alias("least"))
+        asked = members.join(need, "grp").where("far >= least")
+        texts = texts_of(asked)
+    for best_only, few in rounds:
+        open_ = staged(
+            far_apart.join(component("a"), "a", "left").join(component("b"), "b", "left")
+            .where("not coalesce(ca, a) <=> coalesce(cb, b)").drop("ca", "cb"),
+            "open",
+        )
+        if open_.isEmpty():
+            break
+        if best_only:
+            closest = open_.select(F.explode(F.array("a", "b")).alias("g"), F.struct("d", "a", "b").alias("p"))
+            chosen = closest.groupBy("g").agg(F.min("p").alias("p")).select("p.a", "p.b").distinct()
+            open_ = open_.join(chosen, ["a", "b"], "left_semi")
+        held = F.col("mb") if few is None else F.least("mb", F.lit(few))
+        open_ = staged(open_.withColumn("blocks", F.ceil(held / BLOCK_ROWS).cast("int")), "open")
+        placed = members.select("cls", "grp", "far")
+        draw = F.pmod(F.xxhash64("cls"), F.lit(1 << 20)) / float(1 << 20)
+
+        def side(this: str, other: str) -> DataFrame:
+            rows = open_.join(placed.withColumnRenamed("grp", this), this)
+            rows = rows.where(F.col("far") >= F.col("d") - reach - F.col(f"r{other}"))
+            return rows if few is None else rows.where(draw < F.lit(float(few)) / F.col(f"m{this}"))
+
+        left = side("a", "b").select(
             "a", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
             F.lit(1).alias("side"), "cls")
-        right = open_.join(of_group.withColumnRenamed("grp", "b"), "b").select(
-            "a", "b", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int").alias("block"),
+        right = side("b", "a").select(
+            "a", "b", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("blocks")).cast("int").alias("block"),
             F.lit(0).alias("side"), "cls")
         rows = staged(left.union(right), "opened")
         opened = (
-            rows.join(texts_of(rows), "cls").select("a", "b", "block", "side", "text")
+            rows.join(texts, "cls").select("a", "b", "block", "side", "text")
             .repartition("a", "b", "block").sortWithinPartitions("a", "b", "block", "side")
             .mapInArrow(_open(percent), _ddl(_OPENED))
         )
