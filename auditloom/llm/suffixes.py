@@ -24,8 +24,8 @@ from auditloom.llm.common import key_filter, mix, powers, rolling, slices, stage
 GRAM = 64
 PLACE_BITS = 24
 PIECE_BYTES = 4_000_000  # longer texts are read in overlapping pieces
-SHARD_BYTES = 2_000_000
-HOT_REGIONS = 2_000  # different regions of one anchor beyond which it is dealt over shards
+SHARD_BYTES = 1_000_000
+HOT_REGIONS = 1_000  # different regions of one anchor beyond which it is dealt over shards
 RANGES = 64
 SEPARATOR = b"\xff"  # no UTF-8 text holds it
 
@@ -124,7 +124,7 @@ def suffix_array(data: np.ndarray, words: np.ndarray, enough: int | None = None)
     are sorted again, by the rank of what follows.
     """
     n = len(data)
-    order = np.argsort(words[:n], kind="stable")
+    order = np.argsort(words[:n])
     sorted_ = words[order]
     head = np.r_[True, sorted_[1:] != sorted_[:-1]]
     # suffixes shorter than eight bytes equal others padded with zeros until depth parts them
@@ -139,7 +139,7 @@ def suffix_array(data: np.ndarray, words: np.ndarray, enough: int | None = None)
             return order
         held = order[slots]
         key = rank[held] * (n + 2) + rank[np.minimum(held + depth, n)] + 1
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         key = key[by]
         order[slots] = held[by]
         head = np.r_[True, key[1:] != key[:-1]]
