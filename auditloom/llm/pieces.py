@@ -13,6 +13,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,8 @@ from auditloom.llm.suffixes import SEPARATOR, _words, suffix_array
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 LONG_WORD = 60  # longer words are merged one by one with a heap
-HELD_WORDS = 400_000  # words whose ids a task remembers
+BATCH_BYTES = 2_500_000  # texts whose new words are matched together
+HELD_WORDS = 300_000  # words whose ids a task remembers
 
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -87,8 +89,13 @@ def _search(model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return model.held["search"]
 
 
+def _key(start: np.ndarray, length: np.ndarray, size: int) -> np.ndarray:
+    """Position and length as one number; pieces are shorter than 64 bytes."""
+    return ((start << 6) | np.minimum(length, 63)).astype(np.int32 if size < 1 << 24 else np.int64)
+
+
 def edges(model: Model, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (position << 8 | bytes) of all occurrences of pieces, sorted, and their piece ids."""
+    """Keys of all occurrences of pieces, sorted by position, and their piece ids."""
     table, mask, lengths, ids = _search(model)
     wide = table.shape[1]
     words = _words(data, 8 * wide + 8)
@@ -113,57 +120,63 @@ def edges(model: Model, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = np.maximum(last - first, 0)
     run = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     at = order[np.repeat(first, n) + run]
-    keys = (at << 8) | np.repeat(lengths, n)
-    by = np.argsort(keys, kind="stable")
+    keys = _key(at, np.repeat(lengths, n), len(data))
+    by = np.argsort(keys)
     return keys[by], np.repeat(ids, n)[by]
 
 
-def _relax(model: Model, words: list[str]) -> list[list[int]]:
-    """Ids of words of moderate length, all words together."""
+def _relax(model: Model, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of words of moderate length, all words together, and their number per word."""
     raw = [w.encode() for w in words]
     data = np.frombuffer(SEPARATOR.join(raw) + SEPARATOR, np.uint8)
     keys, ids = edges(model, data)
 
     def look(start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        key = (start << 8) | (end - start)
+        key = _key(start, end - start, len(data))
         at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
         return np.where(keys[at] == key, ids[at], -1) if len(keys) else np.full(len(key), -1)
 
+
     begins = np.cumsum([0] + [len(b) + 1 for b in raw])
-    is_char = ((data & 0xC0) != 0x80) & (data != 0xFF)
-    start = np.flatnonzero(is_char)
+    start = np.flatnonzero(((data & 0xC0) != 0x80) & (data != 0xFF))
     word = np.searchsorted(begins, start, side="right") - 1
     final = np.r_[word[1:] != word[:-1], True]
     end = np.where(final, begins[word + 1] - 1, np.r_[start[1:], 0])
-    out_start, out_end, out_word = [], [], []
+    pair = np.full(len(start), -1)
+    pair[~final] = look(start[~final], end[1:][~final[:-1]])
+    out: list[tuple[np.ndarray, ...]] = []
     while len(start):
-        joins = np.r_[word[1:] == word[:-1], False]
-        pair = np.full(len(start), -1)
-        a = np.flatnonzero(joins)
-        pair[a] = look(start[a], end[a + 1])
-        score = np.where(pair >= 0, model.scores[np.maximum(pair, 0)], -np.inf)
+        score = np.where(pair >= 0, model.scores[pair], -np.inf)
         heads = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-        best = np.maximum.reduceat(score, heads)
-        per = np.repeat(np.arange(len(heads)), np.diff(np.r_[heads, len(start)]))
-        hit = np.flatnonzero((score == best[per]) & (score > -np.inf))
-        hit = hit[np.r_[True, per[hit][1:] != per[hit][:-1]]] if len(hit) else hit
-        done = (best == -np.inf)[per]
-        out_start.append(start[done]), out_end.append(end[done]), out_word.append(word[done])
+        sizes = np.diff(np.r_[heads, len(start)])
+        best = np.repeat(np.maximum.reduceat(score, heads), sizes)
+        done = best == -np.inf
+        out.append((start[done], end[done], word[done]))
+        hit = np.flatnonzero((score == best) & ~done)
+        if not len(hit):
+            break
+        hit = hit[np.r_[True, word[hit][1:] != word[hit][:-1]]]  # the leftmost of a word
         end[hit] = end[hit + 1]
         keep = ~done
         keep[hit + 1] = False
-        start, end, word = start[keep], end[keep], word[keep]
-    start, end, word = (np.concatenate(x or [np.zeros(0, np.int64)]) for x in (out_start, out_end, out_word))
-    by = np.argsort(start, kind="stable")
+        at = (np.cumsum(keep) - 1)[hit]
+        start, end, word, pair = start[keep], end[keep], word[keep], pair[keep]
+        # only pairs beside a merge have changed
+        beside = np.zeros(len(start) + 1, bool)
+        beside[at] = beside[at - 1] = True  # the last place takes what stands before the first
+        pair[beside[:-1]] = -1
+        again = np.flatnonzero(beside[:-1][:-1] & (word[1:] == word[:-1]))
+        pair[again] = look(start[again], end[again + 1])
+    start, end, word = (np.concatenate([o[k] for o in out] or [np.zeros(0, np.int64)]) for k in range(3))
+    by = np.argsort(start)
     start, end, word = start[by], end[by], word[by]
-    piece = look(start, end).tolist()
-    result: list[list[int]] = [[] for _ in words]
-    for w, p, i, j in zip(word.tolist(), piece, start.tolist(), end.tolist()):
-        if p >= 0:
-            result[w].append(p)
-        else:
-            result[w].extend(model.bytes_[c] for c in data[i:j].tolist())
-    return result
+    piece = look(start, end)
+    n = np.where(piece >= 0, 1, end - start)
+    first = np.cumsum(n) - n
+    token = np.repeat(np.arange(len(n)), n)
+    byte = data[start[token] + np.arange(len(token)) - first[token]]
+    ids_out = np.where(piece[token] >= 0, piece[token], np.array(model.bytes_)[byte]).astype(np.int32)
+    return ids_out, np.bincount(word, n, len(words)).astype(np.int64)
 
 
 def _merge_long(model: Model, word: str) -> list[int]:
@@ -198,52 +211,88 @@ def _merge_long(model: Model, word: str) -> list[int]:
     return out
 
 
-def encode(model: Model, texts: list[str], held: dict[str, list[int]]) -> list[list[int]]:
-    """Ids of each text. ``held`` remembers words from call to call, up to HELD_WORDS."""
+class Words:
+    """Ids of the words seen so far: a number per word, and where its ids stand."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids = np.zeros(0, np.int32)
+        self.ends = np.zeros(1, np.int64)
+
+    def learn(self, model: Model, words: list[str]) -> None:
+        short = [w for w in words if len(w) <= LONG_WORD]
+        long_ = [w for w in words if len(w) > LONG_WORD]
+        ids, counts = _relax(model, short) if short else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        merged = [_merge_long(model, w) for w in long_]
+        self.number.update(zip(short + long_, range(len(self.number), len(self.number) + len(words))))
+        self.ids = np.concatenate([self.ids, ids, *(np.array(m, np.int32) for m in merged)])
+        sizes = np.concatenate([counts, np.array([len(m) for m in merged], np.int64)])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+
+
+def encode_flat(model: Model, texts: list[str], held: dict[str, Words]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in one array, and the offsets of each. ``held`` remembers words from call
+    to call, up to HELD_WORDS."""
     split = [_WORDS.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-    new = {w for ws in split for w in ws if w not in held}
-    if len(held) + len(new) > HELD_WORDS:
-        held.clear()
-        new = {w for ws in split for w in ws}
-    short = [w for w in new if len(w) <= LONG_WORD]
-    if short:
-        held.update(zip(short, _relax(model, short)))
-    for w in new:
-        if len(w) > LONG_WORD:
-            held[w] = _merge_long(model, w)
-    return [[k for w in ws for k in held[w]] for ws in split]
+    words = held.setdefault("words", Words())
+    found = set().union(*split)
+    new = found - words.number.keys()
+    if len(words.number) + len(new) > HELD_WORDS:
+        words = held["words"] = Words()
+        new = found
+    if new:
+        words.learn(model, list(new))
+    sizes = np.array([len(ws) for ws in split], np.int64)
+    number = np.fromiter(map(words.number.__getitem__, chain.from_iterable(split)), np.int64, sizes.sum())
+    first, last = words.ends[number], words.ends[number + 1]
+    upto = np.r_[0, np.cumsum(last - first)]
+    at = np.repeat(first - upto[:-1], last - first) + np.arange(upto[-1])
+    return words.ids[at], upto[np.r_[0, np.cumsum(sizes)]]
+
+
+def encode(model: Model, texts: list[str], held: dict[str, Words]) -> list[list[int]]:
+    """Ids of each text as lists, see encode_flat."""
+    flat, offsets = encode_flat(model, texts, held)
+    return [flat[a:b].tolist() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
 
 
 def decode(model: Model, ids: list[int]) -> str:
     """Text of ids; the space that encoding puts ahead of a text is taken off again."""
-    raw = b"".join([model.surface[k] for k in ids])
+    raw = b"".join(map(model.surface.__getitem__, ids))
     return raw.removeprefix(b" ").decode("utf-8", "replace")
 
 
 # --- DataFrames -----------------------------------------------------------------------------------
 
 
-def encoded(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds ``ids`` (array<int>). Null and empty texts get an empty array; a text of any length
-    is encoded whole; columns named ``ids`` are replaced, others pass through."""
-    kept = docs.drop("ids")
+def encoded(docs: DataFrame, model: Model, text: str = "text", verify: bool = False) -> DataFrame:
+    """Adds ``ids`` (array<int>), with ``verify`` also ``round_trip``: whether they decode to the text.
+
+    Null and empty texts get an empty array; a text of any length is encoded whole. Input columns
+    of these names are replaced, others pass through. Only a text that holds U+2581, which
+    stands for a space, or a character cut in two does not decode to itself.
+    """
+    kept = docs.drop("ids", *["round_trip"] * verify)
     at = kept.columns.index(text)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[int]] = {}
+        held = shared.value.held  # words are remembered from task to task of a worker
         for batch in batches:
             raw = utf8(batch.column(at))
-            for a, b in slices(raw):
-                out = encode(shared.value, [r.decode() for r in raw[a:b]], held)
-                lengths = np.cumsum([0] + [len(o) for o in out])
-                flat = np.fromiter((k for o in out for k in o), np.int32, lengths[-1])
-                ids = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(flat))
+            for a, b in slices(raw, BATCH_BYTES):
+                flat, offsets = encode_flat(shared.value, [r.decode() for r in raw[a:b]], held)
+                ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, "ids"])
+                more, names = [ids], ["ids"]
+                if verify:
+                    same = [decode(shared.value, flat[i:j].tolist()).encode() == r for i, j, r in zip(
+                        offsets[:-1].tolist(), offsets[1:].tolist(), raw[a:b])]
+                    more, names = [ids, pa.array(same, pa.bool_())], ["ids", "round_trip"]
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, *names])
 
     fields = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes)
-    return kept.mapInArrow(run, f"{fields}, ids array<int>")
+    return kept.mapInArrow(run, f"{fields}, ids array<int>" + ", round_trip boolean" * verify)
 
 
 def decoded(tokens: DataFrame, model: Model, ids: str = "ids", to: str = "decoded") -> DataFrame:
@@ -254,7 +303,8 @@ def decoded(tokens: DataFrame, model: Model, ids: str = "ids", to: str = "decode
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [None if k is None else decode(shared.value, k) for k in batch.column(at).to_pylist()]
+            column = batch.column(at)
+            out = [decode(shared.value, k.values.to_pylist()) if k.is_valid else None for k in column]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())],
                                              [*batch.schema.names, to])
 

@@ -64,10 +64,8 @@ def op6_quality(spark: SparkSession, sf: str) -> DataFrame:
 
 def op7_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     model = pieces.load(PIECE_MODEL)
-    tokens = pieces.encoded(table(spark, sf, "documents").select("doc_id", "text"), model)
-    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit(""))
-    return pieces.decoded(tokens, model).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", same.alias("round_trip"))
+    tokens = pieces.encoded(table(spark, sf, "documents").select("doc_id", "text"), model, verify=True)
+    return tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
 def op8_licence_scan(spark: SparkSession, sf: str) -> DataFrame:

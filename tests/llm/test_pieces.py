@@ -44,4 +44,5 @@ def test_table(spark, model, library):
     out = pieces.decoded(pieces.encoded(df, model), model).orderBy("doc_id").collect()
     assert [r.ids for r in out] == library.encode([r[1] or "" for r in rows])
     assert [r.decoded for r in out] == [r[1] or "" for r in rows]
+    assert all(r.round_trip for r in pieces.encoded(df, model, verify=True).collect())
     assert pieces.decoded(pieces.encoded(df.limit(0), model), model).collect() == []
