@@ -401,12 +401,14 @@ def jaccard_components(docs: DataFrame, percent: int = 75, key: str = "doc_id",
         matrix.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, _ddl(_PAIRS)),
         "matrix",
     )
+    # a class with copies in several salts may lead in one and follow others elsewhere: each counts
     members = staged(
-        met.where("kind = 0").groupBy(F.col("a").alias("cls")).agg(
-            F.min(F.struct("b", "far")).alias("own"), F.first("n").alias("n"), F.max("b").alias("other"))
-        .select("cls", F.col("own.b").alias("grp"), F.col("own.far").alias("far"), "n", "other"),
+        met.where("kind = 0").groupBy(F.col("a").alias("cls"), F.col("b").alias("grp")).agg(
+            F.max("far").alias("far"), F.first("n").alias("n")),
         "members",
     )
+    own = staged(
+        members.groupBy("cls").agg(F.min("grp").alias("own"), F.max("grp").alias("other")), "own")
     size = members.groupBy("grp").agg(F.count("*").alias("members"), F.max("far").alias("radius"))
     groups = staged(
         members.where("cls = grp").select("grp", "n").join(size, "grp"), "groups")
@@ -442,8 +444,9 @@ def jaccard_components(docs: DataFrame, percent: int = 75, key: str = "doc_id",
         .select("a", "b", "ta", "tb").mapInArrow(_compare(percent), _ddl(_OPENED)),
         "leaders",
     )
-    # one class can lead in several salted places; those places hang together through it
-    same = members.where("other <> grp").select(F.col("grp").alias("a"), F.col("other").alias("b"))
+    # the groups of one class in several salted places hang together through it
+    same = members.join(own.where("own <> other"), "cls").where("grp <> own").select(
+        F.col("own").alias("a"), F.col("grp").alias("b")).distinct()
     links = leaders.where("link").select("a", "b").union(same)
     so_far = staged(components(links), "components")
 
@@ -506,8 +509,8 @@ def jaccard_components(docs: DataFrame, percent: int = 75, key: str = "doc_id",
         links = staged(links.union(opened.select("a", "b")), "links")
         so_far = staged(components(links), "components")
 
-    of_member = members.join(so_far, F.col("grp") == F.col("id"), "left").select(
-        "cls", F.coalesce("component", "grp").alias("component"))
+    of_member = own.join(so_far, F.col("own") == F.col("id"), "left").select(
+        "cls", F.coalesce("component", "own").alias("component"))
     of_member = staged(of_member, "classes")
     least = staged(full.groupBy("cls").agg(F.min("doc_id").alias("m")), "least")
     least = staged(least.join(of_member, "cls").groupBy("component").agg(F.min("m").alias("component_id")),

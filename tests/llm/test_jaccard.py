@@ -86,3 +86,37 @@ def test_odd_rows(spark):
 
 def test_empty_table(spark):
     assert got(spark, []) == []
+
+
+def test_class_that_leads_one_salt_and_follows_in_another(spark, monkeypatch):
+    """L and C in salt 1, C and F in salt 0, and F alone is similar to Y, which lies elsewhere."""
+    monkeypatch.setattr(jaccard, "PLACE_ROWS", 2)
+    rng = random.Random(8)
+
+    def told(words):
+        u = next(jaccard.shingle_sets([" ".join(words).encode()]))
+        return u, jaccard.class_of(u), jaccard.place_of(u)
+
+    def near(a, b):
+        return jaccard.linked(a[0], b[0], 75)[0]
+
+    for _ in range(2_000):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+        texts = [["l%d" % i for i in range(15)] + base, base, base + ["e%d" % i for i in range(25)],
+                 base[20:] + ["e%d" % i for i in range(30)]]
+        low, mid, far, out = map(told, texts)
+        if (low[1] < mid[1] < far[1] and low[2] == mid[2] == far[2] != out[2]
+                and near(low, mid) and near(mid, far) and near(far, out)
+                and not near(low, far) and not near(low, out) and not near(mid, out)):
+            break
+    else:
+        raise AssertionError("no such texts")
+    turns = spark.range(100).selectExpr("id", "pmod(pmod(xxhash64(id), 1 << 30), 2) as turn").collect()
+    even, odd = ([r.id for r in turns if r.turn == t] for t in (0, 1))
+    ids = [(odd[0], 0), (odd[1], 1), (even[0], 1), (even[1], 2), (odd[2], 3)]
+    rows = [(k, " ".join(texts[i])) for k, i in ids]
+    parts = [spark.createDataFrame([r], "doc_id long, text string") for r in rows]
+    df = parts[0].union(parts[1]).union(parts[2]).union(parts[3]).union(parts[4])  # copies in different tasks
+    out = jaccard.jaccard_components(df).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, out)) == brute(rows)
+    assert len({r.component_id for r in out}) == 1
