@@ -365,18 +365,36 @@ def repeated_starts(docs: DataFrame, size: int) -> DataFrame:
     return out.distinct()
 
 
-def _remove(size: int, columns: int):
+def whole_words(text: bytes, start: int, end: int) -> int:
+    """Words that lie in a range of a text, without those its ends cut in two."""
+    n = len(text[start:end].split())
+    for at in (start, end):
+        if n and 0 < at < len(text) and not text[at - 1 : at].isspace() and not text[at : at + 1].isspace():
+            n -= 1
+    return n
+
+
+def _remove(size: int, columns: int, words: int, enough: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, starts = utf8(batch.column(columns)), batch.column(columns + 1).to_pylist()
             kept, spans = [], []
             for text, marks in zip(texts, starts):
-                runs: list[list[int]] = []
+                passages: list[list[int]] = []  # first and last of successive windows
                 for m in sorted((m["a"], m["b"]) for m in marks):
-                    if runs and m[0] <= runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], m[1] + size)
+                    if passages and m[0] <= passages[-1][1] + 1:
+                        passages[-1][1] = max(passages[-1][1], m[1])
+                    else:
+                        passages.append([*m])
+                runs: list[list[int]] = []
+                for a, b in passages:
+                    end = b + size
+                    if end - a < enough and whole_words(text, a, end) < words:
+                        continue
+                    if runs and a <= runs[-1][1]:
+                        runs[-1][1] = max(runs[-1][1], end)
                     else:
-                        runs.append([m[0], m[1] + size])
+                        runs.append([a, end])
                 at, left = 0, []
                 for i, j in runs:
                     left.append(text[at:i])
@@ -392,12 +410,14 @@ def _remove(size: int, columns: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, size: int = 400, text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = 400, text: str = "text", words: int = 0,
+                   enough: int = 0) -> DataFrame:
     """Adds ``kept`` (binary: the remaining bytes) and ``spans`` (removed byte ranges, merged).
 
     A byte goes if a string of ``size`` bytes around it starts anywhere else as well, in the same
     text or another; the first occurrence goes too. Null and empty texts and texts shorter
-    than ``size`` lose nothing; equal rows of that length lose everything. Input columns of the
+    than ``size`` lose nothing; equal rows of that length lose everything. With ``words``, successive
+    repeats go only if they hold so many whole words or ``enough`` bytes. Input columns of the
     two names are replaced; others pass through, the text as it was.
     """
     columns = [c for c in docs.columns if c not in ("kept", "spans")]
@@ -415,5 +435,5 @@ def remove_repeats(docs: DataFrame, size: int = 400, text: str = "text") -> Data
         *columns, "_text", F.coalesce("_marks", F.expr("cast(array() as array<struct<a: int, b: int>>)")).alias("_marks"))
     fields = ", ".join(f"`{n}` {t}" for n, t in docs.select(*columns).dtypes)
     removed = touched.mapInArrow(
-        _remove(size, len(columns)), f"{fields}, kept binary, spans array<struct<start: bigint, end: bigint>>")
+        _remove(size, len(columns), words, enough), f"{fields}, kept binary, spans array<struct<start: bigint, end: bigint>>")
     return clear.union(removed)

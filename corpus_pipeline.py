@@ -14,7 +14,9 @@ from auditloom.llm.common import folds, staged, table
 from auditloom.llm.queries import MIX_MOST, MIX_WEIGHTS, PIECE_MODEL
 
 LEAST_SCORE = 0.5  # of the language found; less is a text in no learned language
-REPEAT_BYTES = 400
+REPEAT_WORDS = 51
+REPEAT_BYTES = 2 * REPEAT_WORDS - 1  # so many words take at least as many bytes
+LONG_BYTES = 400  # repeats that go whatever words they hold: some scripts do not part words
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,9 +33,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts long repeated strings out of the texts. A character cut in two is replaced by
-    U+FFFD; a text that consists of repeats becomes empty and stays."""
-    cleaned = suffixes.remove_repeats(docs, REPEAT_BYTES)
+    """Cuts repeated strings of more than 50 words out of the texts. A character cut in two is
+    replaced by U+FFFD; a text that consists of repeats becomes empty and stays."""
+    cleaned = suffixes.remove_repeats(docs, REPEAT_BYTES, words=REPEAT_WORDS, enough=LONG_BYTES)
     whole = F.size("spans") == 0
     text = F.when(whole, F.col("text")).otherwise(F.make_valid_utf8(F.col("kept").cast("string")))
     return cleaned.withColumn("text", text).withColumn(

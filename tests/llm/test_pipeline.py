@@ -71,3 +71,21 @@ def test_stages_against_plain_python(spark, tmp_path):
     out = tokens.collect()
     assert Counter(r.doc_id for r in out) == given
     assert all(r.ids == library.encode(text[r.doc_id]) and r.n_tokens == len(r.ids) for r in out)
+
+
+def test_repeated_passages_of_51_short_words_go(spark, tmp_path):
+    rng = random.Random(6)
+    word = lambda least, most: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(least, most)))
+    prose = lambda n: " ".join(word(6, 12) for _ in range(n))
+    passages = {
+        "tiny": [word(1, 2) for _ in range(51)], "short": [word(2, 6) for _ in range(51)],
+        "few": [word(4, 6) for _ in range(50)],
+    }
+    rows = [(i, prose(200) + "\n" + " ".join(p) + "\n" + prose(200), "xx", "a", 0)
+            for i, p in enumerate(p for p in passages.values() for _ in range(2))]
+    out = corpus_pipeline.repeat_stage(spark, spark.createDataFrame(rows, SCHEMA), str(tmp_path))
+    text = {r.doc_id: r.text for r in out.collect()}
+    for i, p in enumerate(passages.values()):
+        for doc in (2 * i, 2 * i + 1):
+            assert (" ".join(p[1:-1]) in text[doc]) == (len(p) < 51)
+            assert len(text[doc].split()) >= 399
