@@ -12,6 +12,8 @@ from auditloom.operators.review import latest_decisions
 from auditloom.plans.scan import scan_snapshots
 from auditloom.streaming import decisions, jobs, rates, scans, sinks
 from tests.helpers import files_table
+from workload import views
+from workload.queries import registered
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
@@ -176,3 +178,11 @@ def test_scan_stream_equals_the_batch_scan_and_replaces_rescans(spark, tmp_path)
     assert key(scans.current_scans(spark, out)) == key(batch.summary)
     found = lambda df: sorted((r.scan_id, r.rule, r.line) for r in df.collect())
     assert found(scans.current_findings(spark, out)) == found(batch.stored)
+
+
+def test_scan_stream_of_all_snapshots_has_the_rows_of_the_batch_scan(spark):
+    sf = "/root/testdata/sf0.001"
+    streamed = registered()["scan_stream_all"](spark, sf)
+    rows = sorted(map(tuple, streamed.collect()))
+    assert rows == sorted(map(tuple, registered()["scan_summary"](spark, sf).select(streamed.columns).collect()))
+    assert len(rows) == views.snapshot_list(spark, sf).count()

@@ -228,14 +228,17 @@ def scanner_breakdown(spark, sf):
     return findings.scanner_breakdown(v.order_findings(spark, sf))
 
 
-def _full_scan(spark, sf) -> ScanResult:
+def _snapshot_files(spark, sf):
     shared = ["scan_id", "path", "entry_type", "length", "content"]
-    snapshots = v.code_files(spark, sf).select(shared).unionByName(
+    return v.code_files(spark, sf).select(shared).unionByName(
         v.lock_files(spark, sf).select(shared)
     )
+
+
+def _full_scan(spark, sf) -> ScanResult:
     return scan_snapshots(
         v.snapshot_list(spark, sf),
-        snapshots,
+        _snapshot_files(spark, sf),
         v.git_log(spark, sf),
         v.external_reports(spark, sf),
         v.advisories(spark, sf),
@@ -243,8 +246,7 @@ def _full_scan(spark, sf) -> ScanResult:
     )
 
 
-def scan_summary(spark, sf):
-    summary = _full_scan(spark, sf).summary
+def _summary_columns(summary):
     return summary.withColumn("scanners", F.array_join("scanners", ", ")).select(
         "scan_id", "score", "open", "resolved", "critical", "high", "files_scanned",
         "bytes_scanned", "skipped_large_files", "truncated", "truncation_reason", "scanners",
@@ -252,6 +254,10 @@ def scan_summary(spark, sf):
     )
 
 
+def scan_summary(spark, sf):
+    return _summary_columns(_full_scan(spark, sf).summary)
+
+
 def full_scan_findings(spark, sf):
     return _full_scan(spark, sf).stored.select(
         "scan_id", "position", "severity", "tool", "rule", "file", "line", "status"
@@ -589,10 +595,9 @@ def decision_stream(spark, sf):
     )
 
 
-def scan_stream(spark, sf):
-    """Document snapshots announced in four files, two per batch."""
+def _scanned_stream(spark, sf, notices, files):
+    """Snapshots announced in four files, two per batch."""
     out = shared_folder(spark, "scans")
-    notices = v.snapshot_list(spark, sf).filter("history_available")
     notices.repartition(4, "scan_id").write.parquet(f"{out}/notices")
     arriving = (
         spark.readStream.schema(notices.schema)
@@ -602,7 +607,7 @@ def scan_stream(spark, sf):
 
     def tables():
         return scans.SnapshotTables(
-            v.code_files(spark, sf),
+            files(spark, sf),
             v.git_log(spark, sf),
             v.external_reports(spark, sf),
             v.advisories(spark, sf),
@@ -610,11 +615,22 @@ def scan_stream(spark, sf):
         )
 
     scans.scan_stream(arriving, tables, f"{out}/store", f"{out}/progress").awaitTermination()
-    return scans.current_scans(spark, f"{out}/store").select(
+    return scans.current_scans(spark, f"{out}/store")
+
+
+def scan_stream(spark, sf):
+    """Document snapshots alone, as the SQL form has them."""
+    notices = v.snapshot_list(spark, sf).filter("history_available")
+    return _scanned_stream(spark, sf, notices, v.code_files).select(
         "scan_id", "score", "open", "critical", "high", "files_scanned", "total_findings"
     )
 
 
+def scan_stream_all(spark, sf):
+    """All snapshots with code and lock files; the rows of scan_summary."""
+    return _summary_columns(_scanned_stream(spark, sf, v.snapshot_list(spark, sf), _snapshot_files))
+
+
 def registered() -> dict[str, Query]:
     plain: tuple[Query, ...] = (
         eligible_files, pruned_directories, file_limit, byte_budget, scan_volume, scanned_files,
@@ -631,6 +647,7 @@ def registered() -> dict[str, Query]:
         remediation_targets, attach_explanations,
         explanation_prompts, sarif_reports, json_reports, remediation_plans, job_table,
         job_stats, live_jobs, rate_verdicts, rate_stream, job_stream, decision_stream, scan_stream,
+        scan_stream_all,
     )
     out: dict[str, Query] = {q.__name__: q for q in plain}
     out["new_findings"] = partial(_side, compare.new_findings)
