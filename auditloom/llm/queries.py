@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import covertree, jaccard, language, licences, mixing, pieces, quality, rpforest
-from auditloom.llm import sharding, suffixes
+from auditloom.llm import covertree, jaccard, language, licences, lines, mixing, pieces, quality
+from auditloom.llm import rpforest, sharding, suffixes
 from auditloom.llm.common import folds, table
 
 SHARDS = 40
@@ -82,13 +82,22 @@ def op10_source_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op13_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return lines.drop_repeated(docs).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES = {
     q.__name__: q for q in (
         op1_embedding_dedup, op2_sharding, op3_language_id, op4_suffix_dedup,
         op5_nearest_neighbours, op6_quality, op7_sentencepiece,
         op8_licence_scan,
-        op9_jaccard_join, op10_source_mix,
+        op9_jaccard_join, op10_source_mix, op13_line_dedup,
     )
 }
 
-SQL: dict[str, str] = {"op8_licence_scan": licences.scan_sql()}
+SQL: dict[str, str] = {
+    "op8_licence_scan": licences.scan_sql(),
+    "op13_line_dedup": lines.dedup_sql(),
+}
