@@ -52,9 +52,9 @@ def drop_repeated(docs: DataFrame, least_docs: int = LEAST_DOCS, least_chars: in
     """
     rows = docs.drop("n_lines", "n_dropped", "kept")
     body = F.coalesce(F.col(text), F.lit(""))
-    listed = rows.select(
-        F.col(key).alias("id"), F.xxhash64(text).alias("version"),
-        F.posexplode(F.split(body, "\n", -1)).alias("pos", "line"),
+    # the text's hash is taken below the generator: above it, every line would carry the text
+    listed = rows.select(F.col(key).alias("id"), F.xxhash64(text).alias("version"), body.alias("body")).select(
+        "id", "version", F.posexplode(F.split("body", "\n", -1)).alias("pos", "line"),
     ).select("id", "version", "pos", _key(F.col("line")).alias("line")).where(
         F.length("line") >= least_chars
     ).select("id", "version", "pos", F.xxhash64("line").alias("h1"),
