@@ -48,6 +48,17 @@ def key_filter(keys: DataFrame, key: str):
     return maybe
 
 
+def table_bits(keys: DataFrame, key: str, bits: int) -> np.ndarray:
+    """A table of 2^bits bits, set at the lowest bits of the 64-bit ``key`` of every row."""
+    at = F.pmod(F.col(key), F.lit(1 << bits))
+    words = keys.groupBy(F.shiftright(at, 6).cast("int").alias("word")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast(pmod({key}, 64) as int))")).alias("bits")
+    ).toPandas()  # at most 2^(bits - 6) rows
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return out
+
+
 def with_keys(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """Rows of ``df`` whose 64-bit ``key`` (never null) is in ``keys``, joined exactly.
 

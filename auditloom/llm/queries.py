@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditloom.llm import covertree, jaccard, language, licences, lines, mixing, pieces, quality
-from auditloom.llm import ranking, rpforest, sharding, suffixes
+from auditloom.llm import covertree, jaccard, language, licences, lines, mixing, phrases
+from auditloom.llm import pieces, quality, ranking, rpforest, sharding, suffixes
 from auditloom.llm.common import folds, table
 
 SHARDS = 40
@@ -86,6 +86,10 @@ def op11_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.ranked(table(spark, sf, "documents"), table(spark, sf, "benchmark"), 20)
 
 
+def op12_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf, "documents"))
+
+
 def op13_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return lines.drop_repeated(docs).select(
@@ -97,12 +101,13 @@ QUERIES = {
         op1_embedding_dedup, op2_sharding, op3_language_id, op4_suffix_dedup,
         op5_nearest_neighbours, op6_quality, op7_sentencepiece,
         op8_licence_scan,
-        op9_jaccard_join, op10_source_mix, op11_ranked_search, op13_line_dedup,
+        op9_jaccard_join, op10_source_mix, op11_ranked_search, op12_collocations, op13_line_dedup,
     )
 }
 
 SQL: dict[str, str] = {
     "op8_licence_scan": licences.scan_sql(),
     "op11_ranked_search": ranking.ranked_sql(20),
+    "op12_collocations": phrases.collocations_sql(),
     "op13_line_dedup": lines.dedup_sql(),
 }
