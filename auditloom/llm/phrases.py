@@ -25,9 +25,10 @@ from auditloom.llm.common import mix, powers, slices, staged, table_bits, utf8
 from auditloom.operators.topk import first_per_group
 
 LONGEST, LEAST, TOP = 5, 100, 2_000
-FLUSH_WORDS, FLUSH_PAIRS, FLUSH_ROWS = 400_000, 1_000_000, 500_000
-BUCKET_ROWS = 500_000  # pointers of one quicksort, about
-HOT_ROWS, HOT_PARTS = 500_000, 1_000  # leading words with more pointers, or a thousandth, go by more words
+READ_ROWS, SLICE_BYTES = 500, 500_000  # texts taken from a batch, and hashed, together
+FLUSH_WORDS, FLUSH_PAIRS, FLUSH_ROWS = 200_000, 300_000, 200_000
+BUCKET_ROWS = 300_000  # pointers of one quicksort, about
+HOT_ROWS, HOT_PARTS = 300_000, 1_000  # leading words with more pointers, or a thousandth, go by more words
 BITS = 26  # filters have 2^26 bits: 8 MB, whatever the number of frequent words
 UNDETERMINED = "und"
 
@@ -73,7 +74,7 @@ def _lang_hash(lang: bytes, seed: int) -> int:
     return out
 
 
-def _parts(text: bytes, limit: int = 1_000_000) -> Iterator[bytes]:
+def _parts(text: bytes, limit: int = SLICE_BYTES) -> Iterator[bytes]:
     """The text cut where pieces end anyway, into parts of about ``limit`` bytes."""
     while len(text) > limit:
         ends = np.flatnonzero(_KIND[np.frombuffer(text, np.uint8, offset=limit)] == 2)
@@ -85,12 +86,12 @@ def _parts(text: bytes, limit: int = 1_000_000) -> Iterator[bytes]:
 
 
 def _read(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[tuple[Words, list[bytes]]]:
-    for batch in batches:
+    for rows in (batch.slice(at, READ_ROWS) for batch in batches for at in range(0, batch.num_rows, READ_ROWS)):
         texts, langs = [], []
-        for lang, text in zip(utf8(batch.column(0)), utf8(batch.column(1))):
+        for lang, text in zip(utf8(rows.column(0)), utf8(rows.column(1))):
             for part in _parts(text):
                 texts.append(part), langs.append(lang)
-        for a, b in slices(texts):
+        for a, b in slices(texts, SLICE_BYTES):
             yield Words(texts[a:b], langs[a:b], seed), langs[a:b]
 
 
