@@ -30,9 +30,10 @@ SKETCH_BITS, SKETCH_PARTS = 22, 64
 LEADERS = 8  # leaders of one meeting place that followers are compared with
 PLACE_ROWS = 2_000  # a fuller meeting place is dealt over several, see _places
 BUCKET_TOKENS = 300_000
-BLOCK_ROWS = 500  # members held at once when a group is opened
-# order of opening: (only the closest pair of each group, members drawn from a group; None: all)
-ROUNDS = ((True, 24), (False, None))
+BLOCK_TOKENS = 100_000  # shingles of a block of members when groups are opened, about
+READ_ROWS = 500  # texts taken from a batch together
+FLUSH_TOKENS = 500_000
+SUMMED = 64  # groups of tasks whose counts are added before all are
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -106,6 +107,13 @@ def shared_least(n):
     return np.maximum(1, n // 20)
 
 
+def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, so many at a time that their texts take little memory twice."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, READ_ROWS):
+            yield batch.slice(at, READ_ROWS)
+
+
 def _rows(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
@@ -120,7 +128,7 @@ _FIRST = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cls", pa.int64(
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
-    for batch in batches:
+    for batch in few(batches):
         texts = utf8(batch.column(2))
         n, cls, place, tokens = [], [], [], []
 
@@ -137,7 +145,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place.append(place_of(u) if len(u) else None)
             tokens.append(u)
             held += len(u)
-            if held > 4_000_000:
+            if held > FLUSH_TOKENS:
                 add()
                 held = 0
         add()
@@ -149,8 +157,13 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows(_FIRST, none, none, none, none, none, range(SKETCH_PARTS), parts)
 
 
-def _sum_parts(pdf: pd.DataFrame) -> pd.DataFrame:
+def _add_parts(pdf: pd.DataFrame) -> pd.DataFrame:
     total = sum(np.frombuffer(zlib.decompress(c), np.uint32).astype(np.int64) for c in pdf["counts"])
+    return pd.DataFrame({"part": [pdf["part"].iloc[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
+
+
+def _rank_parts(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(zlib.decompress(c), np.int64) for c in pdf["counts"])
     rank = np.minimum(255, np.round(8 * np.log2(np.maximum(1, total)))).astype(np.uint8)
     return pd.DataFrame({"part": [pdf["part"].iloc[0]], "ranks": [rank.tobytes()]})
 
@@ -169,13 +182,13 @@ _PAIRS = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()),
 def _placed(salts: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in few(batches):
             texts, turns = utf8(batch.column(1)), batch.column(0).to_pylist()
             out: tuple[list, ...] = ([], [], [], [])
             for i, u in enumerate(shingle_sets(texts)):
                 if not len(u) or (cls := class_of(u)) in seen:
                     continue
-                if len(seen) > 500_000:
+                if len(seen) > 200_000:
                     seen.clear()
                 seen.add(cls)
                 place = place_of(u)
@@ -221,7 +234,7 @@ def _grouped(ranks, bucket_bits: int, percent: int):
                          [short[i:j].tobytes() for i, j in spans],
                          [g[i:j].tobytes() for i, j in spans])
 
-        for batch in batches:
+        for batch in few(batches):
             places, salts, classes = (batch.column(i).to_pylist() for i in range(3))
             members: tuple[list, ...] = ([], [], [], [])
             for i, u in enumerate(shingle_sets(utf8(batch.column(3)))):
@@ -326,7 +339,7 @@ _OPENED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("link", pa.bool_()),
 
 def _compare(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few(batches):
             left, right = (shingle_sets(utf8(batch.column(i))) for i in (2, 3))
             told = [linked(u, v, percent) for u, v in zip(left, right)]
             yield _rows(_OPENED, batch.column(0), batch.column(1), [x for x, _ in told],
@@ -335,24 +348,83 @@ def _compare(percent: int):
     return run
 
 
+class _Members:
+    """Opened members of a group, or of a part of it: sets, and an index of their shingles."""
+
+    def __init__(self):
+        self.sets: list[np.ndarray] = []
+        self.far: list[float] = []
+        self.tokens: np.ndarray | None = None
+
+    def add(self, u: np.ndarray, far: float) -> None:
+        self.sets.append(u), self.far.append(far)
+
+    def index(self) -> None:
+        if self.tokens is None:
+            self.sizes = np.array([len(u) for u in self.sets], np.int64)
+            tokens = np.concatenate(self.sets)
+            order = np.argsort(tokens, kind="stable")
+            self.tokens = tokens[order]
+            self.owner = np.repeat(np.arange(len(self.sets)), self.sizes)[order]
+
+    def meets(self, u: np.ndarray, percent: int) -> bool:
+        """Whether a member is similar to the set."""
+        lo = np.searchsorted(self.tokens, u, "left")
+        n = np.searchsorted(self.tokens, u, "right") - lo
+        at = np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
+        common = np.bincount(self.owner[at], minlength=len(self.sizes))
+        return bool((100 * common >= percent * (self.sizes + len(u) - common)).any())
+
+
+def _any_link(a: _Members, b: _Members, least_a: float, least_b: float, percent: int) -> bool:
+    """Whether members of two groups are linked; those nearer to their leaders than the least
+    cannot be."""
+    if sum(f >= least_a for f in a.far) > sum(f >= least_b for f in b.far):
+        a, b, least_a = b, a, least_b
+    b.index()
+    return any(b.meets(u, percent) for u, far in zip(a.sets, a.far) if far >= least_a)
+
+
 def _open(percent: int):
-    """Rows (a, b, block, side, text): members of b, then those of a against them. Both groups
-    hang together, so one link is enough."""
+    """Rows of a task: pairs (kind 0) of parts of groups, then members (kind 1) of the parts. Groups
+    hang together, so one link is enough, and none is looked for between groups that already do."""
+    reach = 1 - percent / 100 + 1e-9
+
+    def judged(pairs: list[tuple], members: dict[tuple, _Members]) -> pa.RecordBatch:
+        top: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while top.get(x, x) != x:
+                x = top[x]
+            return x
+
+        found: tuple[list, list] = ([], [])
+        for d, a, i, b, j, ra, rb in sorted(pairs):
+            x, y = root(a), root(b)
+            if x == y or (a, i) not in members or (b, j) not in members:
+                continue
+            if _any_link(members[a, i], members[b, j], d - reach - rb, d - reach - ra, percent):
+                top[max(x, y)] = min(x, y)
+                found[0].append(a), found[1].append(b)
+        return _rows(_OPENED, *found, [True] * len(found[0]), [None] * len(found[0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, block, done = None, [], False
-        for batch in batches:
-            a, b, blocks, sides = (batch.column(i).to_pylist() for i in range(4))
-            out: tuple[list, list] = ([], [])
-            for i, u in enumerate(shingle_sets(utf8(batch.column(4)))):
-                if (a[i], b[i], blocks[i]) != here:
-                    here, block, done = (a[i], b[i], blocks[i]), [], False
-                if sides[i] == 0:
-                    block.append(u)
-                elif not done and any(linked(u, v, percent)[0] for v in block):
-                    done = True
-                    out[0].append(a[i]), out[1].append(b[i])
-            yield _rows(_OPENED, *out, [True] * len(out[0]), [None] * len(out[0]))
+        here, pairs, members = None, [], {}
+        for batch in few(batches):
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
+            kinds = batch.column(3).to_pylist()
+            rows = list(zip(*(batch.column(i).to_pylist() for i in range(4, 11))))  # d, a, i, b, j, ra, rb
+            for key, kind, row, u in zip(keys, kinds, rows, shingle_sets(utf8(batch.column(11)))):
+                if key != here:
+                    if pairs:
+                        yield judged(pairs, members)
+                    here, pairs, members = key, [], {}
+                if kind == 0:
+                    pairs.append(row)
+                else:
+                    members.setdefault((row[1], row[2]), _Members()).add(u, row[0])
+        if pairs:
+            yield judged(pairs, members)
 
     return run
 
@@ -362,6 +434,55 @@ def _ddl(schema: pa.Schema) -> str:
     return ", ".join(f"{f.name} {kinds.get(str(f.type), str(f.type))}" for f in schema)
 
 
+def _opened(open_: DataFrame, members: DataFrame, texts_of, percent: int) -> DataFrame:
+    """Links (a, b) between the groups of open pairs (a, b, d, ra, rb), enough to join what belongs
+    together.
+
+    Groups that open pairs connect are a web. A web's groups, large ones in parts, are dealt over
+    blocks of members; a task holds two blocks and judges their pairs. So a member is sent to as
+    many tasks as its web has blocks, however many pairs its group is in.
+    """
+    reach = 1 - percent / 100 + 1e-9
+    need = open_.select(F.explode(F.array(
+        F.struct(F.col("a").alias("grp"), (F.col("d") - reach - F.col("rb")).alias("least")),
+        F.struct(F.col("b").alias("grp"), (F.col("d") - reach - F.col("ra")).alias("least")),
+    )).alias("x")).groupBy("x.grp").agg(F.min("x.least").alias("least"))
+    webs = components(open_.select("a", "b")).select(F.col("id").alias("grp"), F.col("component").alias("web"))
+    asked = staged(members.join(need.join(webs, "grp"), "grp").where("far >= least").select(
+        "grp", "web", "cls", "far", "n"), "asked")
+    groups = asked.groupBy("grp", "web").agg(F.sum("n").alias("n"))
+    groups = groups.withColumn("parts", F.ceil(F.col("n") / BLOCK_TOKENS).cast("int"))
+    blocks = groups.groupBy("web").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"))
+    groups = staged(groups.join(blocks, "web").select("grp", "web", "parts", "blocks"), "layout")
+
+    def parts(side: str, part: str) -> DataFrame:
+        numbered = groups.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        block = F.pmod(F.xxhash64("grp", "part"), F.col("blocks")).cast("int")
+        return numbered.select(F.col("grp").alias(side), F.col("part").alias(part), "web",
+                               block.alias(f"block_{side}"))
+
+    pairs = staged(
+        open_.join(parts("a", "i"), "a").join(parts("b", "j").drop("web"), "b").select(
+            "web", F.least("block_a", "block_b").alias("lo"), F.greatest("block_a", "block_b").alias("hi"),
+            "d", "a", "i", "b", "j", "ra", "rb"),
+        "pairs",
+    )
+    sent = pairs.select("web", "lo", "hi", F.explode(F.array(
+        F.struct(F.col("a").alias("grp"), F.col("i").alias("part")),
+        F.struct(F.col("b").alias("grp"), F.col("j").alias("part")))).alias("x")
+    ).select("web", "lo", "hi", "x.grp", "x.part").distinct()
+    of_part = asked.join(groups.select("grp", "parts"), "grp").select(
+        "cls", "grp", "far", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int").alias("part"))
+    rows = of_part.join(sent, ["grp", "part"]).select(
+        "cls", "web", "lo", "hi", F.lit(1).alias("kind"), F.col("far").alias("d"), F.col("grp").alias("a"),
+        F.col("part").alias("i"), *(F.lit(None).cast(t).alias(c) for c, t in (
+            ("b", "long"), ("j", "int"), ("ra", "double"), ("rb", "double"))))
+    told = rows.join(texts_of(asked), "cls").drop("cls").union(
+        pairs.select("web", "lo", "hi", F.lit(0), "d", "a", "i", "b", "j", "ra", "rb", F.lit("")))
+    return told.repartition("web", "lo", "hi").sortWithinPartitions("web", "lo", "hi", "kind").mapInArrow(
+        _open(percent), _ddl(_OPENED)).select("a", "b")
+
+
 def jaccard_components(docs: DataFrame, percent: int = 75, key: str = "doc_id",
                        text: str = "text") -> DataFrame:
     """Rows (doc_id, n_shingles, class_id, component_id), one per document.
@@ -371,6 +492,11 @@ def jaccard_components(docs: DataFrame, percent: int = 75, key: str = "doc_id",
     shingles, a null class and only their own key; repeated rows and ties fall in one class; an
     empty table gives no rows; other columns are not read. ``key`` must be a long and may be null.
     """
+    return _components(docs, percent, key, text).drop("tk")
+
+
+def _components(docs: DataFrame, percent: int, key: str, text: str) -> DataFrame:
+    """The same rows with ``tk``, a hash of the text."""
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"),
                        F.xxhash64(text).alias("tk"))
@@ -380,8 +506,10 @@ def jaccard_components(docs: DataFrame, percent: int = 75, key: str = "doc_id",
 
     ranks = np.zeros(1 << SKETCH_BITS, np.uint8)  # SKETCH_PARTS rows, 2^SKETCH_BITS bytes in all
     width = len(ranks) // SKETCH_PARTS
-    for row in first.where("part is not null").select("part", "counts").groupBy("part").applyInPandas(
-            _sum_parts, "part int, ranks binary").toLocalIterator():
+    counts = first.where("part is not null").select(
+        "part", "counts", F.pmod(F.xxhash64("counts"), F.lit(SUMMED)).alias("some"))
+    counts = counts.groupBy("part", "some").applyInPandas(_add_parts, "part int, counts binary")
+    for row in counts.groupBy("part").applyInPandas(_rank_parts, "part int, ranks binary").toLocalIterator():
         ranks[row.part * width : (row.part + 1) * width] = np.frombuffer(row.ranks, np.uint8)
     told = full.agg(F.count("*").alias("rows"), F.sum(F.expr("n * 3 div 10 + 1")).alias("tokens")).first()
     bits = max(8, int(np.ceil(np.log2((told.tokens or 1) / BUCKET_TOKENS + 1))))
@@ -454,59 +582,18 @@ def jaccard_components(docs: DataFrame, percent: int = 75, key: str = "doc_id",
         return so_far.select(F.col("id").alias(side), F.col("component").alias(f"c{side}"))
 
     # distance is a metric: two groups, or two members, that their distances to the leaders keep
-    # apart are not compared. The closest pair of every group goes first, with few members, then
-    # all pairs with all members: groups that have come together by then need no more opening.
+    # apart are not compared, nor are groups that hang together already
     reach = 1 - share + 1e-9
-    far_apart = staged(
+    open_ = staged(
         leaders.where("not link").join(bound, ["a", "b"])
         .where((F.col("ma") > 1) | (F.col("mb") > 1))
         .withColumn("d", 1 - F.col("j")).where(F.col("d") <= reach + F.col("ra") + F.col("rb"))
-        .select("a", "b", "d", "ma", "mb", "ra", "rb"),
-        "far",
+        .join(component("a"), "a", "left").join(component("b"), "b", "left")
+        .where("not coalesce(ca, a) <=> coalesce(cb, b)").select("a", "b", "d", "ra", "rb"),
+        "open",
     )
-    rounds = ROUNDS if not far_apart.isEmpty() else ()
-    if rounds:
-        need = far_apart.select(F.explode(F.array(
-            F.struct(F.col("a").alias("grp"), (F.col("d") - reach - F.col("rb")).alias("least")),
-            F.struct(F.col("b").alias("grp"), (F.col("d") - reach - F.col("ra")).alias("least")),
-        )).alias("x")).groupBy("x.grp").agg(F.min("x.least").alias("least"))
-        asked = members.join(need, "grp").where("far >= least")
-        texts = texts_of(asked)
-    for best_only, few in rounds:
-        open_ = staged(
-            far_apart.join(component("a"), "a", "left").join(component("b"), "b", "left")
-            .where("not coalesce(ca, a) <=> coalesce(cb, b)").drop("ca", "cb"),
-            "open",
-        )
-        if open_.isEmpty():
-            break
-        if best_only:
-            closest = open_.select(F.explode(F.array("a", "b")).alias("g"), F.struct("d", "a", "b").alias("p"))
-            chosen = closest.groupBy("g").agg(F.min("p").alias("p")).select("p.a", "p.b").distinct()
-            open_ = open_.join(chosen, ["a", "b"], "left_semi")
-        held = F.col("mb") if few is None else F.least("mb", F.lit(few))
-        open_ = staged(open_.withColumn("blocks", F.ceil(held / BLOCK_ROWS).cast("int")), "open")
-        placed = members.select("cls", "grp", "far")
-        draw = F.pmod(F.xxhash64("cls"), F.lit(1 << 20)) / float(1 << 20)
-
-        def side(this: str, other: str) -> DataFrame:
-            rows = open_.join(placed.withColumnRenamed("grp", this), this)
-            rows = rows.where(F.col("far") >= F.col("d") - reach - F.col(f"r{other}"))
-            return rows if few is None else rows.where(draw < F.lit(float(few)) / F.col(f"m{this}"))
-
-        left = side("a", "b").select(
-            "a", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
-            F.lit(1).alias("side"), "cls")
-        right = side("b", "a").select(
-            "a", "b", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("blocks")).cast("int").alias("block"),
-            F.lit(0).alias("side"), "cls")
-        rows = staged(left.union(right), "opened")
-        opened = (
-            rows.join(texts, "cls").select("a", "b", "block", "side", "text")
-            .repartition("a", "b", "block").sortWithinPartitions("a", "b", "block", "side")
-            .mapInArrow(_open(percent), _ddl(_OPENED))
-        )
-        links = staged(links.union(opened.select("a", "b")), "links")
+    if not open_.isEmpty():
+        links = staged(links.union(_opened(open_, members, texts_of, percent)), "links")
         so_far = staged(components(links), "components")
 
     of_member = own.join(so_far, F.col("own") == F.col("id"), "left").select(
@@ -519,20 +606,29 @@ def jaccard_components(docs: DataFrame, percent: int = 75, key: str = "doc_id",
     return sets.join(named, "cls", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"),
         F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        "tk",
     )
 
 
 def one_of_each(docs: DataFrame, percent: int = 75, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without those that are linked to a smaller key, columns as they were.
 
-    Of rows that share a key one stays. Rows without a key stay: nothing can name them. Only
-    rows whose key may have to go are shuffled with their texts.
+    Of linked rows that share a key one stays, of equal rows too; rows that share a key and are not
+    linked all stay, and so do rows without a key: nothing can name them. Texts without a word are
+    linked with nothing. An empty table stays empty. Only rows that may have to go are shuffled
+    with their texts.
     """
-    found = staged(jaccard_components(docs, percent, key, text), "found")
-    gone = staged(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
-    twice = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1")
-    asked = staged(gone.union(twice.select("doc_id")).distinct(), "asked")
-    maybe = key_filter(asked, "doc_id")(F.col(key).cast("long")) & F.col(key).isNotNull()
-    clear, touched = docs.where(~maybe), docs.where(maybe)
-    left = touched.join(gone, touched[key].cast("long") == gone["doc_id"], "left_anti")
-    return clear.union(left.dropDuplicates([key]))
+    found = staged(_components(docs, percent, key, text).where("doc_id is not null"), "found")
+    heads = found.where("doc_id = component_id and class_id is not null")
+    first = heads.groupBy("doc_id").agg(F.min("tk").alias("first"), F.max("tk").alias("last")).where("first < last")
+    others = heads.join(first.drop("last"), "doc_id").where("tk <> first").select("doc_id", "tk")
+    gone = staged(
+        found.where("doc_id <> component_id").select("doc_id", "tk").union(others).distinct(), "gone")
+    twice = found.groupBy("doc_id", "tk").agg(F.count("*").alias("c")).where("c > 1")
+    asked = staged(gone.select("doc_id").union(twice.select("doc_id")).distinct(), "asked")
+    named = F.col(key).cast("long")
+    maybe = key_filter(asked, "doc_id")(named) & F.col(key).isNotNull()
+    touched = docs.where(maybe).select(
+        named.alias("doc_id"), F.xxhash64(text).alias("tk"), F.struct("*").alias("row"))
+    left = touched.join(gone, ["doc_id", "tk"], "left_anti").dropDuplicates(["doc_id", "tk"])
+    return docs.where(~maybe).union(left.select("row.*"))

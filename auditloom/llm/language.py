@@ -8,12 +8,12 @@ n-grams that were learned, from LONGEST letters down to one, averaged over the w
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +24,13 @@ MOST_LANGUAGES = 500  # languages of a model
 KEPT_WORDS = 60_000  # known words: the most frequent ones
 KEPT_GRAMS = 60_000  # known n-grams of each length
 LONGEST = 5
+DOUBT = 2.0  # known words that a text is given for being short
 UNDETERMINED = "und"
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+MEMO_WORDS = 100_000  # words whose scores a task remembers
+READ_ROWS = 500
+
+_LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")  # marks belong to the letter before them
 
 
 def words_of(text: str) -> list[str]:
@@ -40,16 +44,17 @@ def grams_of(word: str, n: int) -> list[str]:
 
 
 def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """About ``rows`` texts (text, lang) of each of the MOST_LANGUAGES languages with most rows,
-    chosen by hash of the text. Only chosen texts leave their place."""
+    """About ``rows`` different texts (text, lang) of each of the MOST_LANGUAGES languages with most
+    texts, chosen by hash of the text, copies once. Only chosen texts leave their place."""
     labelled = labelled.where("text is not null and lang is not null").select("text", "lang")
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang")
+    sizes = labelled.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("n")).orderBy(
+        F.desc("n"), "lang")
     kept = sizes.limit(MOST_LANGUAGES).collect()
     if not kept:
         return labelled.limit(0)
     share = F.create_map(*[F.lit(x) for r in kept for x in (r.lang, min(1.0, rows / r.n))])
     draw = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / float(1 << 20)
-    return labelled.where(draw < F.element_at(share, F.col("lang")))
+    return labelled.where(draw < F.element_at(share, F.col("lang"))).distinct()
 
 
 def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, words: int = KEPT_WORDS,
@@ -89,7 +94,7 @@ def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, words: int = KEPT_WORDS,
         yield flush()
 
     counts = staged(
-        sample(labelled, rows).repartition(F.xxhash64("text")).mapInArrow(counted, "lang string, k int, gram string, n long")
+        sample(labelled, rows).mapInArrow(counted, "lang string, k int, gram string, n long")
         .groupBy("k", "gram", "lang").agg(F.sum("n").alias("n")),
         "grams",
     )
@@ -101,8 +106,10 @@ def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, words: int = KEPT_WORDS,
         top = per_gram.where((F.col("k") == k) & (F.col("total") >= 2)).orderBy(
             F.desc("total"), "gram").limit(words if k == 0 else grams)
         kept.append(top.select("gram", "by").collect())
-    totals = {(r.lang, r.k): r.n for r in
-              counts.groupBy("lang", "k").agg(F.sum("n").alias("n")).collect()}
+    told = counts.groupBy("lang", "k").agg(
+        F.sum("n").alias("n"), F.sum((F.col("n") == 1).cast("long")).alias("once")).collect()
+    totals = {(r.lang, r.k): r.n for r in told}
+    once = {r.lang: r.once for r in told if r.k == 0}
     langs = sorted({lang for lang, _ in totals})
     tables = []
     for k, held in enumerate(kept):
@@ -114,7 +121,14 @@ def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, words: int = KEPT_WORDS,
                 n[row, at[lang]] += count
         tables.append(({r.gram: i for i, r in enumerate(held)},
                        np.log(n / size).astype(np.float32) if langs else n))
-    return {"langs": langs, "tables": tables}
+    # the share of a language's words that are new to the model, by the share of words seen once
+    # and of those left out
+    size = {lang: totals.get((lang, 0), 0) for lang in langs}
+    in_table = Counter()
+    for r in kept[0]:
+        in_table.update(r.by)
+    usual = [max(0.0, min(1 - once.get(x, 0) / max(1, size[x]), in_table[x] / max(1, size[x]))) for x in langs]
+    return {"langs": langs, "tables": tables, "usual": usual}
 
 
 def word_score(model: dict, word: str) -> np.ndarray:
@@ -131,44 +145,72 @@ def word_score(model: dict, word: str) -> np.ndarray:
     return np.zeros(len(model["langs"]), np.float32)
 
 
-def predict(model: dict, text: str | None, memo: dict) -> tuple[str, float]:
-    found = words_of(text) if text else []
-    if not found or not model["langs"]:
-        return UNDETERMINED, 0.0
-    counts = Counter(found)
-    rows = []
-    for word in counts:
-        s = memo.get(word)
-        if s is None:
-            if len(memo) > 300_000:
-                memo.clear()
-            s = memo[word] = word_score(model, word).tolist()
-        rows.append(s)
-    total = np.array(list(counts.values()), float) @ np.array(rows, float)
-    best = int(total.argmax())
-    posterior = 1 / np.exp(np.clip(total - total[best], -700, 0)).sum()
-    return model["langs"][best], float(posterior)
+class Scorer:
+    """Predictions of a model; scores of words are remembered in one array of fixed size."""
+
+    def __init__(self, model: dict):
+        self.model, self.place = model, {}
+        self.scores = np.zeros((MEMO_WORDS, len(model["langs"])), np.float32)
+        self.known = np.zeros(self.scores.shape, bool)
+
+    def _rows(self, words: list[str]) -> list[int]:
+        if len(self.place) + len(words) > MEMO_WORDS:
+            self.place.clear()
+        index, logs = self.model["tables"][0]
+        floor = logs.min(axis=0) + 1e-6 if len(logs) else None
+        out = []
+        for word in words:
+            at = self.place.get(word)
+            if at is None:
+                at = self.place[word] = len(self.place)
+                self.scores[at] = word_score(self.model, word)
+                row = index.get(word)
+                self.known[at] = False if row is None else logs[row] > floor
+            out.append(at)
+        return out
+
+    def predict(self, text: str | None) -> tuple[str, float, float]:
+        """Language, posterior, and the text's share of that language's known words against its
+        usual share, from 0; texts of a few words are given the doubt."""
+        found = words_of(text) if text else []
+        langs = self.model["langs"]
+        if not found or not langs:
+            return UNDETERMINED, 0.0, 0.0
+        counts = Counter(found)
+        words, times = list(counts), np.array(list(counts.values()), float)
+        total, known = np.zeros(len(langs)), np.zeros(len(langs))
+        for at in range(0, len(words), MEMO_WORDS // 2):
+            rows = self._rows(words[at : at + MEMO_WORDS // 2])
+            n = times[at : at + MEMO_WORDS // 2]
+            total += n @ self.scores[rows].astype(float)
+            known += n @ self.known[rows]
+        best = int(total.argmax())
+        posterior = 1 / np.exp(np.clip(total - total[best], -700, 0)).sum()
+        usual = self.model["usual"][best] * len(found)
+        return langs[best], float(posterior), float((known[best] + DOUBT) / usual) if usual else 1.0
 
 
 def identify(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
-    """Adds ``lang_pred`` and ``score``, the posterior of that language over the whole text.
+    """Adds ``lang_pred``; ``score``, the posterior of that language over the whole text; and
+    ``familiar``, how much of the language's known words the text has, 1 being usual for it.
 
     Null texts and texts without a letter give ``und`` and 0, as does a model that saw no
     labelled row. In a tie the language that sorts first wins. Columns of these names are
     replaced. The model is broadcast; its size is bounded by the fit's parameters.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.drop("lang_pred", "score")
+    kept = docs.drop("lang_pred", "score", "familiar")
     at = kept.columns.index(text)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict = {}
-        for batch in batches:
-            found = [predict(held.value, t, memo) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([f[0] for f in found], pa.string()),
-                 pa.array([f[1] for f in found], pa.float64())],
-                [*batch.schema.names, "lang_pred", "score"])
+        scorer = Scorer(held.value)
+        for whole in batches:
+            for batch in (whole.slice(i, READ_ROWS) for i in range(0, whole.num_rows, READ_ROWS)):
+                found = [scorer.predict(t) for t in batch.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, pa.array([f[0] for f in found], pa.string()),
+                     pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.float64())],
+                    [*batch.schema.names, "lang_pred", "score", "familiar"])
 
     fields = ", ".join(f"`{n}` {t}" for n, t in kept.dtypes)
-    return kept.mapInArrow(scored, f"{fields}, lang_pred string, score double")
+    return kept.mapInArrow(scored, f"{fields}, lang_pred string, score double, familiar double")

@@ -72,7 +72,7 @@ def test_same_as_brute_force(spark, seed, monkeypatch):
     if seed == 2:  # full meeting places and opened groups at this size too
         monkeypatch.setattr(jaccard, "PLACE_ROWS", 7)
         monkeypatch.setattr(jaccard, "LEADERS", 1)
-        monkeypatch.setattr(jaccard, "BLOCK_ROWS", 3)
+        monkeypatch.setattr(jaccard, "BLOCK_TOKENS", 60)
     rows = corpus(seed)
     assert got(spark, rows) == brute(rows)
 
@@ -120,3 +120,16 @@ def test_class_that_leads_one_salt_and_follows_in_another(spark, monkeypatch):
     out = jaccard.jaccard_components(df).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, out)) == brute(rows)
     assert len({r.component_id for r in out}) == 1
+
+
+def test_one_of_each_goes_by_class(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (1, b), (2, "c d e f g h"), (3, a + " end"), (4, b), (5, a), (5, "own text of five"), (6, b + " x"),
+            (6, b + " y"), (7, "same same"), (7, "same same"), (8, None), (8, ""), (None, a), (None, a)]
+    df = spark.createDataFrame([(i, t, 0, "row", 1) for i, t in rows], "doc_id long, text string, tk long, row string, place long")
+    out = jaccard.one_of_each(df)
+    assert out.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got == sorted([(1, a), (1, b), (2, "c d e f g h"), (5, "own text of five"), (7, "same same"),
+                          (8, None), (8, ""), (None, a), (None, a)], key=str)
+    assert jaccard.one_of_each(df.limit(0)).collect() == []
