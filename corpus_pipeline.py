@@ -13,18 +13,24 @@ from auditloom.llm import jaccard, language, mixing, pieces, suffixes
 from auditloom.llm.common import folds, staged, table
 from auditloom.llm.queries import MIX_MOST, MIX_WEIGHTS, PIECE_MODEL
 
-LEAST_SCORE = 0.5  # of the language found; less is a text in no learned language
+LEAST_SCORE = 0.5  # of the language found among all
+LEAST_FAMILIAR = 0.25  # share of known words against the language's usual one; less is no learned language
 REPEAT_WORDS = 51
 REPEAT_BYTES = 2 * REPEAT_WORDS - 1  # so many words take at least as many bytes
 LONG_BYTES = 400  # repeats that go whatever words they hold: some scripts do not part words
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without a letter and texts whose best language is not even likely."""
+    """Drops texts without a letter (null and empty ones too), texts whose best language is not
+    even likely, and texts with few known words for their length. Judged row by row, so repeated
+    rows share their fate; a very long text is judged whole. An empty table stays empty, and
+    without labelled rows nothing can be kept."""
     model = language.fit(docs.where(~folds()))
-    found = language.identify(docs, model)
-    kept = found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
-    return kept.select(*docs.columns)
+    numbered = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # no name can clash
+    found = language.identify(numbered, model, f"c{docs.columns.index('text')}")
+    kept = found.where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SCORE)
+                       & (F.col("familiar") >= LEAST_FAMILIAR))
+    return kept.select(numbered.columns).toDF(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
