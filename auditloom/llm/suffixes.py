@@ -26,12 +26,19 @@ PLACE_BITS = 24
 PIECE_BYTES = 4_000_000  # longer texts are read in overlapping pieces
 SHARD_BYTES = 1_000_000
 HOT_REGIONS = 1_000  # different regions of one anchor beyond which it is dealt over shards
-RANGES = 64
+HOT_COPIES, SALTS = 10_000, 64  # copies of one region beyond which they are dealt over salts
+READ_ROWS = 500  # texts taken from a batch together
 SEPARATOR = b"\xff"  # no UTF-8 text holds it
 
 _SECOND = np.frombuffer(hashlib.shake_256(b"second print").digest(256 * 8), np.uint64)
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, READ_ROWS):
+            yield batch.slice(at, READ_ROWS)
+
+
 # --- anchors --------------------------------------------------------------------------------------
 
 
@@ -94,7 +101,7 @@ def _batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 
 def _find(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             tk = batch.column(0).to_numpy()
             for text_no, anchor, prints, first, windows in regions(utf8(batch.column(1)), size):
                 yield _batch(_FOUND, tk[text_no], anchor, prints, first.astype(np.int32),
@@ -187,7 +194,7 @@ def _cut(size: int):
     """Cuts the regions out of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             out: tuple[list, ...] = tuple([] for _ in _SHARD)
             for tk, text, cuts in zip(batch.column(0).to_pylist(), utf8(batch.column(1)),
                                       batch.column(2).to_pylist()):
@@ -218,8 +225,9 @@ def repeats(bodies: list[bytes], counts: np.ndarray, size: int):
     return data, starts, repeated, repeated & ~as_before
 
 
-def _sort_shards(size: int):
-    """Marks of the windows of single regions that repeat; prints of windows of hot anchors."""
+def _sort_shards(size: int, bits: int):
+    """Marks of the windows of single regions that repeat; prints of windows of hot anchors, in
+    2^bits ranges."""
 
     def solve(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         counts = np.array([r[5] for r in rows], np.int64)
@@ -252,7 +260,7 @@ def _sort_shards(size: int):
                 np.array([rows[i][3] for i in owner.tolist()], np.int64),
                 np.where(asks, np.array([rows[i][4] for i in owner.tolist()], np.int64) + at - starts[owner], -1),
             ], 1)
-            part = (prints[:, 0] >> np.uint64(64 - 6)).astype(np.int64)
+            part = (prints[:, 0] >> np.uint64(64 - bits)).astype(np.int64)
             for k in np.unique(part).tolist():
                 held = np.flatnonzero(part == k)
                 held = held[np.lexsort((prints[held, 1], prints[held, 0]))]
@@ -324,8 +332,15 @@ def repeated_starts(docs: DataFrame, size: int) -> DataFrame:
             F.count("*").alias("c"), F.first("tk").alias("tk"), F.first("first").alias("first")),
         "classes",
     )
-    twins = again.join(
-        classes.where("c > 1").select("anchor", "region", "windows"), ["anchor", "region", "windows"]
+    # the copies of a very frequent region are dealt over salts; at most a thousand are so frequent
+    most = max(HOT_COPIES, (classes.agg(F.sum("c")).first()[0] or 0) // 1000)
+    often = [r.region for r in classes.where(F.col("c") > most).select("region").distinct().collect()]
+    is_often = F.col("region").isin(often) if often else F.lit(False)
+    salt = F.when(is_often, F.pmod(F.xxhash64("tk", "first"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
+    salts = F.when(is_often, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    twins = again.withColumn("salt", salt).join(
+        classes.where("c > 1").select("anchor", "region", "windows", F.explode(salts).alias("salt")),
+        ["anchor", "region", "windows", "salt"],
     ).select("tk", F.col("first").alias("a"), (F.col("first") + F.col("windows") - 1).alias("b"))
 
     open_ = classes.where("several")
@@ -337,6 +352,7 @@ def repeated_starts(docs: DataFrame, size: int) -> DataFrame:
         .where("parts > 1"), "hot-anchors")
     hot = not parts.isEmpty()
     shards = -(-held.bytes // (SHARD_BYTES // 2)) + 1
+    bits = max(6, int(shards).bit_length())  # an anchor may hold most regions: as many ranges as shards
     open_ = open_.join(parts, "anchor", "left")
     hot_parts = F.col("parts")
     spread = F.xxhash64("anchor", F.coalesce(F.pmod(F.col("region"), hot_parts), F.lit(-1)))
@@ -351,7 +367,7 @@ def repeated_starts(docs: DataFrame, size: int) -> DataFrame:
     texts = with_keys(docs.select("tk", "text"), "tk", cuts).groupBy("tk").agg(F.first("text").alias("text"))
     marks = staged(
         texts.join(cuts, "tk").select("tk", "text", "cuts").mapInArrow(_cut(size), _ddl(_SHARD))
-        .repartition("shard").sortWithinPartitions("shard").mapInArrow(_sort_shards(size), _ddl(_MARKS)),
+        .repartition("shard").sortWithinPartitions("shard").mapInArrow(_sort_shards(size, bits), _ddl(_MARKS)),
         "marks",
     )
     out = twins.union(marks.where("tk is not null").select("tk", "a", "b"))
@@ -376,7 +392,7 @@ def whole_words(text: bytes, start: int, end: int) -> int:
 
 def _remove(size: int, columns: int, words: int, enough: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _few(batches):
             texts, starts = utf8(batch.column(columns)), batch.column(columns + 1).to_pylist()
             kept, spans = [], []
             for text, marks in zip(texts, starts):

@@ -58,6 +58,7 @@ def corpus(seed, size):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_same_as_brute_force(spark, seed, monkeypatch):
     if seed == 2:  # hot anchors, several shards and pieces of texts
+        monkeypatch.setattr(suffixes, "HOT_COPIES", 3)
         monkeypatch.setattr(suffixes, "HOT_REGIONS", 3)
         monkeypatch.setattr(suffixes, "SHARD_BYTES", 40_000)
         monkeypatch.setattr(suffixes, "PIECE_BYTES", 1_000)
