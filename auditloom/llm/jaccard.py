@@ -411,10 +411,9 @@ def _open(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, pairs, members = None, [], {}
         for batch in few(batches):
-            keys = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
-            kinds = batch.column(3).to_pylist()
-            rows = list(zip(*(batch.column(i).to_pylist() for i in range(4, 11))))  # d, a, i, b, j, ra, rb
-            for key, kind, row, u in zip(keys, kinds, rows, shingle_sets(utf8(batch.column(11)))):
+            keys, kinds = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            rows = list(zip(*(batch.column(i).to_pylist() for i in range(2, 9))))  # d, a, i, b, j, ra, rb
+            for key, kind, row, u in zip(keys, kinds, rows, shingle_sets(utf8(batch.column(9)))):
                 if key != here:
                     if pairs:
                         yield judged(pairs, members)
@@ -438,48 +437,49 @@ def _opened(open_: DataFrame, members: DataFrame, texts_of, percent: int) -> Dat
     """Links (a, b) between the groups of open pairs (a, b, d, ra, rb), enough to join what belongs
     together.
 
-    Groups that open pairs connect are a web. A web's groups, large ones in parts, are dealt over
-    blocks of members; a task holds two blocks and judges their pairs. So a member is sent to as
-    many tasks as its web has blocks, however many pairs its group is in.
+    Groups go by the smallest partner they have, so those of one cluster lie together; all with one
+    such label, large ones in parts, are dealt over blocks of members. A task holds two blocks and
+    judges their pairs. So a member is sent to as many tasks as its partners fill blocks, however
+    many they are.
     """
     reach = 1 - percent / 100 + 1e-9
     need = open_.select(F.explode(F.array(
-        F.struct(F.col("a").alias("grp"), (F.col("d") - reach - F.col("rb")).alias("least")),
-        F.struct(F.col("b").alias("grp"), (F.col("d") - reach - F.col("ra")).alias("least")),
-    )).alias("x")).groupBy("x.grp").agg(F.min("x.least").alias("least"))
-    webs = components(open_.select("a", "b")).select(F.col("id").alias("grp"), F.col("component").alias("web"))
-    asked = staged(members.join(need.join(webs, "grp"), "grp").where("far >= least").select(
-        "grp", "web", "cls", "far", "n"), "asked")
-    groups = asked.groupBy("grp", "web").agg(F.sum("n").alias("n"))
+        F.struct(F.col("a").alias("grp"), (F.col("d") - reach - F.col("rb")).alias("least"), F.least("a", "b").alias("x")),
+        F.struct(F.col("b").alias("grp"), (F.col("d") - reach - F.col("ra")).alias("least"), F.least("a", "b").alias("x")),
+    )).alias("e")).groupBy("e.grp").agg(F.min("e.least").alias("least"), F.min("e.x").alias("label"))
+    asked = staged(members.join(need, "grp").where("far >= least").select(
+        "grp", "label", "cls", "far", "n"), "asked")
+    groups = asked.groupBy("grp", "label").agg(F.sum("n").alias("n"))
     groups = groups.withColumn("parts", F.ceil(F.col("n") / BLOCK_TOKENS).cast("int"))
-    blocks = groups.groupBy("web").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"))
-    groups = staged(groups.join(blocks, "web").select("grp", "web", "parts", "blocks"), "layout")
+    blocks = groups.groupBy("label").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).cast("int").alias("blocks"))
+    groups = staged(groups.join(blocks, "label").select("grp", "label", "parts", "blocks"), "layout")
 
     def parts(side: str, part: str) -> DataFrame:
         numbered = groups.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         block = F.pmod(F.xxhash64("grp", "part"), F.col("blocks")).cast("int")
-        return numbered.select(F.col("grp").alias(side), F.col("part").alias(part), "web",
-                               block.alias(f"block_{side}"))
+        return numbered.select(F.col("grp").alias(side), F.col("part").alias(part),
+                               F.struct("label", block.alias("block")).alias(f"home_{side}"))
 
     pairs = staged(
-        open_.join(parts("a", "i"), "a").join(parts("b", "j").drop("web"), "b").select(
-            "web", F.least("block_a", "block_b").alias("lo"), F.greatest("block_a", "block_b").alias("hi"),
-            "d", "a", "i", "b", "j", "ra", "rb"),
+        open_.join(parts("a", "i"), "a").join(parts("b", "j"), "b").select(
+            F.least("home_a", "home_b").alias("lo"), F.greatest("home_a", "home_b").alias("hi"),
+            "d", "a", "i", "b", "j", "ra", "rb"
+        ).select(F.xxhash64("lo", "hi").alias("task"), "d", "a", "i", "b", "j", "ra", "rb"),
         "pairs",
     )
-    sent = pairs.select("web", "lo", "hi", F.explode(F.array(
+    sent = pairs.select("task", F.explode(F.array(
         F.struct(F.col("a").alias("grp"), F.col("i").alias("part")),
         F.struct(F.col("b").alias("grp"), F.col("j").alias("part")))).alias("x")
-    ).select("web", "lo", "hi", "x.grp", "x.part").distinct()
+    ).select("task", "x.grp", "x.part").distinct()
     of_part = asked.join(groups.select("grp", "parts"), "grp").select(
         "cls", "grp", "far", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int").alias("part"))
     rows = of_part.join(sent, ["grp", "part"]).select(
-        "cls", "web", "lo", "hi", F.lit(1).alias("kind"), F.col("far").alias("d"), F.col("grp").alias("a"),
+        "cls", "task", F.lit(1).alias("kind"), F.col("far").alias("d"), F.col("grp").alias("a"),
         F.col("part").alias("i"), *(F.lit(None).cast(t).alias(c) for c, t in (
             ("b", "long"), ("j", "int"), ("ra", "double"), ("rb", "double"))))
     told = rows.join(texts_of(asked), "cls").drop("cls").union(
-        pairs.select("web", "lo", "hi", F.lit(0), "d", "a", "i", "b", "j", "ra", "rb", F.lit("")))
-    return told.repartition("web", "lo", "hi").sortWithinPartitions("web", "lo", "hi", "kind").mapInArrow(
+        pairs.select("task", F.lit(0), "d", "a", "i", "b", "j", "ra", "rb", F.lit("")))
+    return told.repartition("task").sortWithinPartitions("task", "kind").mapInArrow(
         _open(percent), _ddl(_OPENED)).select("a", "b")
 
 
@@ -492,11 +492,11 @@ def jaccard_components(docs: DataFrame, percent: int = 75, key: str = "doc_id",
     shingles, a null class and only their own key; repeated rows and ties fall in one class; an
     empty table gives no rows; other columns are not read. ``key`` must be a long and may be null.
     """
-    return _components(docs, percent, key, text).drop("tk")
+    return _components(docs, percent, key, text).drop("tk", "component")
 
 
 def _components(docs: DataFrame, percent: int, key: str, text: str) -> DataFrame:
-    """The same rows with ``tk``, a hash of the text."""
+    """The same rows with ``tk``, a hash of the text, and ``component``, by class: two may share an id."""
     spark = docs.sparkSession
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"),
                        F.xxhash64(text).alias("tk"))
@@ -509,7 +509,7 @@ def _components(docs: DataFrame, percent: int, key: str, text: str) -> DataFrame
     counts = first.where("part is not null").select(
         "part", "counts", F.pmod(F.xxhash64("counts"), F.lit(SUMMED)).alias("some"))
     counts = counts.groupBy("part", "some").applyInPandas(_add_parts, "part int, counts binary")
-    for row in counts.groupBy("part").applyInPandas(_rank_parts, "part int, ranks binary").toLocalIterator():
+    for row in counts.groupBy("part").applyInPandas(_rank_parts, "part int, ranks binary").collect():
         ranks[row.part * width : (row.part + 1) * width] = np.frombuffer(row.ranks, np.uint8)
     told = full.agg(F.count("*").alias("rows"), F.sum(F.expr("n * 3 div 10 + 1")).alias("tokens")).first()
     bits = max(8, int(np.ceil(np.log2((told.tokens or 1) / BUCKET_TOKENS + 1))))
@@ -602,11 +602,11 @@ def _components(docs: DataFrame, percent: int, key: str, text: str) -> DataFrame
     least = staged(full.groupBy("cls").agg(F.min("doc_id").alias("m")), "least")
     least = staged(least.join(of_member, "cls").groupBy("component").agg(F.min("m").alias("component_id")),
                    "least")
-    named = staged(of_member.join(least, "component").select("cls", "component_id"), "named")
+    named = staged(of_member.join(least, "component").select("cls", "component", "component_id"), "named")
     return sets.join(named, "cls", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.col("cls").alias("class_id"),
         F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        "tk",
+        "tk", "component",
     )
 
 
@@ -620,8 +620,9 @@ def one_of_each(docs: DataFrame, percent: int = 75, key: str = "doc_id", text: s
     """
     found = staged(_components(docs, percent, key, text).where("doc_id is not null"), "found")
     heads = found.where("doc_id = component_id and class_id is not null")
-    first = heads.groupBy("doc_id").agg(F.min("tk").alias("first"), F.max("tk").alias("last")).where("first < last")
-    others = heads.join(first.drop("last"), "doc_id").where("tk <> first").select("doc_id", "tk")
+    first = heads.groupBy("doc_id", "component").agg(
+        F.min("tk").alias("first"), F.max("tk").alias("last")).where("first < last")
+    others = heads.join(first.drop("last"), ["doc_id", "component"]).where("tk <> first").select("doc_id", "tk")
     gone = staged(
         found.where("doc_id <> component_id").select("doc_id", "tk").union(others).distinct(), "gone")
     twice = found.groupBy("doc_id", "tk").agg(F.count("*").alias("c")).where("c > 1")
