@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from auditloom.functions import text as tx
 from auditloom.functions.severity import severity_level, severity_rank, severity_weight
-from auditloom.operators.topk import first_per_group
+from auditloom.operators.topk import first_per_group, ranked_per_group
 from auditloom.rules import ADVISORY_TOOL, CONTEXT_TOOL, HISTORY_TOOL, SECRET_TOOL, SOURCE_TOOL
 
 MAX_FINDINGS = 1_000
@@ -84,9 +84,14 @@ def security_scores(findings: DataFrame, scans: DataFrame) -> DataFrame:
     )
 
 
-def top_findings(findings: DataFrame, k: int = MAX_FINDINGS) -> DataFrame:
-    """First ``k`` findings of each snapshot by severity, stable in finding order."""
+def top_findings(findings: DataFrame, k: int | None = None) -> DataFrame:
+    """First ``k`` findings of each snapshot by severity, stable in finding order, or all of them.
+
+    ``position`` numbers them from 1; no task holds all findings of a snapshot.
+    """
     ranked = findings.withColumn("_rank", severity_rank(F.col("severity")))
+    if k is None:
+        return ranked_per_group(ranked, ["scan_id"], ["_rank", "ord"]).drop("_rank")
     return first_per_group(
         ranked,
         ["scan_id"],
@@ -100,11 +105,11 @@ def scan_summary(
     volume: DataFrame,
     findings: DataFrame,
     scanner_flags: DataFrame,
-    k: int = MAX_FINDINGS,
+    k: int | None = None,
 ) -> DataFrame:
     """Summary row per snapshot.
 
-    ``findings`` are all findings, before the cut to ``k``. Sorted by severity
+    ``findings`` are all findings, before the cut to ``k``, if there is one. Sorted by severity
     the cut keeps criticals first and then highs, so the counts after it follow
     from the counts before; the score stays that of all findings.
     ``scanner_flags`` has scan_id, history_available and external_tools (array).
@@ -112,9 +117,9 @@ def scan_summary(
     totals = severity_totals(findings)
     n = lambda name: F.coalesce(F.col(name), F.lit(0))
     total, critical, high = n("total_findings"), n("critical_total"), n("high_total")
-    kept = F.least(total, F.lit(k))
-    kept_critical = F.least(critical, F.lit(k))
-    kept_high = F.least(high, F.lit(k) - kept_critical)
+    kept = total if k is None else F.least(total, F.lit(k))
+    kept_critical = F.least(critical, kept)
+    kept_high = F.least(high, kept - kept_critical)
     none = F.array().cast("array<string>")
     scanners = F.concat(
         F.array(F.lit(SOURCE_TOOL), F.lit(CONTEXT_TOOL), F.lit(SECRET_TOOL)),

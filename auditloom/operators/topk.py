@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditloom.session import durable
+
 SALTS = 256
 
 
@@ -36,3 +38,31 @@ def first_per_group(
         .withColumn(rank_col, F.row_number().over(whole))
         .filter(F.col(rank_col) <= k)
     )
+
+
+def ranked_per_group(
+    df: DataFrame,
+    group: Sequence[str],
+    order: Sequence[str],
+    rank_col: str = "position",
+) -> DataFrame:
+    """All rows, numbered from 1 in every group by the columns ``order``, which must not tie.
+
+    Groups and order together are cut in ranges by sampled splitters, so a hot
+    group lies in many ranges. Rows are numbered within their range and group;
+    the counts of the ranges before are added. Only the order columns are
+    sorted; they go back to their rows by a join on group and order.
+    """
+    keys = [*group, *order]
+    ranged = durable(
+        df.select(*keys).repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*group, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy(*group, "_range").orderBy(*order)
+    numbered = (
+        ranged.withColumn("_in", F.row_number().over(within))
+        .join(offsets, [*group, "_range"])
+        .select(*keys, (F.col("_before") + F.col("_in")).cast("int").alias(rank_col))
+    )
+    return df.join(numbered, keys)

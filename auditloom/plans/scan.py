@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.operators.compare import compare_scans
@@ -36,6 +36,7 @@ from auditloom.sources.reports import (
     external_tool_names,
     external_tool_status,
 )
+from auditloom.sources.snapshot import snapshot_files, snapshot_listing
 
 
 @dataclass(frozen=True)
@@ -45,7 +46,7 @@ class Limits:
     max_files: int | None = None
     max_bytes: int | None = None
     max_file_bytes: int | None = None
-    max_findings: int = MAX_FINDINGS
+    max_findings: int | None = None
 
 
 # The usual cuts of a single scan.
@@ -69,16 +70,20 @@ def scan_snapshots(
     advisories: DataFrame,
     baselines: DataFrame,
     limits: Limits = Limits(),
+    listing: DataFrame | None = None,
 ) -> ScanResult:
     """Scans every snapshot listed in ``scans``.
 
     ``scans`` has scan_id, history_available and advisories_available. Contents
     are read once: selection runs on metadata, its few cuts go to the readers,
     and what the rules and the manifests yield is written out before the parts
-    that use it more than once.
+    that use it more than once. ``files`` holds the content of every regular file;
+    where ``listing`` has the metadata of all files, it need only hold the files
+    that are eligible and small enough.
     """
     listed = scans.select("scan_id", "history_available", "advisories_available")
-    selected = select_files(files, limits.max_files, limits.max_bytes, limits.max_file_bytes)
+    metadata = files if listing is None else listing
+    selected = select_files(metadata, limits.max_files, limits.max_bytes, limits.max_file_bytes)
     volume = durable(scan_volume(selected, limits.max_files))
     cuts = broadcast_if_small(volume.filter("truncated").select("scan_id", "last_walk"))
 
@@ -116,6 +121,27 @@ def scan_snapshots(
     return ScanResult(summary, findings, top_findings(findings, limits.max_findings))
 
 
+def scan_folders(
+    spark: SparkSession,
+    root: str,
+    scans: DataFrame,
+    git_log: DataFrame,
+    reports: DataFrame,
+    advisories: DataFrame,
+    baselines: DataFrame,
+    limits: Limits = Limits(),
+) -> ScanResult:
+    """Scans the snapshot folders below ``root``.
+
+    Sizes and names are listed first, without opening a file. Then only files that are eligible and
+    within the size limit are opened; larger ones count as skipped.
+    """
+    listing = durable(snapshot_listing(spark, root))
+    files = snapshot_files(spark, root, limits.max_file_bytes, eligible=True)
+    return scan_snapshots(
+        scans, files, git_log, reports, advisories, baselines, limits, listing=listing)
+
+
 def _every_scan(listed: DataFrame, volume: DataFrame) -> DataFrame:
     """Volume rows with zeros for snapshots that have no eligible file."""
     zero = F.lit(0).cast("long")

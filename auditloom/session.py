@@ -48,10 +48,12 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{_checkpoint_root(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Result written once to the shared checkpoint folder, lineage cut."""
-    _checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+def durable(df: DataFrame, purpose: str = "rows") -> DataFrame:
+    """Result written once as Parquet to the shared folder and read again: lineage is cut, and
+    readers take only the columns they need."""
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:

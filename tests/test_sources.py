@@ -9,7 +9,10 @@ import pytest
 from auditloom import schemas
 from auditloom.sources import archives, history_log, reports, repositories, store
 from auditloom.sources.advisories import advisories, advisories_from_replies
-from auditloom.sources.snapshot import snapshot_files
+from auditloom.plans.scan import Limits, scan_folders
+from auditloom.operators.dependencies import default_baselines
+from auditloom.sources import snapshot
+from auditloom.sources.snapshot import snapshot_files, snapshot_listing
 
 
 def test_snapshot_names_that_are_not_utf8(spark, tmp_path):
@@ -21,25 +24,102 @@ def test_snapshot_names_that_are_not_utf8(spark, tmp_path):
     assert [(r.path, r.content) for r in rows] == [("d/caf\ufffd.js", "x")]
 
 
-def test_snapshot_source(spark, tmp_path):
+FOLDERS = {
+    "one/.github/ci.yml": b"a", "one/pkg/__init__.py": b"b\xff", "one/pkg/deep/er/z.go": b"eval(x)",
+    "one/big.js": b"eval(x)\n" + b"x" * 600_000, "one/node_modules/m.js": b"eval(c)", "one/notes.txt": b"eval(n)",
+    "one/.env": b"e", "one/prod.ENV": b"p", "one/Dockerfile": b"d", "two/a.js": "\u00e9\r\n".encode(),
+    "two/pkg/dist/a.js": b"eval(d)",
+}
+
+
+@pytest.fixture
+def folders(tmp_path):
     root = tmp_path / "snapshots"
-    for path, data in {
-        "one/.github/ci.yml": b"a", "one/pkg/__init__.py": b"b\xff", "one/big.js": b"x" * 50,
-        "one/node_modules/m.js": b"c", "two/a.js": "é\r\n".encode(),
-    }.items():
+    for path, data in FOLDERS.items():
         target = root / path
         target.parent.mkdir(parents=True, exist_ok=True)
         target.write_bytes(data)
     os.symlink(root / "two", root / "one" / "loop")
-    rows = snapshot_files(spark, str(root), max_file_bytes=40).collect()
-    got = {(r.scan_id, r.path): (r.entry_type, r.length, r.content) for r in rows}
-    assert got == {
-        ("one", ".github/ci.yml"): ("file", 1, "a"),
-        ("one", "pkg/__init__.py"): ("file", 2, "b�"),
-        ("one", "big.js"): ("file", 50, None),
-        ("one", "loop"): ("symlink", 0, None),
-        ("two", "a.js"): ("file", 4, "é\r\n"),
-    }
+    os.symlink(root / "two", root / "three")
+    return str(root)
+
+
+def entered():
+    return {p: d for p, d in FOLDERS.items() if "node_modules" not in p and "/dist/" not in p}
+
+
+def test_snapshot_source(spark, folders):
+    got = {(r.scan_id, r.path): (r.entry_type, r.length, r.content) for r in snapshot_files(spark, folders).collect()}
+    want = {tuple(p.split("/", 1)): ("file", len(d), d.decode(errors="replace")) for p, d in entered().items()}
+    assert got == {**want, ("one", "loop"): ("symlink", 0, None)}
+    listed = {(r.scan_id, r.path): r.kind for r in snapshot_listing(spark, folders).collect()}
+    assert set(listed) == set(got)
+    assert {p for (s, p), kind in listed.items() if s == "one" and kind} == {
+        ".github/ci.yml", "pkg/__init__.py", "pkg/deep/er/z.go", "big.js", "prod.ENV", "Dockerfile"}
+    assert listed["one", "Dockerfile"] == "manifest" and listed["one", ".env"] is None
+
+
+def test_snapshot_filters_reach_the_walk(spark, folders, capsys):
+    files = snapshot_files(spark, folders, max_file_bytes=100, eligible=True).where("scan_id = 'one'")
+    assert sorted(r.path for r in files.collect()) == [
+        ".github/ci.yml", "Dockerfile", "pkg/__init__.py", "pkg/deep/er/z.go", "prod.ENV"]
+    files.explain()
+    plan = capsys.readouterr().out
+    assert "(length" not in plan.split("BatchScan")[0]  # nothing is left for Spark to filter
+
+
+def opened(monkeypatch, folders, filters, **options):
+    """Names of the files a reader opens, and the rows it gives, all in this process."""
+    names, plain = [], open
+    monkeypatch.setattr("builtins.open", lambda path, *a: names.append(os.path.relpath(path, folders)) or plain(path, *a))
+    reader = snapshot.SnapshotReader({"path": folders, **options})
+    left = list(reader.pushFilters(filters))
+    parts = reader.partitions()
+    rows = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    monkeypatch.undo()
+    return sorted(names), rows, parts, left
+
+
+def test_only_wanted_files_are_opened(monkeypatch, folders):
+    names, rows, parts, _ = opened(monkeypatch, folders, [])
+    assert names == sorted(entered())  # ignored folders and links stay closed
+    assert len(parts) == 7  # one, its pkg, deep and er, its .github, two, two's pkg
+    assert opened(monkeypatch, folders, [], splitbelow="0")[1:3] != (rows, parts)
+    wanted = [snapshot.IsNotNull(("kind",)), snapshot.LessThanOrEqual(("length",), 100),
+              snapshot.EqualTo(("scan_id",), "one")]
+    other = snapshot.EqualTo(("content",), "x")
+    names, rows, _, left = opened(monkeypatch, folders, [*wanted, other])
+    assert names == ["one/.github/ci.yml", "one/Dockerfile", "one/pkg/__init__.py", "one/pkg/deep/er/z.go", "one/prod.ENV"]
+    assert len(rows) == 5 and left == [other]
+    names, rows, _, _ = opened(monkeypatch, folders, [], contents="false")
+    assert names == [] and len(rows) == len(entered()) + 1
+    for odd in ("../snapshots", "..", "", "three", "none"):
+        assert opened(monkeypatch, folders, [snapshot.EqualTo(("scan_id",), odd)])[1] == []
+    assert {r["scan_id"] for r in opened(monkeypatch, folders, [snapshot.In(("scan_id",), ("two", "none"))])[1]} == {"two"}
+
+
+def test_split_and_whole_reading_give_the_same_rows(monkeypatch, folders):
+    order = lambda rows: sorted(rows, key=lambda r: (r["scan_id"], r["path"]))
+    fine = opened(monkeypatch, folders, [])[1]
+    assert order(fine) == order(opened(monkeypatch, folders, [], splitbelow="0")[1])
+
+
+def test_large_files_are_read_or_counted_as_skipped(spark, folders):
+    scans = spark.createDataFrame([("one", False, False), ("two", False, False)],
+                                  "scan_id string, history_available boolean, advisories_available boolean")
+    empty = [spark.createDataFrame([], s) for s in (schemas.GIT_LOG, schemas.EXTERNAL_REPORTS, schemas.ADVISORIES)]
+
+    def run(limits):
+        result = scan_folders(spark, folders, scans, *empty, default_baselines(spark), limits)
+        summary = {r.scan_id: (r.files_scanned, r.skipped_large_files, r.total_findings) for r in result.summary.collect()}
+        return summary, {(r.file, r.rule) for r in result.stored.collect()}
+
+    summary, found = run(Limits())
+    assert summary == {"one": (6, 0, 2), "two": (1, 0, 0)}
+    assert found == {("big.js", "SEC-EVAL"), ("pkg/deep/er/z.go", "SEC-EVAL")}
+    summary, found = run(Limits(max_file_bytes=512_000))
+    assert summary == {"one": (5, 1, 1), "two": (1, 0, 0)}
+    assert found == {("pkg/deep/er/z.go", "SEC-EVAL")}
 
 
 @pytest.mark.parametrize(

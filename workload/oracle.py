@@ -50,6 +50,16 @@ def oracles() -> dict[str, str]:
     def add(name: str, final: str, extra: dict[str, str] | None = None) -> None:
         q[name] = (final, extra)
 
+    add(
+        "snapshot_source",
+        "SELECT scan_id, path, length, sha256(content) AS content_sha FROM eligible WHERE length <= 8000",
+    )
+    add(
+        "snapshot_listing",
+        """SELECT scan_id, path, entry_type, CASE WHEN entry_type = 'file' THEN length END AS length FROM code_files
+        WHERE NOT list_has_any(string_split(path, '/')[1:-2],
+        ['.git','node_modules','vendor','coverage','.next','build','dist'])""",
+    )
     add("eligible_files", "SELECT scan_id, path, length FROM eligible")
     add(
         "pruned_directories",
@@ -130,6 +140,11 @@ def oracles() -> dict[str, str]:
         f"""SELECT scan_id, position::INT AS position, severity, rule, file, line
         FROM ({_rank_rows("deduped", _POS)}) r WHERE position <= {TOP_K}""",
     )
+    add(
+        "ranked_findings",
+        f"""SELECT scan_id, position::INT AS position, severity, rule, file, line
+        FROM ({_rank_rows("deduped", _POS)}) r""",
+    )
     add(
         "report_rules",
         f"""SELECT scan_id, rule, min(position)::INT AS first_position, arg_max(title, position) AS title,

@@ -15,7 +15,7 @@ from auditloom.plans.scan import ScanResult, scan_snapshots
 from auditloom.rules import LINE_RULES, RULES
 from auditloom.session import durable, shared_folder
 from auditloom.sources.advisories import advisories_from_replies
-from auditloom.sources import archives, exports, history_log, reports, repositories, store
+from auditloom.sources import archives, exports, history_log, reports, repositories, snapshot, store
 from auditloom.streaming import decisions, jobs, rates, scans, sinks
 from workload import views as v
 
@@ -77,6 +77,19 @@ def scanned_files(spark, sf):
     )
 
 
+def snapshot_source(spark, sf):
+    """The code files as folders, read back by the snapshot source: eligible and small ones."""
+    root = v.snapshot_folders(spark, sf)
+    wanted = snapshot.snapshot_files(spark, root, MAX_FILE_BYTES, eligible=True)
+    return wanted.select("scan_id", "path", "length", F.sha2("content", 256).alias("content_sha"))
+
+
+def snapshot_listing(spark, sf):
+    """The code files as folders, listed without opening a file."""
+    listed = snapshot.snapshot_listing(spark, v.snapshot_folders(spark, sf))
+    return listed.select("scan_id", "path", "entry_type", F.when(F.col("entry_type") == "file", F.col("length")).alias("length"))
+
+
 def line_explode(spark, sf):
     return files.explode_lines(v.code_files(spark, sf))
 
@@ -212,9 +225,15 @@ def top_findings(spark, sf):
     return kept.select("scan_id", "position", "severity", "rule", "file", "line")
 
 
+def ranked_findings(spark, sf):
+    """Every finding with its position in its snapshot, none cut."""
+    ranked = findings.top_findings(durable(findings.dedup_findings(_own(spark, sf))))
+    return ranked.select("scan_id", "position", "severity", "rule", "file", "line")
+
+
 def report_rules(spark, sf):
     """Distinct rules of the stored findings of every snapshot."""
-    kept = findings.top_findings(findings.dedup_findings(_own(spark, sf)))
+    kept = findings.top_findings(findings.dedup_findings(_own(spark, sf)), findings.MAX_FINDINGS)
     return findings.report_rules(kept).select(
         "scan_id", "rule", "first_position", "title", "explanation", "level"
     )
@@ -492,9 +511,8 @@ def explanation_prompts(spark, sf):
 
 
 def _stored(spark, sf):
-    return findings.top_findings(
-        findings.open_findings(findings.dedup_findings(match.source_findings(_eligible(spark, sf))))
-    )
+    found = findings.dedup_findings(match.source_findings(_eligible(spark, sf)))
+    return findings.top_findings(durable(findings.open_findings(found)))
 
 
 def _doc_scans(spark, sf):
@@ -633,11 +651,12 @@ def scan_stream_all(spark, sf):
 
 def registered() -> dict[str, Query]:
     plain: tuple[Query, ...] = (
+        snapshot_source, snapshot_listing,
         eligible_files, pruned_directories, file_limit, byte_budget, scan_volume, scanned_files,
         line_explode, line_windows, line_findings, window_findings, html_findings,
         secret_findings, dependency_inventory, advisory_replies, baseline_join, advisory_join, source_fallback,
         history_context, history_findings, history_lines, finding_union, finding_dedup,
-        security_scores, severity_counts, top_findings, report_rules, severity_breakdown,
+        security_scores, severity_counts, top_findings, ranked_findings, report_rules, severity_breakdown,
         scanner_breakdown, scan_summary, full_scan_findings, semgrep_findings, gitleaks_findings,
         osv_report_findings, external_tool_status, external_merge, rescan_pairs, compare_scans,
         compare_snapshots, score_history, repository_urls, repository_admission,

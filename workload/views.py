@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import re
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditloom.session import shared_folder
+
 # Text blocks that hit exactly one rule each, by doc_id % 16.
 # Key-like strings are put together here so that this file holds none.
 SEEDS = (
@@ -83,6 +89,29 @@ def code_files(spark: SparkSession, sf: str) -> DataFrame:
     return _code_files(table(spark, sf, "documents"), "", F.col("doc_id") % 16, F.lit(""))
 
 
+def snapshot_folders(spark: SparkSession, sf: str) -> str:
+    """The code files written as folders of real files and links, by the tasks, below the shared
+    folder; a file that is written again gets the same bytes."""
+    root = re.sub("^file:/*", "/", shared_folder(spark, "snapshots"))
+
+    def write(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                target = os.path.join(root, row["scan_id"], row["path"])
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                if row["entry_type"] == "symlink":
+                    if not os.path.lexists(target):
+                        os.symlink(root, target)
+                    continue
+                with open(f"{target}.{uuid.uuid4().hex}", "wb") as f:
+                    f.write(row["content"].encode())
+                os.replace(f.name, target)
+            yield batch.slice(0, 0).select(["path"])
+
+    code_files(spark, sf).mapInArrow(write, "path string").write.format("noop").mode("overwrite").save()
+    return root
+
+
 def code_files_prev(spark: SparkSession, sf: str) -> DataFrame:
     """The earlier state: some files in another folder, some with another finding."""
     doc = F.col("doc_id")
