@@ -28,7 +28,7 @@ from auditloom.llm.common import staged, utf8
 
 SKETCH_BITS, SKETCH_PARTS = 22, 64
 LEADERS = 8  # leaders of one meeting place that followers are compared with
-PLACE_ROWS = 2_000  # a fuller meeting place is dealt over several, see _places
+PLACE_ROWS = 20_000  # a fuller meeting place is dealt over several, see _places
 BUCKET_TOKENS = 300_000
 BLOCK_TOKENS = 100_000  # shingles of a block of members when groups are opened, about
 READ_ROWS = 500  # texts taken from a batch together
@@ -170,8 +170,8 @@ def _rank_parts(pdf: pd.DataFrame) -> pd.DataFrame:
 
 # --- second pass: groups and the matrix ------------------------------------------------------------
 
-_PLACED = pa.schema([("place", pa.int64()), ("salt", pa.int32()), ("cls", pa.int64()),
-                     ("text", pa.string())])
+_PLACED = pa.schema([("place", pa.int64()), ("salt", pa.int32()), ("rare", pa.int32()),
+                     ("cls", pa.int64()), ("text", pa.string())])
 _MATRIX = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("a", pa.int64()),
                      ("b", pa.int64()), ("n", pa.int64()), ("far", pa.float64()),
                      ("tokens", pa.binary()), ("groups", pa.binary())])
@@ -179,12 +179,15 @@ _PAIRS = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()),
                     ("far", pa.float64())])
 
 
-def _placed(salts: dict[int, int]):
+def _placed(salts: dict[int, int], ranks):
+    """Where a class is grouped, and how rare its shingles are: what is most common leads, as the
+    text that others are edits of."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in few(batches):
             texts, turns = utf8(batch.column(1)), batch.column(0).to_pylist()
-            out: tuple[list, ...] = ([], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [])
             for i, u in enumerate(shingle_sets(texts)):
                 if not len(u) or (cls := class_of(u)) in seen:
                     continue
@@ -192,10 +195,12 @@ def _placed(salts: dict[int, int]):
                     seen.clear()
                 seen.add(cls)
                 place = place_of(u)
-                for column, value in zip(out, (place, turns[i] % salts.get(place, 1), cls, i)):
+                common = ranks.value[(u >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].mean()
+                row = (place, turns[i] % salts.get(place, 1), int(-1000 * common), cls, i)
+                for column, value in zip(out, row):
                     column.append(value)
-            kept = batch.column(1).take(pa.array(out[3], pa.int64()))
-            yield _rows(_PLACED, out[0], out[1], out[2], kept)
+            kept = batch.column(1).take(pa.array(out[4], pa.int64()))
+            yield _rows(_PLACED, *out[:4], kept)
 
     return run
 
@@ -206,7 +211,7 @@ class _Leader:
 
 
 def _grouped(ranks, bucket_bits: int, percent: int):
-    """Rows of a partition in order of place, salt and class: groups, and tokens by bucket."""
+    """Rows of a partition in order of place, salt, rarity and class: groups, and tokens by bucket."""
 
     def prefix_of(u: np.ndarray) -> np.ndarray:
         n = len(u)
@@ -235,9 +240,9 @@ def _grouped(ranks, bucket_bits: int, percent: int):
                          [g[i:j].tobytes() for i, j in spans])
 
         for batch in few(batches):
-            places, salts, classes = (batch.column(i).to_pylist() for i in range(3))
+            places, salts, classes = (batch.column(i).to_pylist() for i in (0, 1, 3))
             members: tuple[list, ...] = ([], [], [], [])
-            for i, u in enumerate(shingle_sets(utf8(batch.column(3)))):
+            for i, u in enumerate(shingle_sets(utf8(batch.column(4)))):
                 if (places[i], salts[i]) != here:
                     here, leaders, last = (places[i], salts[i]), [], None
                 if classes[i] == last:
@@ -512,18 +517,19 @@ def _components(docs: DataFrame, percent: int, key: str, text: str) -> DataFrame
     for row in counts.groupBy("part").applyInPandas(_rank_parts, "part int, ranks binary").collect():
         ranks[row.part * width : (row.part + 1) * width] = np.frombuffer(row.ranks, np.uint8)
     told = full.agg(F.count("*").alias("rows"), F.sum(F.expr("n * 3 div 10 + 1")).alias("tokens")).first()
-    bits = max(8, int(np.ceil(np.log2((told.tokens or 1) / BUCKET_TOKENS + 1))))
+    bits = max(6, int(np.ceil(np.log2((told.tokens or 1) / BUCKET_TOKENS + 1))))
 
     # at most a thousand places are so full, whatever the number of documents
     most = max(PLACE_ROWS, told.rows // 1000)
     salts = {r.place: -(-r.c // most) for r in full.groupBy("place").agg(F.count("*").alias("c"))
              .where(F.col("c") > most).collect()}
+    held_ranks = spark.sparkContext.broadcast(ranks)
     placed = docs.where("text is not null").select(
         F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)).alias("turn"), "text"
-    ).mapInArrow(_placed(salts), _ddl(_PLACED))
+    ).mapInArrow(_placed(salts, held_ranks), _ddl(_PLACED))
     matrix = (
-        placed.repartition("place", "salt").sortWithinPartitions("place", "salt", "cls")
-        .mapInArrow(_grouped(spark.sparkContext.broadcast(ranks), bits, percent), _ddl(_MATRIX))
+        placed.repartition("place", "salt").sortWithinPartitions("place", "salt", "rare", "cls")
+        .mapInArrow(_grouped(held_ranks, bits, percent), _ddl(_MATRIX))
     )
     met = staged(
         matrix.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_meet, _ddl(_PAIRS)),
