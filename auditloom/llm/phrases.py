@@ -21,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import key_filter, mix, powers, slices, staged, table_bits, utf8
+from auditloom.llm.common import mix, powers, slices, staged, table_bits, utf8
 from auditloom.operators.topk import first_per_group
 
 LONGEST, LEAST, TOP = 5, 100, 2_000
 READ_ROWS, SLICE_BYTES = 500, 500_000  # texts taken from a batch, and hashed, together
-FLUSH_WORDS, FLUSH_PAIRS, FLUSH_ROWS = 200_000, 300_000, 200_000
+FLUSH_WORDS, FLUSH_PAIRS, FLUSH_ROWS = 400_000, 300_000, 200_000
 BUCKET_ROWS = 300_000  # pointers of one quicksort, about
 HOT_ROWS, HOT_PARTS = 300_000, 1_000  # leading words with more pointers, or a thousandth, go by more words
 BITS = 26  # filters have 2^26 bits: 8 MB, whatever the number of frequent words
@@ -373,9 +373,7 @@ def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, to
     kept = counted.join(longer, "phrase", "left").where("top is null or top < a").select("phrase", "a")
 
     each = kept.select("phrase", "a", F.posexplode("phrase").alias("pos", "h"))
-    frequent = key_filter(common, "h")(F.col("h"))  # before the join, as a word comes once for each flush
-    names = words.where(frequent).select("h", "lang", "word").distinct().join(
-        each.select("h").distinct(), "h", "left_semi")
+    names = words.join(each.select("h").distinct(), "h", "left_semi").select("h", "lang", "word").distinct()
     spelled = each.join(names, "h").groupBy("phrase", "a", "lang").agg(
         F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("w")
     ).select("phrase", "a", "lang", F.array_join("w.word", " ").alias("spelled"))
