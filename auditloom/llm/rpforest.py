@@ -115,10 +115,14 @@ def _nearest(dim: int, k: int):
         if len(left) and len(right):
             left = left.sort_values("id", kind="stable")
             ids, x = left["id"].to_numpy(np.int64), stack(left["vec"].to_numpy(), dim)
+            several = bool((ids[1:] == ids[:-1]).any())  # vectors of one id: the nearest counts
             for query, q in zip(right["id"].tolist(), right["vec"].tolist()):
                 far = np.sqrt(((x - np.asarray(q)) ** 2).sum(axis=1))
                 far[ids == query] = np.inf
-                top = np.argsort(far, kind="stable")[:k]  # by distance, ties by id
+                top = np.argsort(far, kind="stable")  # by distance, ties by id
+                if several:
+                    top = top[np.sort(np.unique(ids[top], return_index=True)[1])]
+                top = top[:k]
                 top = top[ids[top] != query]
                 out.append(pd.DataFrame({"query_id": query, "id": ids[top], "score": far[top]}))
         return pd.concat(out) if out else pd.DataFrame(
@@ -135,7 +139,7 @@ def neighbours(df: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_i
     ``queries`` has rows of the same columns. A query's own key is no candidate; ties go to the
     smaller key; fewer candidates give fewer rows, none gives none. Null keys and vectors that are
     null, zero, of another length than most, or hold null or non-finite components take no
-    part. Repeated rows of one key count once. ``share`` of all leaves is opened per query.
+    part. Repeated rows of one key count once, by the nearest if their vectors differ. ``share`` of all leaves is opened per query.
     """
     spark = df.sparkSession
     dim = dimension(df, vector)
@@ -148,10 +152,11 @@ def neighbours(df: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_i
             F.col(key).cast("long").alias("id"), F.col(vector).alias("vec"))
         return usable(rows, "vec", dim)
 
-    rows = staged(clean(df), "vectors")
-    total = rows.count()
+    rows = staged(clean(df).distinct(), "vectors")
+    # the planes come from different vectors, so that copies of one neither fill the sample nor skew it
+    total = rows.agg(F.approx_count_distinct(F.xxhash64("vec"))).first()[0]
     draw = F.pmod(F.xxhash64("vec"), F.lit(1 << 20)) / float(1 << 20)
-    picked = rows.where(draw < min(1.0, SAMPLE_ROWS / max(1, total))).select("vec").toPandas()
+    picked = rows.where(draw < min(1.0, SAMPLE_ROWS / max(1, total))).select("vec").distinct().toPandas()
     # deep enough to part the sample, no deeper
     depth = max(0, min(DEPTH, int(np.log2(max(1, len(picked) / 8)))))
     forest = fit(stack(picked["vec"].to_numpy(), dim), TREES, depth)

@@ -59,3 +59,12 @@ def test_odd_rows(spark):
     assert rpforest.neighbours(df.limit(0), df).collect() == []
     alone = df.where("vec_id = 0")
     assert rpforest.neighbours(alone, alone).collect() == []
+
+
+def test_repeated_rows_of_a_near_key_leave_room_for_others(spark):
+    rows = [(100, [1.0, 0.0])] + [(1, [1.0, 0.1])] * 12 + [(1, [1.0, 0.05 * i]) for i in range(3, 15)] + [
+        (2, [0.0, 1.0]), (3, [-1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = rpforest.neighbours(df, df.where("vec_id = 100"), 10, share=1.0).collect()
+    assert sorted((r.rank, r.vec_id) for r in out) == [(1, 1), (2, 2), (3, 3)]
+    assert min(r.score for r in out) == ((1.0 - 1.0) ** 2 + 0.1**2) ** 0.5
