@@ -373,6 +373,69 @@ def oracles() -> dict[str, str]:
           FROM stored_findings GROUP BY scan_id) d USING (scan_id)""",
         {"stored_findings": _STORED},
     )
+    add(
+        "sarif_report_parts",
+        f"""SELECT scan_id, 0 AS section, 0 AS position, '{{"version":"2.1.0","$schema":"https://json.schemastore.org/sarif-2.1.0.json","runs":[{{"tool":{{"driver":{{"name":"{TOOL_NAME}","version":"1.0.0","rules":[' AS text FROM doc_scans
+        UNION ALL SELECT scan_id, 1, p::INT, CASE WHEN p > 1 THEN ',' ELSE '' END || to_json({{'id': rule, 'name': title,
+          'shortDescription': {{'text': title}}, 'fullDescription': {{'text': explanation}}, 'defaultConfiguration': {{'level': level}}}})
+          FROM (SELECT scan_id, rule, min(position) AS p, arg_max(title, position) AS title,
+            arg_max(explanation, position) AS explanation, arg_max({LEVEL}, position) AS level
+            FROM stored_findings GROUP BY scan_id, rule) r
+        UNION ALL SELECT scan_id, 2, 0, ']}}}},"results":[' FROM doc_scans
+        UNION ALL SELECT scan_id, 3, position::INT, CASE WHEN position > 1 THEN ',' ELSE '' END || to_json({{'ruleId': rule,
+          'level': {LEVEL}, 'message': {{'text': title}},
+          'locations': [{{'physicalLocation': {{'artifactLocation': {{'uri': file}}, 'region': {{'startLine': line}}}}}}]}})
+          FROM stored_findings
+        UNION ALL SELECT scan_id, 4, 0, ']}}]}}' FROM doc_scans""",
+        {"stored_findings": _STORED},
+    )
+    add(
+        "scan_report_parts",
+        """SELECT scan_id, 0 AS section, 0 AS position, '{"id":' || to_json(scan_id) || ',"createdAt":"' ||
+          strftime(created_at, '%Y-%m-%dT%H:%M:%S.%gZ') || '","previousScanId":' || to_json(previous_scan_id) ||
+          ',"repository":{"url":' || to_json('c/' || url) || '},"findings":[' AS text FROM scans_v
+        UNION ALL SELECT scan_id, 1, place::INT, CASE WHEN place > 1 THEN ',' ELSE '' END || to_json({'severity': severity,
+          'tool': tool, 'rule': rule, 'file': file, 'line': line, 'fingerprint': fingerprint})
+          FROM placed WHERE scan_id IN (SELECT scan_id FROM scans_v)
+        UNION ALL SELECT s.scan_id, 4, 0, '],"summary":' || to_json({'score': s.score, 'totalFindings': coalesce(t.n, 0),
+            'critical': coalesce(t.c, 0), 'high': coalesce(t.h, 0)}) || ',"comparison":' ||
+            CASE WHEN p.scan_id IS NULL THEN 'null' ELSE to_json({'scoreChange': p.score - p.previous_score,
+              'newFindings': coalesce(k.a, 0), 'fixedFindings': coalesce(k.b, 0), 'unchangedFindings': coalesce(k.c, 0)})::VARCHAR END || '}'
+          FROM scans_v s LEFT JOIN (SELECT scan_id, count(*) AS n, count(*) FILTER (severity = 'critical') AS c,
+            count(*) FILTER (severity = 'high') AS h FROM stored GROUP BY scan_id) t USING (scan_id)
+          LEFT JOIN pairs p ON p.scan_id = s.scan_id LEFT JOIN (SELECT pair, count(*) FILTER (kind = 'n') AS a,
+            count(*) FILTER (kind = 'f') AS b, count(*) FILTER (kind = 's') AS c FROM kinds GROUP BY pair) k ON k.pair = s.scan_id""",
+        {
+            "stored": CTES["stored"].replace("SELECT", "SELECT DISTINCT", 1),
+            "placed": f"SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY {RANK}, line, rule, file, tool) AS place FROM stored",
+            "kinds": "SELECT pair, 'n' AS kind FROM (" + _side("now", "before", "NOT") + ") a UNION ALL SELECT pair, 'f' FROM ("
+            + _side("before", "now", "NOT") + ") b UNION ALL SELECT pair, 's' FROM (" + _side("now", "before", "") + ") c",
+        },
+    )
+    iso = "'%Y-%m-%dT%H:%M:%S.%gZ'"
+    add(
+        "review_report_parts",
+        f"""SELECT scan_id, 0 AS section, 0 AS position, '{{"id":' || to_json(scan_id) || ',"status":"complete","findings":[' AS text FROM held
+        UNION ALL SELECT scan_id, 1, place::INT, CASE WHEN place > 1 THEN ',' ELSE '' END || to_json({{'id': id, 'severity': severity,
+          'title': 'Title <' || user_id || '>', 'rule': 'R', 'file': 'src/f' || user_id || '.js', 'line': n + 1,
+          'explanation': 'Why & how', 'evidence': 'password = ' || chr(39) || 'abc' || user_id || chr(39) || chr(10) || chr(9) || 'call(' || user_id || ')',
+          'patch': ['- old', '+ new ' || user_id], 'status': status, 'decision': decision,
+          'decidedAt': strftime(decided_at, {iso}), 'aiExplanation': NULL::VARCHAR,
+          'remediationPullRequest': CASE WHEN user_id % 5 = 0 THEN 'pr' END}})
+          FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY {RANK}, user_id, n) AS place FROM after_review) f
+        UNION ALL SELECT scan_id, 2, 0, '],"events":[' FROM held
+        UNION ALL SELECT scan_id, 3, place::INT, CASE WHEN place > 1 THEN ',' ELSE '' END || to_json({{'type': type,
+          'findingId': finding_id, 'action': action, 'pullRequest': pr, 'createdAt': strftime(ts, {iso})}})
+          FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY ts, event_id, type, finding_id) AS place FROM logged) e
+        UNION ALL SELECT scan_id, 4, 0, '],"summary":{{"open":' || open || '}}}}' FROM held""",
+        {
+            "held": "SELECT scan_id, count(*) FILTER (status = 'open') AS open FROM after_review GROUP BY scan_id",
+            "logged": """SELECT scan_id, event_id, 'finding_decision' AS type, finding_id, action, NULL::VARCHAR AS pr, ts::TIMESTAMP AS ts
+                FROM reviewed WHERE action IN ('approve', 'reject')
+              UNION ALL SELECT scan_id, -1, 'remediation_pull_request', id, NULL, 'pr', TIMESTAMP '2002-01-01'
+                FROM under_review WHERE user_id % 5 = 0 AND n = 0""",
+        },
+    )
     add(
         "remediation_plans",
         f"""SELECT scan_id, id, n::BIGINT AS n, '# {TOOL_NAME} remediation plan' || chr(10) || chr(10) || '- Scan: ' || scan_id || chr(10) ||

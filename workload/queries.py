@@ -15,7 +15,8 @@ from auditloom.plans.scan import ScanResult, scan_snapshots
 from auditloom.rules import LINE_RULES, RULES
 from auditloom.session import durable, shared_folder
 from auditloom.sources.advisories import advisories_from_replies
-from auditloom.sources import archives, exports, history_log, reports, repositories, snapshot, store
+from auditloom.sources import archives, documents, exports, history_log, reports, repositories, snapshot
+from auditloom.sources import store
 from auditloom.streaming import decisions, jobs, rates, scans, sinks
 from workload import views as v
 
@@ -445,8 +446,8 @@ def valid_decisions(spark, sf):
     )
 
 
-def review_log(spark, sf):
-    opened = v.review_findings(spark, sf).filter(
+def _opened(reviewed):
+    return reviewed.filter(
         F.col("remediation_pull_request").isNotNull() & (F.col("line") == 1)
     ).select(
         F.lit(-1).cast("long").alias("event_id"),
@@ -455,6 +456,10 @@ def review_log(spark, sf):
         F.col("remediation_pull_request").alias("pull_request"),
         F.lit(NOW).alias("created_at"),
     )
+
+
+def review_log(spark, sf):
+    opened = _opened(v.review_findings(spark, sf))
     return review.review_log(v.review_events(spark, sf), opened).select(
         "event_id", "scan_id", "finding_id", "type", "action", "pull_request"
     )
@@ -537,6 +542,45 @@ def json_reports(spark, sf):
     )
 
 
+def sarif_report_parts(spark, sf):
+    """SARIF documents as the ordered parts that are written; every finding is a row."""
+    return documents.sarif_parts(_doc_scans(spark, sf), durable(_stored(spark, sf)), TOOL_NAME)
+
+
+def scan_report_parts(spark, sf):
+    """Scan documents with repository, findings, summary and comparison."""
+    held = v.order_findings(spark, sf).distinct()
+    ordered = held.withColumn("ord", F.struct("line", "rule", "file", "tool"))
+    placed = durable(findings.top_findings(ordered).drop("ord"))
+    totals = findings.severity_totals(placed)
+    told = compare.compare_scans(v.scans(spark, sf), placed).drop("previous_scan_id")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    summary = F.struct(
+        "score", n("total_findings").alias("totalFindings"),
+        n("critical_total").alias("critical"), n("high_total").alias("high"),
+    )
+    comparison = F.when(F.col("score_change").isNotNull(), F.struct(
+        F.col("score_change").alias("scoreChange"), F.col("new_findings").alias("newFindings"),
+        F.col("fixed_findings").alias("fixedFindings"),
+        F.col("unchanged_findings").alias("unchangedFindings"),
+    ))
+    listed = v.scans(spark, sf).join(totals, "scan_id", "left").join(told, "scan_id", "left").select(
+        "scan_id", "created_at", "previous_scan_id",
+        F.struct(F.concat(F.lit("c/"), "url").alias("url")).alias("repository"),
+        summary.alias("summary"), comparison.alias("comparison"),
+    )
+    return documents.json_parts(listed, placed)
+
+
+def review_report_parts(spark, sf):
+    """Scan documents after review, with the event log: seven scans hold everything."""
+    reviewed = durable(_reviewed(spark, sf))
+    listed = review.open_counts(reviewed).select(
+        "scan_id", F.lit("complete").alias("status"), F.struct("open").alias("summary"))
+    log = review.review_log(v.review_events(spark, sf), _opened(reviewed))
+    return documents.json_parts(listed, findings.top_findings(reviewed), log)
+
+
 def remediation_plans(spark, sf):
     reviewed = _reviewed(spark, sf)
     scans = reviewed.select("scan_id").distinct().withColumn(
@@ -664,7 +708,8 @@ def registered() -> dict[str, Query]:
         scan_retention, recent_scans, scan_lookup, scan_list, store_metrics, valid_decisions,
         review_log, apply_decisions, open_recount, pull_request_findings,
         remediation_targets, attach_explanations,
-        explanation_prompts, sarif_reports, json_reports, remediation_plans, job_table,
+        explanation_prompts, sarif_reports, json_reports, sarif_report_parts, scan_report_parts,
+        review_report_parts, remediation_plans, job_table,
         job_stats, live_jobs, rate_verdicts, rate_stream, job_stream, decision_stream, scan_stream,
         scan_stream_all,
     )
