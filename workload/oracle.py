@@ -458,6 +458,11 @@ def oracles() -> dict[str, str]:
         """SELECT job_id, status FROM job_now WHERE NOT (status IN ('complete', 'failed')
           AND updated_at < TIMESTAMP '2024-01-31' - INTERVAL 6 HOUR)""",
     )
+    add(
+        "live_job_stream",
+        """SELECT job_id, status, progress, phase FROM job_now WHERE NOT (status IN ('complete', 'failed')
+          AND updated_at < (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 6 HOUR)""",
+    )
     rates = f"""SELECT event_id, client, category, ts_ms, start AS window_start, c AS position,
           c <= CASE category WHEN 'scan' THEN {RATE_LIMITS["scan"]} ELSE {RATE_LIMITS["api"]} END AS allowed FROM walk"""
     rate_tables = {

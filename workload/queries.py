@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +17,7 @@ from auditloom.session import durable, shared_folder
 from auditloom.sources.advisories import advisories_from_replies
 from auditloom.sources import archives, documents, exports, history_log, reports, repositories, snapshot
 from auditloom.sources import store
-from auditloom.streaming import decisions, jobs, rates, scans, sinks
+from auditloom.streaming import decisions, expiry, jobs, rates, scans, sinks
 from workload import views as v
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -646,6 +646,16 @@ def job_stream(spark, sf):
     )
 
 
+def live_job_stream(spark, sf):
+    """Live jobs at the time of the last event, held as state with timers."""
+    out = shared_folder(spark, "live")
+    arriving = v.to_jobs(_stream(spark, sf, "events"))
+    expiry.live_job_stream(
+        arriving, f"{out}/rows", f"{out}/progress", timedelta(hours=6)
+    ).awaitTermination()
+    return expiry.live_jobs_of(spark, f"{out}/rows").select("job_id", "status", "progress", "phase")
+
+
 def decision_stream(spark, sf):
     out = shared_folder(spark, "decisions")
     arriving = v.to_reviews(_stream(spark, sf, "events"))
@@ -710,7 +720,7 @@ def registered() -> dict[str, Query]:
         remediation_targets, attach_explanations,
         explanation_prompts, sarif_reports, json_reports, sarif_report_parts, scan_report_parts,
         review_report_parts, remediation_plans, job_table,
-        job_stats, live_jobs, rate_verdicts, rate_stream, job_stream, decision_stream, scan_stream,
+        job_stats, live_jobs, live_job_stream, rate_verdicts, rate_stream, job_stream, decision_stream, scan_stream,
         scan_stream_all,
     )
     out: dict[str, Query] = {q.__name__: q for q in plain}
