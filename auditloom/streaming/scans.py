@@ -6,11 +6,12 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from auditloom.plans.scan import Limits, scan_snapshots
+from auditloom.plans.scan import Limits, ScanResult, compare_with_stored, scan_snapshots
 from auditloom.session import broadcast_if_small, durable
-from auditloom.streaming.sinks import ONCE, newest_by, read_batches, write_batch
+from auditloom.streaming.sinks import ONCE, newest_by, read_batches, read_before, write_batch
 
 PER_SCAN = ("files", "git_log", "reports")
 
@@ -50,7 +51,12 @@ def scan_stream(
     so that rows staged since the last one are seen. The source's ``maxFilesPerTrigger`` bounds a batch.
     Scans are keyed by id: a repeated batch or a rescan replaces the earlier one
     for readers.
+
+    Where notices also have previous_scan_id, each scan is compared with the one it names, as batches
+    before stored it or as this batch scans it, and the comparison is stored with the scan. A scan whose
+    predecessor is null or not stored has none. A repeated batch compares with the same rows again.
     """
+    compares = "previous_scan_id" in notices.columns
 
     def scan(batch: DataFrame, batch_id: int) -> None:
         announced = durable(batch.dropDuplicates(["scan_id"]))
@@ -60,6 +66,10 @@ def scan_stream(
         result = scan_snapshots(
             announced, own.files, own.git_log, own.reports, own.advisories, own.baselines, limits
         )
+        if compares:
+            result = replace(result, summary=durable(result.summary), stored=durable(result.stored))
+            told = _compared(result, announced, out, batch_id)
+            write_batch(told, f"{out}/comparisons", batch_id)
         write_batch(result.stored, f"{out}/findings", batch_id)
         write_batch(result.summary, f"{out}/scans", batch_id)
 
@@ -71,6 +81,26 @@ def scan_stream(
     )
 
 
+def _compared(result: ScanResult, announced: DataFrame, out: str, batch_id: int) -> DataFrame:
+    """Comparison of a batch with the newest earlier state of the scans it names, and of those alone."""
+    spark = announced.sparkSession
+    named = broadcast_if_small(
+        announced.select(F.col("previous_scan_id").alias("scan_id")).dropna().distinct())
+    earlier = read_before(spark, f"{out}/scans", batch_id, result.summary.schema)
+    newest = durable(newest_by(earlier.join(named, "scan_id", "left_semi"), ["scan_id"]))
+    found = read_before(spark, f"{out}/findings", batch_id, result.stored.schema)
+    of_newest = broadcast_if_small(newest.select("scan_id", "batch_id"))
+    held = found.join(of_newest, ["scan_id", "batch_id"], "left_semi")
+    return compare_with_stored(result, announced, newest, held)
+
+
+def current_comparisons(spark: SparkSession, out: str) -> DataFrame:
+    """Comparisons of the newest scan of each id."""
+    scans = current_scans(spark, out).select("scan_id", "batch_id")
+    told = read_batches(spark, f"{out}/comparisons")
+    return told.join(scans, ["scan_id", "batch_id"], "left_semi")
+
+
 def current_scans(spark: SparkSession, out: str) -> DataFrame:
     return newest_by(read_batches(spark, f"{out}/scans"), ["scan_id"])
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
+from pyspark.sql.types import StructType
 
 ONCE = {"availableNow": True}  # trigger: everything that is there, then stop
 
@@ -20,6 +21,20 @@ def read_batches(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.option("basePath", folder).parquet(folder)
 
 
+def read_before(spark: SparkSession, folder: str, batch_id: int, schema: StructType) -> DataFrame:
+    """Rows that batches before this one have written, none where nothing was written yet.
+
+    A repeated batch sees what it saw the first time, not its own rows.
+    """
+    try:
+        written = read_batches(spark, folder)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema).withColumn("batch_id", F.lit(None).cast("int"))
+    return written.filter(F.col("batch_id") < batch_id)
+
+
 def newest_by(df: DataFrame, keys: Sequence[str], version: str = "batch_id") -> DataFrame:
     """Rows of the newest batch of each key; replaces what earlier batches held for it."""
     last = df.groupBy(*keys).agg(F.max(version).alias(version))

@@ -180,6 +180,42 @@ def test_scan_stream_equals_the_batch_scan_and_replaces_rescans(spark, tmp_path)
     assert found(scans.current_findings(spark, out)) == found(batch.stored)
 
 
+def test_scan_stream_compares_with_what_earlier_batches_stored(spark, tmp_path):
+    rows = [
+        ("a1", "x.js", "eval(1)\neval(other)"), ("a2", "x.js", "eval(1)\n"), ("a2", "y.js", "eval(2)"),
+        ("a3", "y.js", "eval(2)"), ("lost", "x.js", "eval(1)"), ("clean", "x.js", "1"),
+    ]
+    tables = scans.SnapshotTables(
+        files_table(spark, rows),
+        spark.createDataFrame([], schemas.GIT_LOG),
+        spark.createDataFrame([], schemas.EXTERNAL_REPORTS),
+        spark.createDataFrame([], schemas.ADVISORIES),
+        default_baselines(spark),
+    )
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "scan_id string, previous_scan_id string, history_available boolean, advisories_available boolean"
+
+    def announce(*pairs):
+        spark.createDataFrame([(i, p, False, False) for i, p in pairs], schema).coalesce(1).write.mode(
+            "append").parquet(source)
+
+    def run(checkpoint):
+        arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        scans.scan_stream(arriving, lambda: tables, out, str(tmp_path / checkpoint)).awaitTermination()
+        return sorted(
+            (r.scan_id, r.previous_scan_id, r.new_findings, r.fixed_findings, r.unchanged_findings, r.score_change)
+            for r in scans.current_comparisons(spark, out).collect())
+
+    announce(("a1", None), ("lost", "never stored"))
+    assert run("first") == []
+    announce(("a2", "a1"), ("a3", "a2"))  # one compared with a stored scan, one with its own batch
+    announce(("clean", "a2"))
+    weight = 25 if spark.read.parquet(f"{out}/findings").first().severity == "critical" else 14
+    want = [("a2", "a1", 1, 1, 1, 0), ("a3", "a2", 0, 1, 1, weight), ("clean", "a2", 0, 2, 0, 2 * weight)]
+    assert run("first") == want
+    assert run("anew") == want  # every batch again, over what is stored by now
+
+
 def test_scan_stream_of_all_snapshots_has_the_rows_of_the_batch_scan(spark):
     sf = "/root/testdata/sf0.001"
     streamed = registered()["scan_stream_all"](spark, sf)

@@ -478,7 +478,7 @@ def oracles() -> dict[str, str]:
     add("rate_verdicts", rates, rate_tables)
     add("rate_stream", rates, rate_tables)
     for stream, batch in (("job_stream", "job_table"), ("decision_stream", "apply_decisions"),
-                          ("scan_stream_all", "scan_summary")):
+                          ("scan_stream_all", "scan_summary"), ("rescan_stream", "compare_snapshots")):
         q[stream] = q[batch]
     add(
         "scan_stream",

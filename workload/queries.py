@@ -703,6 +703,36 @@ def scan_stream_all(spark, sf):
     return _summary_columns(_scanned_stream(spark, sf, v.snapshot_list(spark, sf), _snapshot_files))
 
 
+def rescan_stream(spark, sf):
+    """Document snapshots scanned, scanned again in their later state and compared, in one stream."""
+    out = shared_folder(spark, "rescans")
+    ids = v.table(spark, sf, "documents").select(v._doc_scan().alias("scan_id")).distinct()
+    earlier = F.concat(F.lit("prev-"), F.col("scan_id"))
+    no = F.lit(False)
+
+    def announce(rows):
+        rows.select(
+            "scan_id", "previous_scan_id", no.alias("history_available"),
+            no.alias("advisories_available"),
+        ).write.mode("append").parquet(f"{out}/notices")
+        arriving = spark.readStream.schema(
+            "scan_id string, previous_scan_id string, history_available boolean, "
+            "advisories_available boolean").parquet(f"{out}/notices")
+        scans.scan_stream(arriving, tables, f"{out}/store", f"{out}/progress").awaitTermination()
+
+    def tables():
+        shared = ["scan_id", "path", "entry_type", "length", "content"]
+        both = v.code_files(spark, sf).select(shared).unionByName(
+            v.code_files_prev(spark, sf).select(shared))
+        return scans.SnapshotTables(
+            both, v.git_log(spark, sf), v.external_reports(spark, sf), v.advisories(spark, sf),
+            v.baselines(spark, sf))
+
+    announce(ids.select(earlier.alias("scan_id"), F.lit(None).cast("string").alias("previous_scan_id")))
+    announce(ids.withColumn("previous_scan_id", earlier))
+    return scans.current_comparisons(spark, f"{out}/store").drop("batch_id")
+
+
 def registered() -> dict[str, Query]:
     plain: tuple[Query, ...] = (
         snapshot_source, snapshot_listing,
@@ -721,7 +751,7 @@ def registered() -> dict[str, Query]:
         explanation_prompts, sarif_reports, json_reports, sarif_report_parts, scan_report_parts,
         review_report_parts, remediation_plans, job_table,
         job_stats, live_jobs, live_job_stream, rate_verdicts, rate_stream, job_stream, decision_stream, scan_stream,
-        scan_stream_all,
+        scan_stream_all, rescan_stream,
     )
     out: dict[str, Query] = {q.__name__: q for q in plain}
     out["new_findings"] = partial(_side, compare.new_findings)
