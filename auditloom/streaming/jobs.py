@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from auditloom.functions import text as tx
 from auditloom.streaming.sinks import ONCE, read_batches, write_batch
 
 JOB_IDLE = "1 hour"
@@ -15,6 +16,7 @@ JOB_IDLE = "1 hour"
 # States of a job; the last two are final.
 QUEUED, RUNNING, COMPLETE, FAILED = "queued", "running", "complete", "failed"
 FINAL_STATES = (COMPLETE, FAILED)
+NO_ERROR = "Scan failed"  # fixed value: the text of a failure that names no cause
 JOB_FIELDS = ("status", "progress", "phase", "updated_at", "event_id")
 
 
@@ -28,6 +30,23 @@ def latest_jobs(job_events: DataFrame) -> DataFrame:
     )
 
 
+def failed_jobs(job_events: DataFrame) -> DataFrame:
+    """Failed jobs with the text of their failure on one line.
+
+    ``job_events`` also has error; an event without one, or with an empty one, bears the fixed text.
+    """
+    told = F.when(F.col("error") == "", None).otherwise(F.col("error"))
+    newest = F.struct("updated_at", "event_id")
+    fields = F.struct("status", "updated_at", "event_id", "error")
+    return (
+        job_events.withColumn("error", tx.clean_error(F.coalesce(told, F.lit(NO_ERROR))))
+        .groupBy("job_id")
+        .agg(F.max_by(fields, newest).alias("_now"))
+        .select("job_id", "_now.*")
+        .filter(F.col("status") == FAILED)
+    )
+
+
 def job_stats(job_events: DataFrame) -> DataFrame:
     jobs = latest_jobs(job_events)
     names = {"active": RUNNING, "queued": QUEUED, "completed": COMPLETE, "failed": FAILED}

@@ -127,6 +127,16 @@ def test_job_stream_and_expiry(spark, tmp_path):
     assert {r.job_id for r in jobs.live_jobs(held, later).collect()} == {"b", "c"}
 
 
+def test_failure_texts(spark):
+    at = START + timedelta(minutes=1)
+    rows = [("a", "failed", at, 1, "bad\r\n\nday"), ("b", "failed", at, 1, ""), ("c", "failed", at, 1, None),
+            ("d", "failed", at, 1, "x" * 600), ("e", "failed", START, 1, "old"), ("e", "queued", at, 2, None)]
+    table = spark.createDataFrame(
+        rows, "job_id string, status string, updated_at timestamp, event_id long, error string")
+    got = {r.job_id: r.error for r in jobs.failed_jobs(table).collect()}
+    assert got == {"a": "bad day", "b": "Scan failed", "c": "Scan failed", "d": "x" * 500}
+
+
 def test_decision_stream_keeps_late_decisions(spark, tmp_path):
     rows = [
         (1, "s", "a", "approve", START), (2, "s", "b", "reject", START), (3, "s", "a", "odd", START),

@@ -458,6 +458,13 @@ def oracles() -> dict[str, str]:
         """SELECT job_id, status FROM job_now WHERE NOT (status IN ('complete', 'failed')
           AND updated_at < TIMESTAMP '2024-01-31' - INTERVAL 6 HOUR)""",
     )
+    add(
+        "failed_jobs",
+        """SELECT job_id, CASE WHEN e % 3 = 1 THEN substr('phase error ' || repeat('x', (e % 1000)::INT), 1, 500)
+          ELSE 'Scan failed' END AS error
+        FROM (SELECT job_id, arg_max(status, {'t': ts, 'e': event_id}) AS status, arg_max(phase, {'t': ts, 'e': event_id}) AS phase,
+          arg_max(event_id, {'t': ts, 'e': event_id}) AS e FROM jobs GROUP BY job_id) j WHERE status = 'failed'""",
+    )
     add(
         "live_job_stream",
         """SELECT job_id, status, progress, phase FROM job_now WHERE NOT (status IN ('complete', 'failed')
