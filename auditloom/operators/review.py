@@ -56,6 +56,20 @@ def latest_decisions(events: DataFrame) -> DataFrame:
     )
 
 
+def newest_decisions(events: DataFrame) -> DataFrame:
+    """The rows that ``latest_decisions`` takes its values from; repeated and earlier ones go."""
+    keys = ["scan_id", "finding_id"]
+    rest = [c for c in events.columns if c not in keys]
+    newest = F.struct("created_at", "event_id")
+    return (
+        valid_decisions(events)
+        .groupBy(*keys)
+        .agg(F.max_by(F.struct(*rest), newest).alias("_row"))
+        .select(*keys, "_row.*")
+        .select(events.columns)
+    )
+
+
 def first_bearers(findings: DataFrame, asked: DataFrame) -> DataFrame:
     """Finding ids collide; an id stands for the first finding that carries it.
 

@@ -9,7 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from auditloom.functions import text as tx
-from auditloom.streaming.sinks import ONCE, read_batches, write_batch
+from auditloom.streaming.sinks import (
+    FOLD_EVERY,
+    ONCE,
+    fold_batches,
+    newest_generation,
+    read_since,
+    write_batch,
+)
 
 JOB_IDLE = "1 hour"
 
@@ -63,16 +70,25 @@ def live_jobs(job_events: DataFrame, now: datetime, idle: str = JOB_IDLE) -> Dat
 
 
 def job_stream(
-    job_events: DataFrame, out: str, checkpoint: str, trigger: dict = ONCE
+    job_events: DataFrame,
+    out: str,
+    checkpoint: str,
+    trigger: dict = ONCE,
+    fold_every: int = FOLD_EVERY,
 ) -> StreamingQuery:
     """Writes the newest event per job of every batch.
 
     The newest of the newest is the newest, so readers merge the batches with
-    the same functions and no streaming state can grow with the jobs.
+    the same functions and no streaming state can grow with the jobs. Every
+    ``fold_every`` batches they are folded into one generation.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        def folded(held: DataFrame) -> DataFrame:
+            return latest_jobs(held).withColumn("batch_id", F.lit(batch_id))
+
         write_batch(latest_jobs(batch), out, batch_id)
+        fold_batches(batch.sparkSession, out, batch_id, folded, fold_every)
 
     return (
         job_events.writeStream.option("checkpointLocation", checkpoint)
@@ -84,4 +100,4 @@ def job_stream(
 
 def streamed_jobs(spark: SparkSession, out: str) -> DataFrame:
     """Job events to give to ``latest_jobs``, ``job_stats`` and ``live_jobs``."""
-    return read_batches(spark, out).drop("batch_id")
+    return read_since(spark, out, newest_generation(spark, out)).drop("batch_id")

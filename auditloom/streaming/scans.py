@@ -11,7 +11,17 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from auditloom.plans.scan import Limits, ScanResult, compare_with_stored, scan_snapshots
 from auditloom.session import broadcast_if_small, durable
-from auditloom.streaming.sinks import ONCE, newest_by, read_batches, read_before, write_batch
+from auditloom.streaming.sinks import (
+    FOLD_EVERY,
+    ONCE,
+    fold_due,
+    newest_by,
+    newest_generation,
+    read_before,
+    read_since,
+    write_batch,
+    write_generation,
+)
 
 PER_SCAN = ("files", "git_log", "reports")
 
@@ -43,6 +53,7 @@ def scan_stream(
     checkpoint: str,
     limits: Limits = Limits(),
     trigger: dict = ONCE,
+    fold_every: int = FOLD_EVERY,
 ) -> StreamingQuery:
     """Scans the snapshots announced by each micro-batch, each one whole.
 
@@ -55,6 +66,9 @@ def scan_stream(
     Where notices also have previous_scan_id, each scan is compared with the one it names, as batches
     before stored it or as this batch scans it, and the comparison is stored with the scan. A scan whose
     predecessor is null or not stored has none. A repeated batch compares with the same rows again.
+
+    Every ``fold_every`` batches the newest scan of each id, its findings and its comparison go into
+    a generation, which readers take in place of the batches it holds.
     """
     compares = "previous_scan_id" in notices.columns
 
@@ -72,6 +86,7 @@ def scan_stream(
             write_batch(told, f"{out}/comparisons", batch_id)
         write_batch(result.stored, f"{out}/findings", batch_id)
         write_batch(result.summary, f"{out}/scans", batch_id)
+        _fold(batch.sparkSession, out, batch_id, ["findings", "comparisons"] if compares else ["findings"], fold_every)
 
     return (
         notices.writeStream.option("checkpointLocation", checkpoint)
@@ -81,32 +96,55 @@ def scan_stream(
     )
 
 
+def _fold(spark: SparkSession, out: str, batch_id: int, parts: list[str], every: int) -> None:
+    """A generation of the scans and of the tables that go with them, if one is due.
+
+    That of the scans is written last: readers go by it, so the others are whole by then.
+    """
+    if not fold_due(spark, f"{out}/scans", batch_id, every):
+        return
+    last = newest_generation(spark, f"{out}/scans", batch_id)
+    newest = durable(newest_by(read_since(spark, f"{out}/scans", last, batch_id + 1), ["scan_id"]))
+    held = broadcast_if_small(newest.select("scan_id", "batch_id"))
+    for part in parts:
+        rows = read_since(spark, f"{out}/{part}", last, batch_id + 1)
+        write_generation(rows.join(held, ["scan_id", "batch_id"], "left_semi"), f"{out}/{part}", batch_id)
+    write_generation(newest, f"{out}/scans", batch_id)
+
+
 def _compared(result: ScanResult, announced: DataFrame, out: str, batch_id: int) -> DataFrame:
     """Comparison of a batch with the newest earlier state of the scans it names, and of those alone."""
     spark = announced.sparkSession
     named = broadcast_if_small(
         announced.select(F.col("previous_scan_id").alias("scan_id")).dropna().distinct())
-    earlier = read_before(spark, f"{out}/scans", batch_id, result.summary.schema)
+    last = newest_generation(spark, f"{out}/scans", batch_id)
+    earlier = read_before(spark, f"{out}/scans", batch_id, result.summary.schema, last)
     newest = durable(newest_by(earlier.join(named, "scan_id", "left_semi"), ["scan_id"]))
-    found = read_before(spark, f"{out}/findings", batch_id, result.stored.schema)
+    found = read_before(spark, f"{out}/findings", batch_id, result.stored.schema, last)
     of_newest = broadcast_if_small(newest.select("scan_id", "batch_id"))
     held = found.join(of_newest, ["scan_id", "batch_id"], "left_semi")
     return compare_with_stored(result, announced, newest, held)
 
 
+def _current(spark: SparkSession, out: str, part: str) -> DataFrame:
+    """Rows of a table that go with the newest scan of each id, all read from one generation on."""
+    last = newest_generation(spark, f"{out}/scans")
+    scans = newest_by(read_since(spark, f"{out}/scans", last), ["scan_id"])
+    if part == "scans":
+        return scans
+    held = scans.select("scan_id", "batch_id")
+    return read_since(spark, f"{out}/{part}", last).join(held, ["scan_id", "batch_id"], "left_semi")
+
+
 def current_comparisons(spark: SparkSession, out: str) -> DataFrame:
     """Comparisons of the newest scan of each id."""
-    scans = current_scans(spark, out).select("scan_id", "batch_id")
-    told = read_batches(spark, f"{out}/comparisons")
-    return told.join(scans, ["scan_id", "batch_id"], "left_semi")
+    return _current(spark, out, "comparisons")
 
 
 def current_scans(spark: SparkSession, out: str) -> DataFrame:
-    return newest_by(read_batches(spark, f"{out}/scans"), ["scan_id"])
+    return _current(spark, out, "scans")
 
 
 def current_findings(spark: SparkSession, out: str) -> DataFrame:
     """Findings of the newest scan of each id, also when that scan has none."""
-    scans = current_scans(spark, out).select("scan_id", "batch_id")
-    found = read_batches(spark, f"{out}/findings")
-    return found.join(scans, ["scan_id", "batch_id"], "left_semi")
+    return _current(spark, out, "findings")
