@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditloom.operators.topk import first_per_group
+from auditloom.operators.topk import first_per_group, running_per_group
 
 MAX_FILES = 2_500
 MAX_BYTES = 50_000_000
@@ -71,13 +71,15 @@ def apply_byte_budget(
     limited: DataFrame,
     max_bytes: int | None = None,
     max_file_bytes: int | None = None,
+    numbered: bool = True,
 ) -> DataFrame:
     """Marks each limited file as taken, large or beyond the budget stop.
 
     Sizes are never negative, so the running total of the small files passes
-    the budget exactly at the file where a sequential reader would stop. The
-    window holds at most the file limit's number of rows per snapshot. Without
-    limits every file is taken and nothing is summed.
+    the budget exactly at the file where a sequential reader would stop. Numbered
+    files are summed by a window, which holds at most the file limit's number of
+    rows per snapshot; others over ranges of the walk. Without a budget every
+    small file is taken and nothing is summed.
     """
     small = F.lit(True) if max_file_bytes is None else F.col("length") <= max_file_bytes
     if max_bytes is None:
@@ -89,12 +91,16 @@ def apply_byte_budget(
                 "taken": small,
             }
         )
-    walk = Window.partitionBy("scan_id").orderBy("file_ord").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    total = F.coalesce(F.sum(F.when(small, F.col("length"))).over(walk), F.lit(0))
+    sized = limited.withColumn("_small", F.when(small, F.col("length")).otherwise(F.lit(0)))
+    if numbered:
+        walk = Window.partitionBy("scan_id").orderBy("file_ord").rowsBetween(
+            Window.unboundedPreceding, Window.currentRow
+        )
+        summed = sized.withColumn("running_bytes", F.coalesce(F.sum("_small").over(walk), F.lit(0)))
+    else:
+        summed = running_per_group(sized, ["scan_id"], ["walk"], "_small", "running_bytes")
     return (
-        limited.withColumn("running_bytes", total)
+        summed.drop("_small")
         .withColumn("within_budget", F.col("running_bytes") <= max_bytes)
         .withColumn("is_large", ~small)
         .withColumn("taken", small & F.col("within_budget"))
@@ -108,10 +114,9 @@ def select_files(
     max_file_bytes: int | None = None,
 ) -> DataFrame:
     """Per-file verdicts over metadata columns only; content is not read."""
-    if max_bytes is not None and max_files is None:
-        raise ValueError("a byte budget needs a file limit: it sums the files of a snapshot in order")
     metadata = eligible_files(files).select("scan_id", "path", "length")
-    return apply_byte_budget(limit_files(metadata, max_files), max_bytes, max_file_bytes)
+    limited = limit_files(metadata, max_files)
+    return apply_byte_budget(limited, max_bytes, max_file_bytes, numbered=max_files is not None)
 
 
 def scan_volume(selected: DataFrame, max_files: int | None = None) -> DataFrame:

@@ -66,3 +66,32 @@ def ranked_per_group(
         .select(*keys, (F.col("_before") + F.col("_in")).cast("int").alias(rank_col))
     )
     return df.join(numbered, keys)
+
+
+def running_per_group(
+    df: DataFrame,
+    group: Sequence[str],
+    order: Sequence[str],
+    value: str,
+    total_col: str,
+) -> DataFrame:
+    """All rows with the running total of ``value`` in their group, by the columns ``order``, which
+    must not tie.
+
+    Cut in ranges as in ``ranked_per_group``: totals run within a range, those of the ranges before
+    are added, so no task holds a hot group. ``df`` travels whole; give it narrow.
+    """
+    ranged = durable(
+        df.repartitionByRange(*group, *order).withColumn("_range", F.spark_partition_id()))
+    sums = ranged.groupBy(*group, "_range").agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*group, "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy(*group, "_range").orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    return (
+        ranged.withColumn("_in", F.coalesce(F.sum(value).over(within), F.lit(0)))
+        .join(offsets, [*group, "_range"])
+        .withColumn(total_col, F.col("_before") + F.col("_in"))
+        .drop("_range", "_before", "_in")
+    )

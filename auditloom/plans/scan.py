@@ -41,7 +41,7 @@ from auditloom.sources.snapshot import snapshot_files, snapshot_listing
 
 @dataclass(frozen=True)
 class Limits:
-    """Cuts of one scan; None means none. ``max_bytes`` needs ``max_files``."""
+    """Cuts of one scan; None means none."""
 
     max_files: int | None = None
     max_bytes: int | None = None

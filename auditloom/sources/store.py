@@ -1,15 +1,19 @@
-"""The stored scans: upsert, retention, reads and versioned folders."""
+"""The stored scans: upsert, retention, reads, versioned folders and the bucketed store."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditloom.session import durable
+
 RETENTION_DAYS = 30
 RETAINED_SCANS = 50
 RECENT_SCANS = 50
+STORE_BUCKETS = 256
 
 
 def upsert_scans(existing: DataFrame, new: DataFrame) -> DataFrame:
@@ -77,3 +81,63 @@ def write_version(df: DataFrame, path: str, version: int, sort_by: str = "create
 
 def read_version(spark: SparkSession, path: str, version: int) -> DataFrame:
     return spark.read.parquet(f"{path}/version={version}")
+
+
+@dataclass(frozen=True)
+class BucketedStore:
+    """Scans in one folder per bucket of their ids.
+
+    A look-up opens the files of one bucket and an upsert rewrites only buckets
+    of ids that come. The number of buckets stands in the folders' names, so a
+    store that is opened with another number fails instead of missing rows.
+    """
+
+    path: str
+    buckets: int = STORE_BUCKETS
+
+    @property
+    def _column(self) -> str:
+        return f"bucket_of_{self.buckets}"
+
+    def _bucket(self, scan_id: Column) -> Column:
+        return F.pmod(F.xxhash64(scan_id.cast("string")), F.lit(self.buckets)).cast("int")
+
+    def _write(self, scans: DataFrame, mode: str) -> None:
+        """Large buckets are cut to several tasks, small ones put together; ids are sorted in each
+        file, so that a look-up passes by most row groups too."""
+        placed = scans.withColumn(self._column, self._bucket(F.col("scan_id")))
+        dealt = placed.hint("rebalance", F.col(self._column)).sortWithinPartitions(self._column, "scan_id")
+        dealt.write.mode(mode).partitionBy(self._column).option(
+            "partitionOverwriteMode", "dynamic"
+        ).parquet(self.path)
+
+    def create(self, scans: DataFrame) -> None:
+        """Writes the first scans; fails where a store is."""
+        self._write(scans, "errorifexists")
+
+    def upsert(self, new: DataFrame) -> None:
+        """Replaces stored scans by new ones with their id and adds the others.
+
+        The merged buckets are written aside first, then put in place of the old ones. The same
+        upsert again gives the same store, also after one that broke off. One writer at a time.
+        """
+        spark = new.sparkSession
+        held = durable(new.select(*self._stored(spark).drop(self._column).columns))
+        touched = [r[0] for r in held.select(self._bucket(F.col("scan_id"))).distinct().collect()]
+        if touched:  # at most as many numbers as buckets
+            old = self._stored(spark).filter(F.col(self._column).isin(touched)).drop(self._column)
+            self._write(durable(upsert_scans(old, held)), "overwrite")
+
+    def _stored(self, spark: SparkSession) -> DataFrame:
+        stored = spark.read.parquet(self.path)
+        if self._column not in stored.columns:
+            raise ValueError(f"{self.path} has no {self._column}: another number of buckets")
+        return stored
+
+    def scans(self, spark: SparkSession) -> DataFrame:
+        return self._stored(spark).drop(self._column)
+
+    def find(self, spark: SparkSession, scan_id: str) -> DataFrame:
+        """The scan of that id, from the files of its bucket alone."""
+        own = F.col(self._column) == self._bucket(F.lit(scan_id))
+        return get_scan(self._stored(spark).filter(own), scan_id).drop(self._column)

@@ -7,10 +7,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from auditloom import schemas
+from auditloom.operators import files
 from auditloom.operators.compare import score_history
 from auditloom.operators.history import fill_history_context, history_findings
 from auditloom.operators.topk import first_per_group
-from tests.helpers import log_lines
+from tests.helpers import files_table, log_lines
 
 SECRET = "token = '" + "abcdefghijkl" + "'"
 
@@ -74,3 +75,23 @@ def test_score_history_over_block_borders(spark):
         assert sorted(got.collect(), key=str) == sorted(
             want.withColumnRenamed("c", "score_change").collect(), key=str
         )
+
+
+def test_byte_budget_without_a_file_limit(spark):
+    rows = [("hot", f"d{i % 7}/f{i}.js", "x" * (i * 37 % 90)) for i in range(400)]
+    rows += [("small", "a.js", "x" * 50), ("small", "b.js", ""), ("none", "c.js", "x" * 95)]
+    table = files_table(spark, rows)
+    spared = {"max_bytes": 3_000, "max_file_bytes": 80}
+    got = {
+        (r.scan_id, r.path): (r.running_bytes, r.is_large, r.taken)
+        for r in files.select_files(table, None, **spared).collect()
+    }
+    want, total = {}, {}
+    for scan, path, text in sorted(rows, key=lambda r: (r[0], r[1].split("/"))):
+        large = len(text) > 80
+        total[scan] = total.get(scan, 0) + (0 if large else len(text))
+        want[scan, path] = (total[scan], large, not large and total[scan] <= 3_000)
+    assert got == want
+    limited = files.select_files(table, 1_000, **spared)
+    assert {(r.scan_id, r.path): (r.running_bytes, r.is_large, r.taken) for r in limited.collect()} == want
+    assert files.scan_volume(files.select_files(table, None, **spared)).filter("truncated").count() == 1

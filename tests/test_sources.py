@@ -2,6 +2,8 @@
 
 import json
 import os
+import random
+import re
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -174,6 +176,57 @@ def test_history_logs(spark, tmp_path):
     assert [r.line for r in rows] == ["commit:a", "+x", "commit:b", "+y", ""]
 
 
+def test_long_logs_are_read_in_ranges(spark, tmp_path):
+    rnd = random.Random(3)
+    words = ["commit:", "+x = 1", "", "\r", "file b/ä", "z" * 400, "\u2028q", " \r"]
+    logs = {f"s{n}": "\n".join(rnd.choice(words) for _ in range(n)) for n in (1, 2, 3, 40, 900)}
+    logs |= {"empty": "", "breaks": "\n\n", "ended": "a\r\nb\r\n", "bare": "a\nb\r", "one +%": "c"}
+    for name, text in logs.items():
+        (tmp_path / f"{name}.log").write_bytes(text.encode())
+    want = sorted((n, i, x) for n, t in logs.items() if t for i, x in enumerate(re.split(r"\r?\n", t)))
+    usual = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k, size in zip(usual, ("2000", "100")):
+            spark.conf.set(k, size)
+        got = sorted(map(tuple, history_log.history_lines(spark, str(tmp_path)).collect()))
+        tasks = spark.read.text(str(tmp_path / "s900.log")).rdd.getNumPartitions()
+    finally:
+        for k, size in usual.items():
+            spark.conf.set(k, size)
+    assert got == want and tasks > 10
+    assert sorted(map(tuple, history_log.history_lines(spark, str(tmp_path)).collect())) == want
+
+
+def test_bucketed_store(spark, tmp_path):
+    day = datetime(2024, 3, 1, tzinfo=timezone.utc)
+    schema = "scan_id string, created_at timestamp, score int"
+    rows = [(f"s{i}", day, i) for i in range(200)] + [(None, day, -1)]
+    held = store.BucketedStore(str(tmp_path / "t"), buckets=8)
+    held.create(spark.createDataFrame(rows, schema))
+    parts = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+    before = parts()
+    come = spark.createDataFrame([("s7", day, 700), ("s7", day + timedelta(1), 701)], schema)
+    held.upsert(come)
+    after = parts()
+    assert len({p.parent for p in set(before) ^ set(after)}) == 1  # one bucket changed, whole files
+    assert all(after[p] == t for p, t in before.items() if p in after)
+    held.upsert(come)
+    held.upsert(come.limit(0))
+    want = {r[0]: r[2] for r in rows} | {"s7": 701}
+    assert {r.scan_id: r.score for r in held.scans(spark).collect()} == want
+    assert held.scans(spark).count() == len(rows) and held.scans(spark).columns == schema_names(schema)
+    found = held.find(spark, "s7")
+    assert [r.score for r in found.collect()] == [701] and held.find(spark, "x").first() is None
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "bucket_of_8" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    with pytest.raises(ValueError):
+        store.BucketedStore(str(tmp_path / "t"), buckets=9).find(spark, "s7")
+
+
+def schema_names(schema):
+    return [part.split()[0] for part in schema.split(", ")]
+
+
 def test_reports(spark):
     semgrep = {"results": [{"check_id": "c", "path": "a\\b.js", "extra": {}}, {"start": {"line": "12"}, "extra": {"fix": "f"}}]}
     osv = {"results": [{"packages": [{"vulnerabilities": [{"id": "X"}, {"id": "Y"}]}, {}]},

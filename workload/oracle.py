@@ -72,6 +72,13 @@ def oracles() -> dict[str, str]:
         """SELECT scan_id, path, file_ord, running_bytes, length > 8000 AS is_large,
         length <= 8000 AND running_bytes <= 20000 AS taken FROM budgeted""",
     )
+    add(
+        "whole_budget",
+        """SELECT scan_id, path, running_bytes, length > 8000 AS is_large,
+        length <= 8000 AND running_bytes <= 20000 AS taken FROM (
+          SELECT *, coalesce(sum(CASE WHEN length <= 8000 THEN length END)
+            OVER (PARTITION BY scan_id ORDER BY file_ord), 0)::BIGINT AS running_bytes FROM walked)""",
+    )
     add(
         "scan_volume",
         """SELECT scan_id, files_scanned, bytes_scanned, skipped_large_files, over OR full_list AS truncated,
@@ -278,18 +285,20 @@ def oracles() -> dict[str, str]:
         """SELECT scan_id, coalesce(sum(length) FILTER (entry_type = 'file'), 0)::BIGINT AS clone_bytes,
           coalesce(sum(length) FILTER (entry_type = 'file'), 0) > 30000 AS rejected FROM code_files GROUP BY scan_id""",
     )
-    add(
-        "scan_upsert",
-        """SELECT scan_id, url, score FROM scans_v WHERE NOT (score > 50 AND score <= 75)
-        UNION ALL SELECT CASE WHEN score > 75 THEN 'n' || scan_id ELSE scan_id END, url, score + 1 FROM scans_v WHERE score > 50""",
-    )
+    for name in ("scan_upsert", "stored_upsert"):
+        add(
+            name,
+            """SELECT scan_id, url, score FROM scans_v WHERE NOT (score > 50 AND score <= 75)
+            UNION ALL SELECT CASE WHEN score > 75 THEN 'n' || scan_id ELSE scan_id END, url, score + 1 FROM scans_v WHERE score > 50""",
+        )
     add(
         "scan_retention",
         """SELECT scan_id, url, score FROM scans_v WHERE created_at >= TIMESTAMP '2002-01-01' - INTERVAL 400 DAY
         ORDER BY created_at DESC, scan_id DESC LIMIT 50""",
     )
     add("recent_scans", "SELECT scan_id, url, score FROM scans_v ORDER BY created_at DESC, scan_id DESC LIMIT 50")
-    add("scan_lookup", "SELECT scan_id, url, score FROM scans_v WHERE scan_id = '117'")
+    for name in ("scan_lookup", "stored_lookup"):
+        add(name, "SELECT scan_id, url, score FROM scans_v WHERE scan_id = '117'")
     add(
         "scan_list",
         """SELECT s.scan_id, s.url, s.score, coalesce(n, 0)::BIGINT AS finding_count FROM scans_v s

@@ -64,6 +64,12 @@ def byte_budget(spark, sf):
     ).select("scan_id", "path", "file_ord", "running_bytes", "is_large", "taken")
 
 
+def whole_budget(spark, sf):
+    """The byte budget over all files of a snapshot, without a file limit."""
+    selected = files.select_files(v.code_files(spark, sf), None, MAX_BYTES, MAX_FILE_BYTES)
+    return selected.select("scan_id", "path", "running_bytes", "is_large", "taken")
+
+
 def scan_volume(spark, sf):
     selected = files.select_files(v.code_files(spark, sf), MAX_FILES, MAX_BYTES, MAX_FILE_BYTES)
     return files.scan_volume(selected, MAX_FILES).drop("last_walk")
@@ -401,8 +407,8 @@ def snapshot_sizes(spark, sf):
 # --- store ------------------------------------------------------------------------------------------
 
 
-def scan_upsert(spark, sf):
-    """Scans of some customers come again with another score, others are new."""
+def _rescored(spark, sf):
+    """Stored scans, and those that come: some again with another score, others new."""
     old = v.scans(spark, sf).select("scan_id", "url", "created_at", "score")
     again = old.filter(F.col("score") > 50).select(
         F.when(F.col("score") > 75, F.concat(F.lit("n"), F.col("scan_id")))
@@ -412,7 +418,20 @@ def scan_upsert(spark, sf):
         "created_at",
         (F.col("score") + 1).alias("score"),
     )
-    return store.upsert_scans(old, again).select("scan_id", "url", "score")
+    return old, again
+
+
+def scan_upsert(spark, sf):
+    return store.upsert_scans(*_rescored(spark, sf)).select("scan_id", "url", "score")
+
+
+def stored_upsert(spark, sf):
+    """The same in a bucketed store, read back whole."""
+    old, again = _rescored(spark, sf)
+    held = store.BucketedStore(shared_folder(spark, "store"), buckets=16)
+    held.create(old)
+    held.upsert(again)
+    return held.scans(spark).select("scan_id", "url", "score")
 
 
 def scan_retention(spark, sf):
@@ -427,6 +446,13 @@ def scan_lookup(spark, sf):
     return store.get_scan(v.scans(spark, sf), "117").select("scan_id", "url", "score")
 
 
+def stored_lookup(spark, sf):
+    """A scan by its id from a bucketed store of all scans."""
+    held = store.BucketedStore(shared_folder(spark, "store"), buckets=16)
+    held.create(v.scans(spark, sf))
+    return held.find(spark, "117").select("scan_id", "url", "score")
+
+
 def scan_list(spark, sf):
     return store.scan_list(v.scans(spark, sf), v.order_findings(spark, sf)).select(
         "scan_id", "url", "score", "finding_count"
@@ -743,7 +769,7 @@ def rescan_stream(spark, sf):
 def registered() -> dict[str, Query]:
     plain: tuple[Query, ...] = (
         snapshot_source, snapshot_listing,
-        eligible_files, pruned_directories, file_limit, byte_budget, scan_volume, scanned_files,
+        eligible_files, pruned_directories, file_limit, byte_budget, whole_budget, scan_volume, scanned_files,
         line_explode, line_windows, line_findings, window_findings, html_findings,
         secret_findings, dependency_inventory, advisory_replies, baseline_join, advisory_join, source_fallback,
         history_context, history_findings, history_lines, finding_union, finding_dedup,
@@ -751,8 +777,8 @@ def registered() -> dict[str, Query]:
         scanner_breakdown, scan_summary, full_scan_findings, semgrep_findings, gitleaks_findings,
         osv_report_findings, external_tool_status, external_merge, rescan_pairs, compare_scans,
         compare_snapshots, score_history, repository_urls, repository_admission,
-        admitted_repositories, archive_guard, archive_verdicts, snapshot_sizes, scan_upsert,
-        scan_retention, recent_scans, scan_lookup, scan_list, store_metrics, valid_decisions,
+        admitted_repositories, archive_guard, archive_verdicts, snapshot_sizes, scan_upsert, stored_upsert,
+        scan_retention, recent_scans, scan_lookup, stored_lookup, scan_list, store_metrics, valid_decisions,
         review_log, apply_decisions, open_recount, pull_request_findings,
         remediation_targets, attach_explanations,
         explanation_prompts, sarif_reports, json_reports, sarif_report_parts, scan_report_parts,
