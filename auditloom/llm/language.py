@@ -152,12 +152,13 @@ class Scorer:
         self.model, self.place = model, {}
         self.scores = np.zeros((MEMO_WORDS, len(model["langs"])), np.float32)
         self.known = np.zeros(self.scores.shape, bool)
+        _, logs = model["tables"][0]
+        self.floor = logs.min(axis=0) + 1e-6 if len(logs) else None  # of words a language does not have
 
     def _rows(self, words: list[str]) -> list[int]:
         if len(self.place) + len(words) > MEMO_WORDS:
             self.place.clear()
         index, logs = self.model["tables"][0]
-        floor = logs.min(axis=0) + 1e-6 if len(logs) else None
         out = []
         for word in words:
             at = self.place.get(word)
@@ -165,7 +166,7 @@ class Scorer:
                 at = self.place[word] = len(self.place)
                 self.scores[at] = word_score(self.model, word)
                 row = index.get(word)
-                self.known[at] = False if row is None else logs[row] > floor
+                self.known[at] = False if row is None else logs[row] > self.floor
             out.append(at)
         return out
 
