@@ -2,7 +2,9 @@
 
 The inventory is always the left side. A dependency used nearly everywhere makes
 a hot key there; both joins are inner equi joins, so AQE splits such a partition
-on the inventory side and repeats only the few matching right rows.
+on the inventory side and repeats only the few matching right rows. Advisories and
+baselines grow with the packages there are, and their estimates miss rows that are
+exploded or well compressed, so both are merged and never sent through the driver.
 """
 
 from __future__ import annotations
@@ -64,7 +66,7 @@ def _finding_columns(rows: DataFrame, tool: str) -> DataFrame:
 
 def baseline_findings(inventory: DataFrame, baselines: DataFrame) -> DataFrame:
     """Dependencies whose version is below the first safe version of the name."""
-    keyed = baselines.withColumn("below_key", bound_key(F.col("below")))
+    keyed = baselines.withColumn("below_key", bound_key(F.col("below"))).hint("merge")
     i, b = inventory.alias("i"), keyed.alias("b")
     below = version_key(F.col("i.version")) < F.col("b.below_key")
     hit = i.join(b, (F.col("i.name") == F.col("b.name")) & below)
@@ -94,7 +96,9 @@ def baseline_findings(inventory: DataFrame, baselines: DataFrame) -> DataFrame:
 def advisory_findings(inventory: DataFrame, advisories: DataFrame) -> DataFrame:
     """One finding per dependency and advisory of exactly that version."""
     keys = ["ecosystem", "name", "version"]
-    adv = advisories.select(*keys, "id", "summary", F.col("severity").alias("adv_severity"))
+    adv = advisories.select(
+        *keys, "id", "summary", F.col("severity").alias("adv_severity")
+    ).hint("merge")
     name, version = F.col("name"), F.col("version")
     default = F.concat(
         name, F.lit(" "), version, F.lit(" is affected by a published OSV advisory.")

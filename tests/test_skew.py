@@ -7,10 +7,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from auditloom import schemas
-from auditloom.operators import files
+from auditloom.operators import dependencies, files
 from auditloom.operators.compare import score_history
 from auditloom.operators.history import fill_history_context, history_findings
 from auditloom.operators.topk import first_per_group
+from auditloom.session import broadcast_if_small, durable
 from tests.helpers import files_table, log_lines
 
 SECRET = "token = '" + "abcdefghijkl" + "'"
@@ -95,3 +96,26 @@ def test_byte_budget_without_a_file_limit(spark):
     limited = files.select_files(table, 1_000, **spared)
     assert {(r.scan_id, r.path): (r.running_bytes, r.is_large, r.taken) for r in limited.collect()} == want
     assert files.scan_volume(files.select_files(table, None, **spared)).filter("truncated").count() == 1
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_advisories_and_baselines_are_not_sent_through_the_driver(spark):
+    def row(**values):  # of a small estimate, as compressed files have
+        return durable(spark.createDataFrame([values]))
+
+    inventory = row(scan_id="s", file="a/package-lock.json", walk="a", ecosystem="npm", name="x", version="1.0", pos=0)
+    found = dependencies.advisory_findings(
+        inventory, row(ecosystem="npm", name="x", version="1.0", id="A-1", summary="", severity="high"))
+    below = dependencies.baseline_findings(inventory, row(name="x", below="2.0", severity="high", advisory="A-2"))
+    assert "Broadcast" not in _plan(found) and "Broadcast" not in _plan(below)
+    assert [r.rule for r in found.collect()] == ["A-1"] and [r.rule for r in below.collect()] == ["DEP-X"]
+
+
+def test_rows_beyond_the_bound_are_merged_however_small_their_files_are(spark):
+    rows = spark.range(100).selectExpr("cast(id as string) as k")
+    few, many = (broadcast_if_small(rows, bound) for bound in (1_000_000, 10))
+    assert "BroadcastHashJoin" in _plan(rows.join(few, "k", "left_semi"))
+    assert "Broadcast" not in _plan(rows.join(many, "k", "left_semi"))
