@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from auditloom.session import durable
 
 SALTS = 256
+HOT_ROWS = 200_000  # rows of a group that one task may sort
 
 
 def first_per_group(
@@ -45,27 +46,52 @@ def ranked_per_group(
     group: Sequence[str],
     order: Sequence[str],
     rank_col: str = "position",
+    hot_rows: int = HOT_ROWS,
+    distinct: bool = False,
 ) -> DataFrame:
     """All rows, numbered from 1 in every group by the columns ``order``, which must not tie.
 
+    Rows travel once, to the task that sorts their group. Groups of more than ``hot_rows`` rows, of
+    which there are at most as many as rows by ``hot_rows``, are numbered by ranges instead. ``df``
+    is read to count, so give it durable or cheap. With ``distinct``, equal rows count once; they
+    are found where their group is.
+    """
+    numbered = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    hot = durable(
+        df.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select(*group))
+    is_hot = not hot.isEmpty()
+    usual = df.join(F.broadcast(hot), list(group), "left_anti") if is_hot else df
+    if distinct:
+        usual = usual.repartition(*group).distinct()
+    usual = usual.withColumn(rank_col, numbered)
+    if not is_hot:
+        return usual
+    large = df.join(F.broadcast(hot), list(group), "left_semi")
+    large = large.distinct() if distinct else large
+    return usual.unionByName(_ranked_by_ranges(large, group, order, rank_col))
+
+
+def _ranked_by_ranges(
+    df: DataFrame, group: Sequence[str], order: Sequence[str], rank_col: str
+) -> DataFrame:
+    """The same for groups that no task should hold.
+
     Groups and order together are cut in ranges by sampled splitters, so a hot
     group lies in many ranges. Rows are numbered within their range and group;
-    the counts of the ranges before are added. Only the order columns are
-    sorted; they go back to their rows by a join on group and order.
+    the counts of the ranges before are added.
     """
     keys = [*group, *order]
-    ranged = durable(
-        df.select(*keys).repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()))
+    ranged = durable(df.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()))
     counts = ranged.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*group, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     within = Window.partitionBy(*group, "_range").orderBy(*order)
-    numbered = (
+    return (
         ranged.withColumn("_in", F.row_number().over(within))
         .join(offsets, [*group, "_range"])
-        .select(*keys, (F.col("_before") + F.col("_in")).cast("int").alias(rank_col))
+        .withColumn(rank_col, (F.col("_before") + F.col("_in")).cast("int"))
+        .drop("_range", "_before", "_in")
     )
-    return df.join(numbered, keys)
 
 
 def running_per_group(

@@ -64,16 +64,19 @@ def _listed(rows: DataFrame, section: int, place: str, text: Column) -> DataFram
         F.concat(comma, text).alias("text"))
 
 
-def json_parts(scans: DataFrame, findings: DataFrame, events: DataFrame | None = None) -> DataFrame:
+def json_parts(
+    scans: DataFrame, findings: DataFrame, events: DataFrame | None = None, known: bool = False
+) -> DataFrame:
     """The whole scan document: scan, repository, findings, events, summary, comparison.
 
     ``scans`` has one row per scan_id and any columns of OPENING and CLOSING (structs and arrays become
     objects and lists). ``findings`` bear a gapless ``position``; all of them are listed, and a scan
     without any has an empty list. Findings and events whose scan is not in ``scans`` belong to no
-    document and are left out. ``events``, if given, are listed by time and event id.
+    document and are left out; ``known`` says that there are no such findings, which spares their
+    shuffle. ``events``, if given, are listed by time and event id.
     """
     held = scans.select("scan_id")
-    found = findings.join(held, "scan_id", "left_semi")
+    found = findings if known else findings.join(held, "scan_id", "left_semi")
     opening = _record(scans, OPENING)
     end = F.regexp_replace(_record(scans, CLOSING), r"^\{(?!\})", ",")
     end = F.concat(F.lit("]"), F.regexp_replace(end, r"^\{\}$", "}"))

@@ -10,7 +10,7 @@ from auditloom import schemas
 from auditloom.operators import dependencies, files
 from auditloom.operators.compare import score_history
 from auditloom.operators.history import fill_history_context, history_findings
-from auditloom.operators.topk import first_per_group
+from auditloom.operators.topk import first_per_group, ranked_per_group
 from auditloom.session import broadcast_if_small, durable
 from tests.helpers import files_table, log_lines
 
@@ -119,3 +119,16 @@ def test_rows_beyond_the_bound_are_merged_however_small_their_files_are(spark):
     few, many = (broadcast_if_small(rows, bound) for bound in (1_000_000, 10))
     assert "BroadcastHashJoin" in _plan(rows.join(few, "k", "left_semi"))
     assert "Broadcast" not in _plan(rows.join(many, "k", "left_semi"))
+
+
+def test_ranked_per_group_moves_rows_once_and_cuts_hot_groups(spark):
+    rows = [("hot" if i % 3 else f"g{i % 7}", i // 2, i // 2 % 4) for i in range(600)]
+    df = durable(spark.createDataFrame(rows, "g string, i int, v int"))
+    unique = df.distinct()
+    want = sorted(unique.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("v", "i"))).collect())
+    for hot_rows in (1, 100, 10_000):
+        got = ranked_per_group(df, ["g"], ["v", "i"], "n", hot_rows, distinct=True)
+        assert sorted(got.collect()) == want
+        assert sorted(ranked_per_group(durable(unique), ["g"], ["v", "i"], "n", hot_rows).collect()) == want
+    plan = _plan(ranked_per_group(df, ["g"], ["v", "i"], "n", distinct=True))
+    assert plan.count("Exchange") == 1 and "Join" not in plan

@@ -575,9 +575,10 @@ def sarif_report_parts(spark, sf):
 
 def scan_report_parts(spark, sf):
     """Scan documents with repository, findings, summary and comparison."""
-    held = v.order_findings(spark, sf).distinct()
-    ordered = held.withColumn("ord", F.struct("line", "rule", "file", "tool"))
-    placed = durable(findings.top_findings(ordered).drop("ord"))
+    ids = v.scans(spark, sf).select("scan_id")
+    order = ("line", "rule", "file", "tool")
+    ranked = findings.top_findings(v.order_findings(spark, sf), order=order, distinct=True)
+    placed = durable(ranked.join(ids.hint("merge"), "scan_id", "left_semi"))
     totals = findings.severity_totals(placed)
     told = compare.compare_scans(v.scans(spark, sf), placed).drop("previous_scan_id")
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
@@ -595,7 +596,7 @@ def scan_report_parts(spark, sf):
         F.struct(F.concat(F.lit("c/"), "url").alias("url")).alias("repository"),
         summary.alias("summary"), comparison.alias("comparison"),
     )
-    return documents.json_parts(listed, placed)
+    return documents.json_parts(listed, placed, known=True)
 
 
 def review_report_parts(spark, sf):
