@@ -30,7 +30,7 @@ from auditloom.operators.findings import (
 from auditloom.operators.history import history_findings
 from auditloom.operators.manifests import ecosystem, manifest_items
 from auditloom.operators.match import extract, hits_to_findings
-from auditloom.session import broadcast_if_small, durable
+from auditloom.session import broadcast_if_small, durable, per_scan
 from auditloom.sources.reports import (
     external_findings,
     external_tool_names,
@@ -116,7 +116,7 @@ def scan_snapshots(
     findings = durable(open_findings(merge_external(own, external)))
 
     tools = external_tool_names(external_tool_status(reports, external))
-    flags = listed.join(tools, "scan_id", "left")
+    flags = listed.join(per_scan(tools), "scan_id", "left")
     summary = scan_summary(_every_scan(listed, volume), findings, flags, limits.max_findings)
     return ScanResult(summary, findings, top_findings(findings, limits.max_findings))
 
@@ -145,7 +145,7 @@ def scan_folders(
 def _every_scan(listed: DataFrame, volume: DataFrame) -> DataFrame:
     """Volume rows with zeros for snapshots that have no eligible file."""
     zero = F.lit(0).cast("long")
-    return listed.select("scan_id").join(volume, "scan_id", "left").select(
+    return listed.select("scan_id").join(per_scan(volume), "scan_id", "left").select(
         "scan_id",
         F.coalesce("files_scanned", zero).alias("files_scanned"),
         F.coalesce("bytes_scanned", zero).alias("bytes_scanned"),
@@ -168,15 +168,16 @@ def compare_with_stored(
     """
     key_columns = ["scan_id", "rule", "file", "line", "fingerprint"]
     new = result.summary.select("scan_id", "score").join(
-        previous_of.select("scan_id", "previous_scan_id"), "scan_id", "left"
+        per_scan(previous_of.select("scan_id", "previous_scan_id")), "scan_id", "left"
     )
-    old = stored_scans.join(new.select("scan_id"), "scan_id", "left_anti").select(
+    scanned = per_scan(new.select("scan_id"))
+    old = stored_scans.join(scanned, "scan_id", "left_anti").select(
         "scan_id", "score", F.lit(None).cast("string").alias("previous_scan_id")
     )
     wanted = new.select(F.col("previous_scan_id").alias("scan_id")).distinct().join(
-        new.select("scan_id"), "scan_id", "left_anti"
+        scanned, "scan_id", "left_anti"
     )  # an earlier scan that comes again is compared as it is now
-    before = stored_findings.join(wanted, "scan_id", "left_semi")
+    before = stored_findings.join(per_scan(wanted), "scan_id", "left_semi")
     return compare_scans(
         new.unionByName(old),
         result.stored.select(key_columns).unionByName(before.select(key_columns)),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from auditloom.plans.scan import Limits, ScanResult, compare_with_stored, scan_snapshots
-from auditloom.session import broadcast_if_small, durable
+from auditloom.session import broadcast_if_small, durable, per_scan
 from auditloom.streaming.sinks import (
     FOLD_EVERY,
     ONCE,
@@ -132,7 +132,7 @@ def _current(spark: SparkSession, out: str, part: str) -> DataFrame:
     scans = newest_by(read_since(spark, f"{out}/scans", last), ["scan_id"])
     if part == "scans":
         return scans
-    held = scans.select("scan_id", "batch_id")
+    held = per_scan(scans.select("scan_id", "batch_id"))
     return read_since(spark, f"{out}/{part}", last).join(held, ["scan_id", "batch_id"], "left_semi")
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from auditloom.session import per_scan
+
 ONCE = {"availableNow": True}  # trigger: everything that is there, then stop
 GENERATIONS = "_generations"  # Spark's readers pass by names with this beginning
 FOLD_EVERY = 50  # batches between two generations; the most that a reader opens beside one
@@ -128,4 +130,4 @@ def read_before(
 def newest_by(df: DataFrame, keys: Sequence[str], version: str = "batch_id") -> DataFrame:
     """Rows of the newest batch of each key; replaces what earlier batches held for it."""
     last = df.groupBy(*keys).agg(F.max(version).alias(version))
-    return df.join(last, [*keys, version], "left_semi")
+    return df.join(per_scan(last), [*keys, version], "left_semi")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from auditloom import schemas
 from auditloom.operators import dependencies, files
-from auditloom.operators.compare import score_history
+from auditloom.operators.compare import compare_scans, score_history
+from auditloom.operators.findings import scan_summary, security_scores
 from auditloom.operators.history import fill_history_context, history_findings
 from auditloom.operators.topk import first_per_group, ranked_per_group
 from auditloom.session import broadcast_if_small, durable
@@ -132,3 +133,19 @@ def test_ranked_per_group_moves_rows_once_and_cuts_hot_groups(spark):
         assert sorted(ranked_per_group(durable(unique), ["g"], ["v", "i"], "n", hot_rows).collect()) == want
     plan = _plan(ranked_per_group(df, ["g"], ["v", "i"], "n", distinct=True))
     assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_tables_with_a_row_per_scan_are_not_sent_to_the_driver(spark):
+    def row(**values):
+        return durable(spark.createDataFrame([values]))
+
+    found = row(scan_id="s", severity="high", rule="R", file="f", line=1, fingerprint="")
+    volume = row(scan_id="s", files_scanned=1, bytes_scanned=1, skipped_large_files=0, truncated=False,
+                 truncation_reason="")
+    flags = row(scan_id="s", history_available=True, external_tools=["Semgrep"])
+    scans = durable(spark.createDataFrame(
+        [("s", "p", 5), ("p", None, 7)], "scan_id string, previous_scan_id string, score int"))
+    for df in (scan_summary(volume, found, flags), security_scores(found, volume), compare_scans(scans, found)):
+        assert "Broadcast" not in _plan(df)
+        got = df.collect()
+        assert len(got) == 1 and "Broadcast" not in _plan(df)

@@ -13,7 +13,7 @@ from auditloom.operators import compare, dependencies, files, findings, history,
 from auditloom.operators import match, review
 from auditloom.plans.scan import ScanResult, scan_snapshots
 from auditloom.rules import LINE_RULES, RULES
-from auditloom.session import durable, shared_folder
+from auditloom.session import durable, per_scan, shared_folder
 from auditloom.sources.advisories import advisories_from_replies
 from auditloom.sources import archives, documents, exports, history_log, reports, repositories, snapshot
 from auditloom.sources import store
@@ -578,7 +578,7 @@ def scan_report_parts(spark, sf):
     ids = v.scans(spark, sf).select("scan_id")
     order = ("line", "rule", "file", "tool")
     ranked = findings.top_findings(v.order_findings(spark, sf), order=order, distinct=True)
-    placed = durable(ranked.join(ids.hint("merge"), "scan_id", "left_semi"))
+    placed = durable(ranked.join(per_scan(ids), "scan_id", "left_semi"))
     totals = findings.severity_totals(placed)
     told = compare.compare_scans(v.scans(spark, sf), placed).drop("previous_scan_id")
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
