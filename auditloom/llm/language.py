@@ -141,33 +141,38 @@ def word_score(model: dict, word: str) -> np.ndarray:
         index, logs = model["tables"][n]
         rows = [i for g in grams_of(word, n) if (i := index.get(g)) is not None]
         if rows:
-            return logs[rows].mean(axis=0)
+            return np.add.reduce(logs.take(rows, axis=0)) / np.float32(len(rows))
     return np.zeros(len(model["langs"]), np.float32)
 
 
 class Scorer:
-    """Predictions of a model; scores of words are remembered in one array of fixed size."""
+    """Predictions of a model. Its words keep their scores; those of other words are remembered
+    behind them, in one array of fixed size, until it is full."""
 
     def __init__(self, model: dict):
         self.model, self.place = model, {}
-        self.scores = np.zeros((MEMO_WORDS, len(model["langs"])), np.float32)
-        self.known = np.zeros(self.scores.shape, bool)
-        _, logs = model["tables"][0]
-        self.floor = logs.min(axis=0) + 1e-6 if len(logs) else None  # of words a language does not have
+        index, logs = model["tables"][0]
+        self.own = len(index)
+        shape = (self.own + MEMO_WORDS, len(model["langs"]))
+        self.scores, self.known = np.zeros(shape, np.float32), np.zeros(shape, bool)
+        if self.own:
+            self.scores[: self.own] = logs
+            self.known[: self.own] = logs > logs.min(axis=0) + 1e-6  # the least: a language lacks the word
 
     def _rows(self, words: list[str]) -> list[int]:
         if len(self.place) + len(words) > MEMO_WORDS:
             self.place.clear()
-        index, logs = self.model["tables"][0]
-        out = []
-        for word in words:
-            at = self.place.get(word)
-            if at is None:
-                at = self.place[word] = len(self.place)
-                self.scores[at] = word_score(self.model, word)
-                row = index.get(word)
-                self.known[at] = False if row is None else logs[row] > self.floor
-            out.append(at)
+        out = list(map(self.model["tables"][0][0].get, words))
+        if None in out:
+            place = self.place
+            for i, at in enumerate(out):
+                if at is None:
+                    word = words[i]
+                    at = place.get(word)
+                    if at is None:
+                        at = place[word] = self.own + len(place)
+                        self.scores[at] = word_score(self.model, word)
+                    out[i] = at
         return out
 
     def predict(self, text: str | None) -> tuple[str, float, float]:

@@ -5,6 +5,7 @@ import os
 import unicodedata
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +128,15 @@ def test_held_out_accuracy(spark):
     found = language.identify(docs.where(folds()), language.fit(docs.where(~folds())))
     right = found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double"))).first()[0]
     assert right > 0.99
+
+
+def test_known_words_are_never_scored_again(monkeypatch):
+    scores = np.log(np.array([[0.9, 0.1], [0.2, 0.8]], np.float32))
+    grams = [({}, np.zeros((0, 2), np.float32))] * language.LONGEST
+    model = {"langs": ["a", "b"], "tables": [({"one": 0, "zwei": 1}, scores), *grams], "usual": [1.0, 1.0]}
+    asked = []
+    monkeypatch.setattr(language, "MEMO_WORDS", 4)
+    monkeypatch.setattr(language, "word_score", lambda m, word: asked.append(word) or np.zeros(2, np.float32))
+    scorer = language.Scorer(model)
+    assert [scorer.predict(t)[0] for t in ("one x", "zwei y x", "one one", "zwei")] == ["a", "b", "a", "b"]
+    assert asked == ["x", "y"]
