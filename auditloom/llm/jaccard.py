@@ -5,6 +5,9 @@ shingle hash meet in one place, where each joins the first leader it is similar
 its followers are a group. Every group's union of prefix shingles becomes rows of a matrix
 (shingle, group), dealt by shingle. Two groups that share too few of them, or whose leaders are
 too far apart, cannot hold a similar pair; only the others are opened and compared exactly.
+A shingle counts only for sizes it can matter at: the later it stands in a prefix, the smaller
+the similar sets that may be met there first. So edits of one text that are too far from each
+other do not meet in what is left of it.
 
 Prefixes follow one global order, rare shingles first by a count sketch of fixed size, so that
 passages common to many documents do not make their groups meet. The order decides only how
@@ -33,6 +36,7 @@ BUCKET_TOKENS = 300_000
 BLOCK_TOKENS = 100_000  # shingles of a block of members when groups are opened, about
 READ_ROWS = 500  # texts taken from a batch together
 FLUSH_TOKENS = 500_000
+SIZE_STEPS = 3_000  # sizes are kept as 16-bit logarithms, in so many steps for each factor of e
 SUMMED = 64  # groups of tasks whose counts are added before all are
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -107,6 +111,17 @@ def shared_least(n):
     return np.maximum(1, n // 20)
 
 
+def most_partner(n: int, percent: int) -> np.ndarray:
+    """For each place of a prefix, the size of the largest set it can matter to.
+
+    Of sets of n and m shingles that share enough to be similar, the first n - shared + k and the
+    first m - shared + k hold k in common, at ``shared_least`` k for the smaller.
+    """
+    k = int(shared_least(n))
+    left = n + k - 1 - np.arange(slack(n, percent) + k)
+    return np.maximum(1, (100 + percent) * left // percent - n)
+
+
 def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same rows, so many at a time that their texts take little memory twice."""
     for batch in batches:
@@ -174,7 +189,8 @@ _PLACED = pa.schema([("place", pa.int64()), ("salt", pa.int32()), ("rare", pa.in
                      ("cls", pa.int64()), ("text", pa.string())])
 _MATRIX = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("a", pa.int64()),
                      ("b", pa.int64()), ("n", pa.int64()), ("far", pa.float64()),
-                     ("tokens", pa.binary()), ("groups", pa.binary())])
+                     ("tokens", pa.binary()), ("groups", pa.binary()), ("most", pa.binary()),
+                     ("low", pa.binary())])
 _PAIRS = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()),
                     ("far", pa.float64())])
 
@@ -206,29 +222,53 @@ def _placed(salts: dict[int, int], ranks):
 
 
 class _Leader:
-    def __init__(self, cls: int, u: np.ndarray, prefix: np.ndarray):
-        self.cls, self.u, self.union = cls, u, prefix
+    """A leader and the prefix shingles of its group, with the largest set each can matter to."""
+
+    def __init__(self, cls: int, u: np.ndarray, prefix: np.ndarray, most: np.ndarray):
+        self.cls, self.u, self.low = cls, u, len(u)
+        self.union, self.most = prefix, most
+
+    def add(self, n: int, prefix: np.ndarray, most: np.ndarray) -> None:
+        self.low = min(self.low, n)
+        at = np.searchsorted(self.union, prefix)
+        known = np.flatnonzero(at < len(self.union))
+        known = known[self.union[at[known]] == prefix[known]]
+        self.most[at[known]] = np.maximum(self.most[at[known]], most[known])
+        new = np.ones(len(prefix), bool)
+        new[known] = False
+        self.union = np.insert(self.union, at[new], prefix[new])
+        self.most = np.insert(self.most, at[new], most[new])
 
 
 def _grouped(ranks, bucket_bits: int, percent: int):
     """Rows of a partition in order of place, salt, rarity and class: groups, and tokens by bucket."""
 
-    def prefix_of(u: np.ndarray) -> np.ndarray:
-        n = len(u)
-        take = slack(n, percent) + int(shared_least(n))
+    def prefix_of(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        most = most_partner(len(u), percent)
         rank = ranks.value[(u >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-        return np.sort(u[np.argsort(rank, kind="stable")[:take]])  # u is sorted: ties by hash
+        first = np.argsort(rank, kind="stable")[: len(most)]  # u is sorted: ties by hash
+        most = np.ceil(SIZE_STEPS * np.log(most[: len(first)])).astype(np.uint16)
+        order = np.argsort(first)
+        return u[first[order]], most[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, leaders, last = None, [], None
-        tokens, groups, held = [], [], 0
+        tokens, mosts, groups, held = [], [], [], 0
+
+        def emit(x: _Leader) -> int:
+            tokens.append(x.union), mosts.append(x.most)
+            low = int(SIZE_STEPS * np.log(x.low))
+            groups.append((x.cls, low, len(x.union)))
+            return len(x.union)
 
         def flush():
-            t = np.concatenate(tokens)
-            g = np.repeat(np.array([c for c, _ in groups], np.int64), [k for _, k in groups])
+            t, m = np.concatenate(tokens), np.concatenate(mosts)
+            sizes = [k for _, _, k in groups]
+            g = np.repeat(np.array([c for c, _, _ in groups], np.int64), sizes)
+            low = np.repeat(np.array([x for _, x, _ in groups], np.uint16), sizes)
             order = np.argsort(t, kind="stable")
-            t, g = t[order], g[order]
-            tokens.clear(), groups.clear()
+            t, g, m, low = t[order], g[order], m[order], low[order]
+            tokens.clear(), mosts.clear(), groups.clear()
             bucket = (t >> np.uint64(64 - bucket_bits)).astype(np.int64)
             short = ((t >> np.uint64(32 - bucket_bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             cuts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(t)]
@@ -237,18 +277,21 @@ def _grouped(ranks, bucket_bits: int, percent: int):
             none = [None] * len(ids)
             return _rows(_MATRIX, [1] * len(ids), ids, none, none, none, none,
                          [short[i:j].tobytes() for i, j in spans],
-                         [g[i:j].tobytes() for i, j in spans])
+                         [g[i:j].tobytes() for i, j in spans],
+                         [m[i:j].tobytes() for i, j in spans],
+                         [low[i:j].tobytes() for i, j in spans])
 
         for batch in few(batches):
             places, salts, classes = (batch.column(i).to_pylist() for i in (0, 1, 3))
             members: tuple[list, ...] = ([], [], [], [])
             for i, u in enumerate(shingle_sets(utf8(batch.column(4)))):
                 if (places[i], salts[i]) != here:
+                    held += sum(map(emit, leaders))
                     here, leaders, last = (places[i], salts[i]), [], None
                 if classes[i] == last:
                     continue
                 last = classes[i]
-                prefix = prefix_of(u)
+                prefix, most = prefix_of(u)
                 leader, near = None, 1.0
                 for x in leaders:
                     link, near = linked(u, x.u, percent)
@@ -257,27 +300,25 @@ def _grouped(ranks, bucket_bits: int, percent: int):
                         break
                 if leader is None:
                     near = 1.0
-                    leader = _Leader(last, u, prefix)
+                    leader = _Leader(last, u, prefix, most)
                     if len(leaders) < LEADERS:
                         leaders.append(leader)
-                    new = prefix
+                    else:  # nothing is compared with it, so it stays alone
+                        held += emit(leader)
                 else:
-                    new = np.setdiff1d(prefix, leader.union, assume_unique=True)
-                    leader.union = np.union1d(leader.union, new)
+                    leader.add(len(u), prefix, most)
                     if len(leader.union) > 1_000_000:
-                        leader.union = prefix
+                        held += emit(leader)
+                        leader.union, leader.most = prefix[:0], most[:0]
                 for column, value in zip(members, (last, leader.cls, len(u), 1 - near)):
                     column.append(value)
-                if len(new):
-                    tokens.append(new)
-                    groups.append((leader.cls, len(new)))
-                    held += len(new)
                 if held > 1_000_000:
                     yield flush()
                     held = 0
             none = [None] * len(members[0])
             spread = [c % (1 << bucket_bits) for c in members[0]]
-            yield _rows(_MATRIX, [0] * len(spread), spread, *members, none, none)
+            yield _rows(_MATRIX, [0] * len(spread), spread, *members, none, none, none, none)
+        held += sum(map(emit, leaders))
         if held:
             yield flush()
 
@@ -285,31 +326,43 @@ def _grouped(ranks, bucket_bits: int, percent: int):
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of groups with the number of prefix shingles they share in a bucket."""
+    """Pairs of groups with the number of prefix shingles they share in a bucket, and the fewest
+    that similar members share in all buckets. Shingles count where they can matter to both."""
 
-    def paired(tokens: list[bytes], groups: list[bytes]) -> Iterator[pa.RecordBatch]:
-        t = np.frombuffer(b"".join(tokens), np.uint32)
-        g = np.frombuffer(b"".join(groups), np.int64)
+    def paired(columns: list[tuple]) -> Iterator[pa.RecordBatch]:
+        t, g, most, low = (np.frombuffer(b"".join(c), kind) for c, kind in zip(
+            zip(*columns), (np.uint32, np.int64, np.uint16, np.uint16)))
         order = np.lexsort((g, t))
-        t, g = t[order], g[order]
-        new = np.r_[True, (t[1:] != t[:-1]) | (g[1:] != g[:-1])]
+        t, g, most, low = t[order], g[order], most[order], low[order]
+        new = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (g[1:] != g[:-1])])
         t, g = t[new], g[new]
-        twice = t[1:] == t[:-1]
-        held = np.r_[False, twice] | np.r_[twice, False]
-        t, g = t[held], g[held]
+        most, low = np.maximum.reduceat(most, new), np.minimum.reduceat(low, new)
+        first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+        held = most >= np.repeat(np.minimum.reduceat(low, first), np.diff(np.r_[first, len(t)]))
+        t, g, most, low = t[held], g[held], most[held], low[held]
+        twice = np.flatnonzero(t[1:] == t[:-1])
+        held = np.union1d(twice, twice + 1)
+        t, g, most, low = t[held], g[held], most[held], low[held]
+        least = shared_least(np.exp(low / SIZE_STEPS).astype(np.int64))
         found, size, step = [], 0, 1
 
         def counted():
-            pairs, n = np.unique(np.concatenate(found), axis=0, return_counts=True)
-            return _rows(_PAIRS, [1] * len(n), pairs[:, 0], pairs[:, 1], n, [None] * len(n))
+            rows = np.concatenate(found)
+            rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+            at = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])
+            n = np.diff(np.r_[at, len(rows)])
+            return _rows(_PAIRS, [1] * len(n), rows[at, 0], rows[at, 1], n,
+                         np.minimum.reduceat(rows[:, 2], at).astype(np.float64))
 
         at = np.arange(len(t))
         while len(at):
             at = at[at + step < len(t)]
             at = at[t[at] == t[at + step]]
-            if len(at):
-                found.append(np.stack([g[at], g[at + step]], 1))
-                size += len(at)
+            both = at[(low[at + step] <= most[at]) & (low[at] <= most[at + step])]
+            if len(both):
+                found.append(np.stack(
+                    [g[both], g[both + step], np.minimum(least[both], least[both + step])], 1))
+                size += len(both)
             if size > 1_000_000:
                 yield counted()
                 found, size = [], 0
@@ -317,7 +370,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if size:
             yield counted()
 
-    here, tokens, groups = None, [], []
+    here, columns = None, []
     for batch in batches:
         kinds, buckets = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         group_rows = [i for i, k in enumerate(kinds) if k == 0]
@@ -328,13 +381,12 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if kind == 0:
                 continue
             if buckets[i] != here:
-                if tokens:
-                    yield from paired(tokens, groups)
-                here, tokens, groups = buckets[i], [], []
-            tokens.append(batch.column(6)[i].as_py())
-            groups.append(batch.column(7)[i].as_py())
-    if tokens:
-        yield from paired(tokens, groups)
+                if columns:
+                    yield from paired(columns)
+                here, columns = buckets[i], []
+            columns.append(tuple(batch.column(c)[i].as_py() for c in (6, 7, 8, 9)))
+    if columns:
+        yield from paired(columns)
 
 
 # --- opening --------------------------------------------------------------------------------------
@@ -553,12 +605,14 @@ def _components(docs: DataFrame, percent: int, key: str, text: str) -> DataFrame
                              F.col("members").alias(f"m{side}"), F.col("radius").alias(f"r{side}"))
 
     share = percent / 100
-    fewest = F.least(*(F.greatest(F.lit(1), F.floor(F.floor(F.col(c) * share) / 20)) for c in ("na", "nb")))
-    counted = staged(met.where("kind = 1").groupBy("a", "b").agg(F.sum("n").alias("c")), "shared")
+    counted = staged(
+        met.where("kind = 1").groupBy("a", "b").agg(F.sum("n").alias("c"), F.min("far").alias("least"))
+        .where("c >= least").select("a", "b"),
+        "shared",
+    )
     bound = staged(
         counted.join(described("a"), "a").join(described("b"), "b")
-        .where((F.col("c") >= fewest)
-               & (F.least("na", "nb") >= F.floor(F.greatest("na", "nb") * share**3)))
+        .where(F.least("na", "nb") >= F.floor(F.greatest("na", "nb") * share**3))
         .select("a", "b", "ma", "mb", "ra", "rb"),
         "bound",
     )

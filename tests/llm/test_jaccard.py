@@ -133,3 +133,41 @@ def test_one_of_each_goes_by_class(spark):
     assert got == sorted([(1, a), (1, b), (2, "c d e f g h"), (5, "own text of five"), (7, "same same"),
                           (8, None), (8, ""), (None, a), (None, a)], key=str)
     assert jaccard.one_of_each(df.limit(0)).collect() == []
+
+
+def test_sizes_a_prefix_shingle_can_matter_to():
+    """Similar sets share enough of the shingles that can matter to both, in any common order."""
+    rng = random.Random(3)
+    for _ in range(3_000):
+        percent = rng.choice([50, 75, 90])
+        n, m = rng.randrange(1, 80), rng.randrange(1, 80)
+        common = rng.randrange(0, min(n, m) + 1)
+        if 100 * common < percent * (n + m - common):
+            continue
+        order = [0] * common + [1] * (n - common) + [2] * (m - common)
+        rng.shuffle(order)
+        told = []
+        for own, size in ((1, n), (2, m)):
+            places = (i for i, x in enumerate(order) if x in (0, own))
+            told.append(dict(zip(places, jaccard.most_partner(size, percent).tolist())))
+        shared = sum(order[i] == 0 and told[0][i] >= m and told[1].get(i, 0) >= n for i in told[0])
+        assert shared >= jaccard.shared_least(min(n, m)), (n, m, common, order)
+
+
+def test_edits_too_far_from_each_other_do_not_meet(spark, monkeypatch):
+    """Copies that are not similar to their original or to each other make no square of pairs."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(base)) for i in range(40)]
+    for i in range(40, 100):
+        at = set(range(rng.randrange(23), 300, 23))  # five shingles for each edit: 0.64 to the original
+        rows.append((i, " ".join(f"e{i}x{j}" if j in at else w for j, w in enumerate(base))))
+    met, staged = {}, jaccard.staged
+
+    def kept(df, purpose):
+        met[purpose] = staged(df, purpose)
+        return met[purpose]
+
+    monkeypatch.setattr(jaccard, "staged", kept)
+    assert got(spark, rows) == brute(rows)
+    assert met["matrix"].where("kind = 1").count() < 60 and met["bound"].count() < 60
