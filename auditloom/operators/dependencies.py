@@ -4,7 +4,8 @@ The inventory is always the left side. A dependency used nearly everywhere makes
 a hot key there; both joins are inner equi joins, so AQE splits such a partition
 on the inventory side and repeats only the few matching right rows. Advisories and
 baselines grow with the packages there are, and their estimates miss rows that are
-exploded or well compressed, so both are merged and never sent through the driver.
+exploded or well compressed, so both are merged and never sent through the driver. So are
+the snapshots that the advisory source was available for, or not.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from auditloom.functions.severity import norm_advisory_severity
 from auditloom.functions.versions import bound_key, version_key
 from auditloom.operators.match import DEPENDENCY_PHASE, ordinal
 from auditloom.rules import ADVISORY_TOOL, BASELINE_TOOL
+from auditloom.session import per_scan
 
 # Fixed values: (name, first safe version, severity, advisory).
 BASELINES = (
@@ -136,8 +138,8 @@ def dependency_findings(
     looked_up = inventory
     if npm_limit is not None:
         looked_up = inventory.filter(~is_npm | (F.col("pos") < npm_limit))
-    online = scans.filter("advisories_available").select("scan_id")
-    offline = scans.filter("not advisories_available").select("scan_id")
+    online = per_scan(scans.filter("advisories_available").select("scan_id"))
+    offline = per_scan(scans.filter("not advisories_available").select("scan_id"))
     return (
         advisory_findings(looked_up, advisories)
         .join(online, "scan_id", "left_semi")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from auditloom.functions import text as tx
 from auditloom.operators.match import ordinal, rule_hit_array
 from auditloom.rules import HISTORY_TOOL, SECRET_RULES, rule_texts
-from auditloom.session import durable
+from auditloom.session import durable, per_scan
 
 BLOCK_LINES = 100_000
 NO_COMMIT, NO_FILE = "unknown", "git-history"
@@ -57,7 +57,7 @@ def fill_history_context(git_log: DataFrame, block_lines: int = BLOCK_LINES) ->
     earlier = Window.partitionBy("scan_id").orderBy("_block").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    carried = blocks.join(last, ["scan_id", "_block"], "left").select(
+    carried = blocks.join(per_scan(last), ["scan_id", "_block"], "left").select(
         "scan_id",
         "_block",
         F.last("_commit", ignorenulls=True).over(earlier).alias("_commit"),
@@ -67,7 +67,7 @@ def fill_history_context(git_log: DataFrame, block_lines: int = BLOCK_LINES) ->
         Window.unboundedPreceding, Window.currentRow
     )
     return (
-        blocked.join(carried, ["scan_id", "_block"], "left")
+        blocked.join(per_scan(carried), ["scan_id", "_block"], "left")
         .withColumn(
             "commit",
             F.coalesce(

@@ -103,7 +103,7 @@ def scan_snapshots(
         F.col("line_no").alias("pos"),
     )
     with_history = git_log.join(
-        listed.filter("history_available").select("scan_id"), "scan_id", "left_semi"
+        per_scan(listed.filter("history_available").select("scan_id")), "scan_id", "left_semi"
     )
     own = dedup_findings(
         all_findings(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from auditloom.functions import text as tx
 from auditloom.functions.severity import norm_severity
 from auditloom.operators.match import ordinal
+from auditloom.session import per_scan
 
 # Tool names in order, default texts and patches.
 SEMGREP, GITLEAKS, OSV_SCANNER = "Semgrep", "Gitleaks", "OSV-Scanner"
@@ -229,7 +230,7 @@ def external_tool_status(reports: DataFrame, findings: DataFrame) -> DataFrame:
     counts = findings.filter(F.col("tool").isin(*TOOLS)).groupBy("scan_id", "tool").agg(
         F.count(F.lit(1)).alias("n")
     )
-    return status.join(counts, ["scan_id", "tool"], "left").select(
+    return status.join(per_scan(counts), ["scan_id", "tool"], "left").select(
         "scan_id",
         "tool",
         F.coalesce("available", F.lit(False)).alias("available"),

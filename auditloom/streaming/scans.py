@@ -24,6 +24,7 @@ from auditloom.streaming.sinks import (
 )
 
 PER_SCAN = ("files", "git_log", "reports")
+PRUNING_BYTES = 1_000_000  # ids of a batch, some tens of thousands, that are sent to all executors
 
 
 @dataclass(frozen=True)
@@ -39,9 +40,10 @@ class SnapshotTables:
     def of(self, announced: DataFrame) -> SnapshotTables:
         """Only the rows of the announced snapshots.
 
-        A semi join; Spark prunes partitions of tables laid out by scan_id with it.
+        A semi join; Spark prunes partitions of tables laid out by scan_id with it, as long as the
+        batch is small. Every part of the scan would broadcast the ids again, so many are merged.
         """
-        held = broadcast_if_small(announced.select("scan_id"))
+        held = broadcast_if_small(announced.select("scan_id"), PRUNING_BYTES)
         own = {n: getattr(self, n).join(held, "scan_id", "left_semi") for n in PER_SCAN}
         return replace(self, **own)
 
@@ -105,7 +107,7 @@ def _fold(spark: SparkSession, out: str, batch_id: int, parts: list[str], every:
         return
     last = newest_generation(spark, f"{out}/scans", batch_id)
     newest = durable(newest_by(read_since(spark, f"{out}/scans", last, batch_id + 1), ["scan_id"]))
-    held = broadcast_if_small(newest.select("scan_id", "batch_id"))
+    held = per_scan(newest.select("scan_id", "batch_id"))
     for part in parts:
         rows = read_since(spark, f"{out}/{part}", last, batch_id + 1)
         write_generation(rows.join(held, ["scan_id", "batch_id"], "left_semi"), f"{out}/{part}", batch_id)
@@ -121,7 +123,7 @@ def _compared(result: ScanResult, announced: DataFrame, out: str, batch_id: int)
     earlier = read_before(spark, f"{out}/scans", batch_id, result.summary.schema, last)
     newest = durable(newest_by(earlier.join(named, "scan_id", "left_semi"), ["scan_id"]))
     found = read_before(spark, f"{out}/findings", batch_id, result.stored.schema, last)
-    of_newest = broadcast_if_small(newest.select("scan_id", "batch_id"))
+    of_newest = per_scan(newest.select("scan_id", "batch_id"))
     held = found.join(of_newest, ["scan_id", "batch_id"], "left_semi")
     return compare_with_stored(result, announced, newest, held)
 

@@ -13,6 +13,7 @@ from auditloom.operators.findings import scan_summary, security_scores
 from auditloom.operators.history import fill_history_context, history_findings
 from auditloom.operators.topk import first_per_group, ranked_per_group
 from auditloom.session import broadcast_if_small, durable
+from auditloom.streaming import scans
 from tests.helpers import files_table, log_lines
 
 SECRET = "token = '" + "abcdefghijkl" + "'"
@@ -115,6 +116,31 @@ def test_advisories_and_baselines_are_not_sent_through_the_driver(spark):
     assert [r.rule for r in found.collect()] == ["A-1"] and [r.rule for r in below.collect()] == ["DEP-X"]
 
 
+def test_snapshots_of_the_fallback_are_not_sent_through_the_driver(spark):
+    def row(**values):
+        return durable(spark.createDataFrame([values]))
+
+    inventory = row(scan_id="s", file="a/package-lock.json", walk="a", ecosystem="npm", name="x", version="1.0", pos=0)
+    known = row(ecosystem="npm", name="x", version="1.0", id="A-1", summary="", severity="high")
+    below = row(name="x", below="2.0", severity="high", advisory="A-2")
+    for online, rule in ((True, "A-1"), (False, "DEP-X")):
+        scans = row(scan_id="s", advisories_available=online)
+        found = dependencies.dependency_findings(inventory, known, below, scans)
+        assert "Broadcast" not in _plan(found)
+        assert [r.rule for r in found.collect()] == [rule]
+        assert "Broadcast" not in _plan(found)
+
+
+def test_ids_of_a_large_batch_are_merged_not_sent_to_the_driver(spark):
+    rows = durable(spark.range(60_000).selectExpr("concat('cust-', id) as scan_id"))
+    tables = scans.SnapshotTables(*[rows] * 5)
+    for n, small in ((10, True), (60_000, False)):
+        own = tables.of(rows.limit(n))
+        for df in (own.files, own.git_log, own.reports):
+            assert ("Broadcast" in _plan(df)) == small
+            assert df.count() == n
+
+
 def test_rows_beyond_the_bound_are_merged_however_small_their_files_are(spark):
     rows = spark.range(100).selectExpr("cast(id as string) as k")
     few, many = (broadcast_if_small(rows, bound) for bound in (1_000_000, 10))
