@@ -1,10 +1,12 @@
 """Components against union-find, and the key filter against a semi join."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from auditloom.llm import common
 from auditloom.llm.common import components, with_keys
 
 
@@ -42,3 +44,19 @@ def test_with_keys(spark):
     keys = df.where("id % 7 = 0").select("k").union(df.where("id = 0").select("k"))
     assert sorted(r.id for r in with_keys(df, "k", keys).collect()) == [i for i in range(-500, 500) if i % 7 == 0]
     assert with_keys(df, "k", keys.limit(0)).collect() == []
+
+
+def test_staged_rows_leave_no_shuffle_files(spark):
+    """What is staged is whole, so the shuffles behind it are dropped at once, not by garbage collection."""
+    disk = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def held():
+        return {f for f in disk.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+
+    before = held()
+    out = common.staged(spark.range(10_000).repartition(4, "id").groupBy("id").count(), "rows")
+    until = time.time() + 20
+    while held() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not held() - before
+    assert out.count() == 10_000 and spark.conf.get(common.SHUFFLE_CLEANUP) == "false"
