@@ -3,6 +3,7 @@
 import random
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,3 +61,16 @@ def test_staged_rows_leave_no_shuffle_files(spark):
         time.sleep(0.2)
     assert not held() - before
     assert out.count() == 10_000 and spark.conf.get(common.SHUFFLE_CLEANUP) == "false"
+
+
+def test_staged_steps_get_batches_of_bounded_bytes(spark):
+    def told(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "b"])
+
+    before = spark.conf.get(common.ARROW_BYTES)
+    texts = spark.range(0, 5_000, 1, 1).selectExpr("repeat('x', 2000) as text")
+    rows = common.staged(texts.mapInArrow(told, "n long, b long"), "told").collect()
+    assert sum(r.n for r in rows) == 5_000
+    assert max(r.b for r in rows) <= common.BATCH_BYTES + 4_096
+    assert spark.conf.get(common.ARROW_BYTES) == before
