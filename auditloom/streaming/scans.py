@@ -24,7 +24,7 @@ from auditloom.streaming.sinks import (
 )
 
 PER_SCAN = ("files", "git_log", "reports")
-PRUNING_BYTES = 1_000_000  # ids of a batch, some tens of thousands, that are sent to all executors
+PRUNED_IDS = 1_000  # snapshots of a batch, at most, that the tables are filtered by instead of joined
 
 
 @dataclass(frozen=True)
@@ -40,11 +40,16 @@ class SnapshotTables:
     def of(self, announced: DataFrame) -> SnapshotTables:
         """Only the rows of the announced snapshots.
 
-        A semi join; Spark prunes partitions of tables laid out by scan_id with it, as long as the
-        batch is small. Every part of the scan would broadcast the ids again, so many are merged.
+        The few ids of a small batch are a filter, with which Spark prunes partitions of tables laid
+        out by scan_id; many are a semi join that merges. Every part of the scan would broadcast
+        them again, each time for a page of the driver's memory.
         """
-        held = broadcast_if_small(announced.select("scan_id"), PRUNING_BYTES)
-        own = {n: getattr(self, n).join(held, "scan_id", "left_semi") for n in PER_SCAN}
+        ids = [r.scan_id for r in announced.select("scan_id").limit(PRUNED_IDS + 1).collect()]
+        if len(ids) <= PRUNED_IDS:
+            own = {n: getattr(self, n).filter(F.col("scan_id").isin(ids)) for n in PER_SCAN}
+        else:
+            held = per_scan(announced.select("scan_id"))
+            own = {n: getattr(self, n).join(held, "scan_id", "left_semi") for n in PER_SCAN}
         return replace(self, **own)
 
 

@@ -232,3 +232,15 @@ def test_scan_stream_of_all_snapshots_has_the_rows_of_the_batch_scan(spark):
     rows = sorted(map(tuple, streamed.collect()))
     assert rows == sorted(map(tuple, registered()["scan_summary"](spark, sf).select(streamed.columns).collect()))
     assert len(rows) == views.snapshot_list(spark, sf).count()
+
+
+@pytest.mark.parametrize("most", [2, 1])
+def test_tables_of_a_batch_broadcast_no_ids(spark, monkeypatch, most):
+    monkeypatch.setattr(scans, "PRUNED_IDS", most)
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("c", 4), (None, 5)], "scan_id string, n int")
+    announced = spark.createDataFrame([("a",), ("b",)], "scan_id string")
+    own = scans.SnapshotTables(rows, rows, rows, rows, rows).of(announced)
+    for part in (own.files, own.git_log, own.reports):
+        assert sorted(r.n for r in part.collect()) == [1, 2, 3]
+        assert "Broadcast" not in part._jdf.queryExecution().executedPlan().toString()
+    assert own.advisories.count() == 5
