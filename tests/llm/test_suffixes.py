@@ -77,3 +77,12 @@ def test_suffix_array_sorts_suffixes(seed):
     data = rng.integers(97, 97 + rng.integers(1, 4), rng.integers(1, 400)).astype(np.uint8)
     order = suffixes.suffix_array(data, suffixes._words(data, 16))
     assert order.tolist() == sorted(range(len(data)), key=lambda i: data[i:].tobytes())
+
+
+def test_short_windows_have_few_regions(spark):
+    rng = random.Random(11)
+    text = "".join(rng.choice("abcdefghijklmnop") for _ in range(60_000))
+    found = sum(len(part[0]) for part in suffixes.regions([text.encode()], 101))
+    assert found < 60_000 * 2 / 50  # grams of 64 bytes make 2 / 39 a byte
+    texts = [text[:3000], text[2899:5000], text[2900:6000], text[4000:4101], text[9000:9100]]
+    assert got(spark, texts, 101) == brute(texts, 101)
