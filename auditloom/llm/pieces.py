@@ -13,7 +13,7 @@ import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -212,12 +212,14 @@ def _merge_long(model: Model, word: str) -> list[int]:
 
 
 class Words:
-    """Ids of the words seen so far: a number per word, and where its ids stand."""
+    """Ids of the words seen so far: a number per word, where its ids stand, and whether a later
+    call met it again."""
 
     def __init__(self) -> None:
         self.number: dict[str, int] = {}
         self.ids = np.zeros(0, np.int32)
         self.ends = np.zeros(1, np.int64)
+        self.again = np.zeros(0, bool)
 
     def learn(self, model: Model, words: list[str]) -> None:
         short = [w for w in words if len(w) <= LONG_WORD]
@@ -228,26 +230,45 @@ class Words:
         self.ids = np.concatenate([self.ids, ids, *(np.array(m, np.int32) for m in merged)])
         sizes = np.concatenate([counts, np.array([len(m) for m in merged], np.int64)])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        self.again = np.concatenate([self.again, np.zeros(len(words), bool)])
+
+    def gather(self, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after the other, and where each word's begin and the last ends."""
+        first, last = self.ends[number], self.ends[number + 1]
+        upto = np.r_[0, np.cumsum(last - first)]
+        at = np.repeat(first - upto[:-1], last - first) + np.arange(upto[-1])
+        return self.ids[at], upto
+
+    def only(self, stay: np.ndarray) -> Words:
+        """The words marked in ``stay``, none of them met again so far."""
+        out = Words()
+        out.ids, out.ends = self.gather(np.flatnonzero(stay))
+        out.number = {w: i for i, w in enumerate(compress(self.number, stay))}  # they stand by number
+        out.again = np.zeros(len(out.number), bool)
+        return out
 
 
 def encode_flat(model: Model, texts: list[str], held: dict[str, Words]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts in one array, and the offsets of each. ``held`` remembers words from call
-    to call, up to HELD_WORDS."""
+    to call, up to HELD_WORDS; when it is full, words that were met in one call only go."""
     split = [_WORDS.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
     words = held.setdefault("words", Words())
     found = set().union(*split)
     new = found - words.number.keys()
     if len(words.number) + len(new) > HELD_WORDS:
-        words = held["words"] = Words()
-        new = found
+        here = np.zeros(len(words.number), bool)
+        here[[words.number[w] for w in found - new]] = True
+        stay = words.again | here
+        words = held["words"] = words.only(stay if stay.sum() + len(new) <= HELD_WORDS else here)
+    known = len(words.number)
     if new:
         words.learn(model, list(new))
     sizes = np.array([len(ws) for ws in split], np.int64)
     number = np.fromiter(map(words.number.__getitem__, chain.from_iterable(split)), np.int64, sizes.sum())
-    first, last = words.ends[number], words.ends[number + 1]
-    upto = np.r_[0, np.cumsum(last - first)]
-    at = np.repeat(first - upto[:-1], last - first) + np.arange(upto[-1])
-    return words.ids[at], upto[np.r_[0, np.cumsum(sizes)]]
+    words.again[number] = True
+    words.again[known:] = False
+    ids, upto = words.gather(number)
+    return ids, upto[np.r_[0, np.cumsum(sizes)]]
 
 
 def encode(model: Model, texts: list[str], held: dict[str, Words]) -> list[list[int]]:

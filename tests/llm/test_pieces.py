@@ -46,3 +46,20 @@ def test_table(spark, model, library):
     assert [r.decoded for r in out] == [r[1] or "" for r in rows]
     assert all(r.round_trip for r in pieces.encoded(df, model, verify=True).collect())
     assert pieces.decoded(pieces.encoded(df.limit(0), model), model).collect() == []
+
+
+def test_words_met_again_outlast_a_full_table(model, library, monkeypatch):
+    learned, learn = [], pieces.Words.learn
+    monkeypatch.setattr(pieces, "HELD_WORDS", 60)
+    monkeypatch.setattr(pieces.Words, "learn",
+                        lambda self, m, words: (learned.extend(words), learn(self, m, words))[1])
+    held, most = {}, 0
+    for i in range(30):
+        usual = " ".join(f"usual{k}" for k in range(20) if (i + k) % 2)  # in every second call
+        texts = [usual, " ".join(f"naïve{i}x{k}" for k in range(15)), ""]
+        assert pieces.encode(model, texts, held) == library.encode(texts)
+        most = max(most, len(held["words"].number))
+    assert learned.count("▁usual5") == 1 and learned.count("▁naïve3x4") == 1 and most <= 60
+    many = [" ".join(f"w{k}" for k in range(100)) + " usual5"]  # more than a table's words in one call
+    assert pieces.encode(model, many, held) == library.encode(many)
+    assert pieces.encode(model, many, held) == library.encode(many)
